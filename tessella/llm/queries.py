@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, mixing, sharding
+from tessella.llm import bpe, mixing, sharding, substring
 from tessella.session import ship_package, table
 
 
@@ -27,6 +27,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_documents(spark, sf_dir), n_shards=16)
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_documents(spark, sf_dir), digest=True)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_documents(spark, sf_dir), vocabulary_path(), digest=True)
 
@@ -37,7 +41,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op8_bpe, op9_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op3_substring, op8_bpe, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
