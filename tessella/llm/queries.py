@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, mixing, sharding, substring
+from tessella.llm import bpe, mixing, sharding, substring, vectors
 from tessella.session import ship_package, table
 
 
@@ -40,8 +40,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
+def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_substring, op8_bpe, op9_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op3_substring, op8_bpe, op9_mixing, op10_embedding_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
