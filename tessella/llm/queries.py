@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, mixing, sharding, substring, vectors
+from tessella.llm import bpe, mixing, neardup, sharding, substring, vectors
 from tessella.session import ship_package, table
 
 
@@ -31,6 +31,10 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_documents(spark, sf_dir), digest=True)
 
 
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir), threshold=0.8)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_documents(spark, sf_dir), vocabulary_path(), digest=True)
 
@@ -46,7 +50,7 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_substring, op8_bpe, op9_mixing, op10_embedding_neardup)}
+    return {f.__name__: f for f in (op1_sharding, op3_substring, op6_minhash_neardup, op8_bpe, op9_mixing, op10_embedding_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes of text worked on at once (a longer text is worked on alone).
-SLICE_BYTES = 2 << 20
+#: Bytes of text worked on at once (a longer text is worked on alone), and rows at most.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 1 << 14
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -129,6 +129,6 @@ def slices(text: pa.Array) -> Iterator[Words]:
     data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, side="right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, side="right")) - 1), lo + SLICE_ROWS, n)
         yield Words(data, offsets[lo : hi + 1], lo)
         lo = hi
