@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, mixing, neardup, sharding, substring, vectors
+from tessella.llm import bpe, fingerprint, mixing, neardup, sharding, substring, vectors
 from tessella.session import ship_package, table
 
 
@@ -27,6 +27,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_documents(spark, sf_dir), n_shards=16)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(_documents(spark, sf_dir))
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_documents(spark, sf_dir), digest=True)
 
@@ -50,7 +54,7 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_substring, op6_minhash_neardup, op8_bpe, op9_mixing, op10_embedding_neardup)}
+    return {f.__name__: f for f in (op1_sharding, op2_fingerprints, op3_substring, op6_minhash_neardup, op8_bpe, op9_mixing, op10_embedding_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
