@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, fingerprint, mixing, neardup, sharding, substring, vectors
+from tessella.llm import bpe, fingerprint, mixing, neardup, pii, sharding, substring, vectors
 from tessella.session import ship_package, table
 
 
@@ -39,6 +39,10 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir), threshold=0.8)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_documents(spark, sf_dir), vocabulary_path(), digest=True)
 
@@ -54,7 +58,7 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_fingerprints, op3_substring, op6_minhash_neardup, op8_bpe, op9_mixing, op10_embedding_neardup)}
+    return {f.__name__: f for f in (op1_sharding, op2_fingerprints, op3_substring, op6_minhash_neardup, op7_pii, op8_bpe, op9_mixing, op10_embedding_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
