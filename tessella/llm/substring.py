@@ -4,10 +4,11 @@ D is a difference cover modulo PERIOD: any two numbers differ, modulo PERIOD, as
 of LENGTH - PERIOD + 1 words that begin at places p with p mod PERIOD in D. If two documents share LENGTH words, at
 places i and j, there is a shift s < PERIOD with i + s and j + s both at cover places, so both have hashed the same
 anchor. Anchors are sampled at |D| / PERIOD of all places. What two documents' anchors share is only a candidate: it is
-extended to all windows of LENGTH words around it, whose 128-bit hashes decide.
+extended to all windows of LENGTH words around it, whose hashes of 95 bits decide.
 
 Nothing is paired: anchors and windows are reduced to the least doc_id per hash, with partial sums before the shuffle,
-and joined back on the hash. A passage that all documents share costs one row for each of its places.
+and joined back on the hash. A passage that all documents share costs one row for each of its places. Copies of a whole
+text are settled first: all but the least lose everything, and the least stands for them in the rest of the work.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _first_and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each anchor hash in a slice, the least and the greatest document."""
+    """Of each anchor hash in a slice, the least document, and how far the greatest is from it (mostly 0: small)."""
     for batch in batches:
         ids = _ids(batch)
         for words in slices(batch.column("text")):
@@ -55,7 +56,8 @@ def _first_and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 order = np.argsort(h, kind="stable")
                 h, doc = h[order], doc[order]
                 at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(np.minimum.reduceat(doc, at)), pa.array(np.maximum.reduceat(doc, at))], ["h", "lo", "hi"])
+                lo, hi = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(lo), pa.array(hi - lo)], ["h", "lo", "gap"])
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +91,7 @@ def _in_lists(values: np.ndarray, rows: np.ndarray, lists: pa.Array, lo: int, n:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """128-bit hashes of the windows of LENGTH words that hold a shared anchor, each once per document."""
+    """95-bit hashes of the windows of LENGTH words that hold a shared anchor, each once per document."""
     for batch in batches:
         ids = _ids(batch)
         shared = batch.column("shared")
@@ -107,7 +109,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 continue
             a = windows(words.hashes(0), LENGTH, 0)[at].view(np.int64)
-            b = windows(words.hashes(1), LENGTH, 1)[at].view(np.int64)
+            b = (windows(words.hashes(1), LENGTH, 1)[at] >> np.uint64(33)).astype(np.int32)
             doc = ids[words.lo + words.row[at]]
             order = np.lexsort((b, a, doc))
             a, b, doc = a[order], b[order], doc[order]
@@ -118,7 +120,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _strip(digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = batch.column("gone")
+            gone, copy = batch.column("gone"), np.asarray(batch.column("copy").to_numpy(zero_copy_only=False), dtype=bool)
             for words in slices(batch.column("text")):
                 n = len(words.start)
                 keep = np.ones(n, dtype=bool)
@@ -131,6 +133,7 @@ def _strip(digest: bool):
                     np.add.at(mark, at, 1)
                     np.add.at(mark, at + LENGTH, -1)
                     keep = np.cumsum(mark[:n]) == 0
+                keep &= ~(copy[words.lo + words.row] & (words.count[words.row] >= LENGTH))
                 kept_before = np.r_[0, np.cumsum(keep)]
                 removed = words.count - (kept_before[words.first[1:]] - kept_before[words.first[:-1]])
                 texts = [words.text(keep, r) for r in range(words.rows)]
@@ -151,20 +154,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     remove each other's words, and each gets its own row. Other columns are not read. An empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
-    light = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).alias("text"))
+    light = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).alias("text"))
+    keys = light.select("doc", F.md5("text").alias("key"))
+    least = keys.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key", "least")
+    copies = keys.join(least, "key").where("doc > least").groupBy("doc").agg(F.collect_set("key").alias("copied"))
+    # the texts are shuffled once: every step below reads the same exchange
+    whole = light.repartition("doc").join(copies, "doc", "left").select("doc_id", "doc", "text", F.coalesce(F.array_contains("copied", F.md5("text")), F.lit(False)).alias("copy"))
+    sole = whole.where("not copy").select("doc", "text")
     shared = (
-        light.mapInArrow(_first_and_last, "h long, lo long, hi long")
+        sole.mapInArrow(_first_and_last, "h long, lo long, gap long")
         .groupBy("h")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .agg(F.min("lo").alias("lo"), F.max(F.col("lo") + F.col("gap")).alias("hi"))
         .where("lo < hi")
         .select("h")
     )
-    marks = light.mapInArrow(_by_document, "h long, doc long").join(shared, "h", "left_semi").groupBy("doc").agg(F.collect_list("h").alias("shared"))
-    # one shuffle of the texts serves both joins: the exchange below is planned once and reused
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).alias("text")).repartition("doc")
-    marked = whole.join(marks, "doc", "left").select("doc", "text", "shared")
-    found = marked.mapInArrow(_candidates, "a long, b long, doc long")
+    marks = sole.mapInArrow(_by_document, "h long, doc long").join(shared, "h", "left_semi").groupBy("doc").agg(F.collect_list("h").alias("shared"))
+    found = whole.join(marks, "doc", "left").where("not copy").select("doc", "text", "shared").mapInArrow(_candidates, "a long, b int, doc long")
     firsts = found.groupBy("a", "b").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("a", "b", "lo")
     gone = found.join(firsts, ["a", "b"]).where("doc > lo").groupBy("doc").agg(F.collect_list("a").alias("gone"))
     tail = "kept_sha256 string" if digest else "kept string"
-    return whole.join(gone, "doc", "left").select("doc_id", "text", "gone").mapInArrow(_strip(digest), f"doc_id {kind}, n_words long, n_removed long, {tail}")
+    return whole.join(gone, "doc", "left").select("doc_id", "text", "copy", "gone").mapInArrow(_strip(digest), f"doc_id {kind}, n_words long, n_removed long, {tail}")

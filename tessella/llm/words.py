@@ -55,6 +55,7 @@ class Words:
         base = int(offsets[0])
         self.data = data[base : int(offsets[-1])]
         cut = offsets - base
+        self.byte_ends = cut[1:]
         word = ~_SPACE[self.data]
         n = len(word)
         begins = np.zeros(n + 1, dtype=bool)
