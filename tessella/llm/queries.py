@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, fingerprint, mixing, neardup, pii, quality, sharding, substring, vectors
+from tessella.llm import bpe, fingerprint, langid, mixing, neardup, pii, quality, sharding, substring, vectors
 from tessella.session import ship_package, table
 
 
@@ -39,6 +39,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_documents(spark, sf_dir), table(spark, sf_dir, "labels"), "quality")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir), threshold=0.8)
 
@@ -62,7 +66,7 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_fingerprints, op3_substring, op4_quality, op6_minhash_neardup, op7_pii, op8_bpe, op9_mixing, op10_embedding_neardup)}
+    return {f.__name__: f for f in (op1_sharding, op2_fingerprints, op3_substring, op4_quality, op5_langid, op6_minhash_neardup, op7_pii, op8_bpe, op9_mixing, op10_embedding_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
