@@ -147,13 +147,14 @@ def load(path: str) -> Bpe:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, decoded: bool = True) -> DataFrame:
     """Token ids of every whole text and the text decoded from them; doc_id, n_tokens, ids (array<int>), decoded.
 
-    With digest, ids and decoded are replaced by ids_sha256 and decoded_sha256. A null text counts as empty (no ids).
+    With digest, ids and decoded are replaced by ids_sha256 and decoded_sha256. Without decoded, a column `exact` that
+    says whether the decoded text is the text takes its place. A null text counts as empty (no ids).
     Rows are independent: no shuffle, and repeated rows or ids give equal results. Other columns are not read.
     """
-    tail = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
+    tail = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string" if decoded else "ids array<int>, exact boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
@@ -166,7 +167,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 out["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in back]
             else:
                 out["ids"] = [np.frombuffer(x, dtype="<i4") for x in ids]
-                out["decoded"] = back
+                if decoded:
+                    out["decoded"] = back
+                else:
+                    out["exact"] = [a == (b or "") for a, b in zip(back, batch["text"])]
             yield out
 
     kind = dict(docs.dtypes)[id_col]

@@ -151,12 +151,12 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the documents' columns, a row for each time one is taken, dealt to shards and shuffled within.
+    """The mix itself: the documents' columns, a row for each time one is taken.
 
-    A part of a document is its text up to the end of the last word taken. doc_id must be unique.
+    Rows come by a hash of doc_id and, within a partition, by shard and then in the shard's shuffled order, so the texts
+    are shuffled once. A part of a document is its text up to the end of the last word taken. doc_id must be unique.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    n_shards = options.get("n_shards", 16)
     plan = mix_sources(docs, **options)
     rows = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.explode("draws").alias("_d"))
     whole = F.col("_d.words") >= F.col("_size")
@@ -165,4 +165,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(part).cast("long")))
     out = out.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part))
-    return out.repartitionByRange(F.col("_d.shard"), F.col("_d.position")).sortWithinPartitions("_d.shard", "_d.position").select(*docs.columns) if n_shards > 1 else out.select(*docs.columns)
+    return out.sortWithinPartitions("_d.shard", "_d.position").select(*[out[c] for c in docs.columns])
