@@ -1,10 +1,51 @@
-"""The corpus pipeline: documents through language ID, near-dedup, PII, mixing and BPE."""
+"""The corpus pipeline: language ID, near-dedup, PII, mixing and BPE over documents.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the columns
+of documents; the last returns the token ids of every row of the mix.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from tessella.llm import bpe, langid, mixing, neardup, pii
+from tessella.llm.queries import vocabulary_path
+from tessella.session import ship_package
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identifiable language go; a missing lang is filled in."""
+    ship_package(spark)
+    return langid.keep_identified(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies, the document of least doc_id stays."""
+    ship_package(spark)
+    return neardup.drop_near_duplicates(docs, threshold=0.8)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data give way to their kind's name; every document stays."""
+    ship_package(spark)
+    return pii.mask_pii(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix takes a document."""
+    ship_package(spark)
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, and whether they decode to its text."""
+    ship_package(spark)
+    return bpe.encode_documents(docs, vocabulary_path(), decoded=False)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("personal_data", personal_data), ("mix", mix), ("encode", encode)]
+
+#: Near-dedup, mixing and BPE can't be stated in SQL; tests hold the pipeline against a plain version instead.
 ORACLE_SQL = None
 
 
