@@ -95,6 +95,29 @@ def _fit(sample: list, codes: int, seed: int) -> dict[int, float]:
     return out
 
 
+def _first_common(row: np.ndarray, filters: np.ndarray, f: int, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which pairs (a, b) of a filter's rows share no filter before f. row and filters list the rows' filters.
+
+    Filters before f that at least two rows have make a 0/1 matrix; its product with itself counts what a pair shares.
+    """
+    early = filters < f
+    row, filters = row[early], filters[early]
+    names, code, count = np.unique(filters, return_inverse=True, return_counts=True)
+    new = np.cumsum(count > 1) - 1
+    keep = count[code] > 1
+    width = int((count > 1).sum())
+    shared = np.zeros(len(a), dtype=bool)
+    for lo in range(0, width, 512):
+        part = keep & (new[code] >= lo) & (new[code] < lo + 512)
+        m = np.zeros((n, min(512, width - lo)), dtype=np.float32)
+        m[row[part], new[code[part]] - lo] = 1
+        if len(a) > 4 * n:
+            shared |= (m @ m.T)[a, b] > 0.5
+        else:
+            shared |= np.einsum("ij,ij->i", m[a], m[b]) > 0.5
+    return ~shared
+
+
 def near_vectors(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 0) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
@@ -144,17 +167,10 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec_id
             ids, copies = np.asarray(group.column("vec")), np.asarray(group.column("copies"))
             lists = group.column("filters").combine_chunks()
             size, flat = np.asarray(lists.value_lengths()), np.asarray(lists.flatten())
-            table = np.full((len(ids), int(size.max())), -1, dtype=np.int64)
-            table[np.repeat(np.arange(len(ids)), size), np.concatenate([np.arange(s) for s in size])] = flat
             low = label(len(ids), a, b, ids)
-            table[table >= f] = -1  # what is left can only come before this filter
-            links = np.zeros(len(ids), dtype=np.int64)
-            for lo in range(0, len(a), 8192):
-                i, j = a[lo : lo + 8192], b[lo : lo + 8192]
-                p, q = table[i], table[j]
-                first = ~((p[:, :, None] == q[:, None, :]) & (p[:, :, None] >= 0)).any((1, 2))
-                np.add.at(links, i[first], copies[j[first]])
-                np.add.at(links, j[first], copies[i[first]])
+            first = _first_common(np.repeat(np.arange(len(ids)), size), flat, f, a, b, len(ids))
+            a1, b1 = a[first], b[first]
+            links = (np.bincount(a1, copies[b1], len(ids)) + np.bincount(b1, copies[a1], len(ids))).astype(np.int64)
             at = np.unique(np.r_[a, b])
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at]), pa.array(low[at])], ["vec", "links", "low"])
 
