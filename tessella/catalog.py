@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+from tessella.plans import batch_queries, curriculum_queries, group_queries, metric_queries, registry, text_queries  # noqa: F401
+from tessella.plans.curriculum_queries import flagship  # noqa: F401
 
 
 def queries():
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(registry.SQL)
