@@ -55,10 +55,11 @@ def test_balance_batches(spark):
 def test_moves():
     band = Scheduler({0: 10}).band
     assert [band(x) for x in (0.2, 0.33, 0.5, 0.67, 0.9)] == ["easier", "keep", "keep", "keep", "harder"]
-    assert move([0, 1, 2], {0: 0.9, 1: 0.5, 2: 0.5}, 10, 3, band) == [1, 2, 3]  # 1 is taken, the search goes on upwards
-    assert move([4, 5], {4: 0.1, 5: 0.9}, 10, 2, band) == [3, 6]
-    assert move([0, 9], {0: 0.0, 9: 1.0}, 10, 2, band) == [0, 9]
-    assert move([0, 1], {0: 1.0, 1: 1.0}, 2, 3, band) == [0, 1]  # small clusters don't move
+    assert move([0, 1, 3], {0: 0.9, 1: 0.5, 3: 0.5}, 10, band) == [1, 2, 3]  # 1 is taken, the search goes on upwards
+    assert move([0, 1, 2], {0: 0.9, 1: 0.5, 2: 0.5}, 10, band) == [0, 1, 2]  # at each distance upwards first, then downwards
+    assert move([4, 5], {4: 0.1, 5: 0.9}, 10, band) == [3, 6]
+    assert move([0, 9], {0: 0.0, 9: 1.0}, 10, band) == [0, 9]
+    assert move([0, 1], {0: 1.0, 1: 1.0}, 2, band) == [0, 1]  # small clusters don't move
 
 
 def test_restart_equals_an_uninterrupted_run():
