@@ -17,14 +17,13 @@ TO = "{tokens}"
 
 def _seq(name: str, expr: str):
     def add(f):
-        return query(f"WITH {ST} SELECT seq, round({expr}, 11) AS advantage FROM s", name=name)(f)
+        return query(f"WITH {ST} SELECT seq, round({expr}, 9) AS advantage FROM s", name=name)(f)
 
     return add
 
 
 def _adv(df):
-    """Scores have seven decimals, so six would often fall on a tie of rounding."""
-    return df.select("seq", F.round("advantage", 11).alias("advantage"))
+    return df.select("seq", F.round("advantage", 9).alias("advantage"))
 
 
 @_seq("grpo_advantage", f"CASE WHEN n > 1 THEN (score - mu) / (sd + {E6}) ELSE score / (1 + {E6}) END")
@@ -42,7 +41,7 @@ def _(t):
     return _adv(G.advantage("grpo_vectorized")(t.responses))
 
 
-@query(f"WITH {ST}, r AS (SELECT *, row_number() OVER b AS k, lead(score) OVER b AS second FROM s WHERE n > 1 WINDOW b AS (PARTITION BY uid ORDER BY score DESC, seq)) SELECT seq, round(CASE WHEN k = 1 THEN (score - second) / (sd + {E6}) ELSE 0 END, 11) AS advantage FROM r")
+@query(f"WITH {ST}, r AS (SELECT *, row_number() OVER b AS k, lead(score) OVER b AS second FROM s WHERE n > 1 WINDOW b AS (PARTITION BY uid ORDER BY score DESC, seq)) SELECT seq, round(CASE WHEN k = 1 THEN (score - second) / (sd + {E6}) ELSE 0 END, 9) AS advantage FROM r")
 def grpo_passk(t):
     r = t.responses.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("uid"))).where("n > 1")
     return _adv(G.advantage("grpo_passk")(r))
@@ -58,7 +57,7 @@ def _(t):
     return _adv(G.advantage("rloo_vectorized")(t.responses))
 
 
-@query(f"WITH {ST} SELECT seq, round(CASE WHEN n > 1 THEN score - sum(length * score) OVER (PARTITION BY uid) / sum(length) OVER (PARTITION BY uid) ELSE score END, 11) AS advantage FROM s")
+@query(f"WITH {ST} SELECT seq, round(CASE WHEN n > 1 THEN score - sum(length * score) OVER (PARTITION BY uid) / sum(length) OVER (PARTITION BY uid) ELSE score END, 9) AS advantage FROM s")
 def opo(t):
     return _adv(G.advantage("opo")(t.responses))
 
@@ -98,19 +97,19 @@ def _arrays(t):
 
 @query("""WITH RECURSIVE {tokens}, n AS (SELECT seq, max(pos) AS last FROM tokens GROUP BY 1), x AS (
 SELECT t.seq, t.pos, t.reward AS ret, t.reward * t.mask::INT AS run FROM tokens t JOIN n ON n.seq = t.seq AND n.last = t.pos
-UNION ALL SELECT t.seq, t.pos, t.reward + 0.9::DOUBLE * x.run, (t.reward + 0.9::DOUBLE * x.run) * t.mask::INT FROM x JOIN tokens t ON t.seq = x.seq AND t.pos = x.pos - 1) SELECT seq, pos, round(ret, 12) AS ret FROM x""")
+UNION ALL SELECT t.seq, t.pos, t.reward + 0.9::DOUBLE * x.run, (t.reward + 0.9::DOUBLE * x.run) * t.mask::INT FROM x JOIN tokens t ON t.seq = x.seq AND t.pos = x.pos - 1) SELECT seq, pos, round(ret, 9) AS ret FROM x""")
 def discounted_return(t):
     d = _arrays(t).select("seq", F.posexplode(G.discounted_return(F.col("reward"), F.col("mask"), 0.9)).alias("pos", "ret"))
-    return d.select("seq", F.col("pos").cast("long").alias("pos"), F.round("ret", 12).alias("ret"))
+    return d.select("seq", F.col("pos").cast("long").alias("pos"), F.round("ret", 9).alias("ret"))
 
 
 @query("""WITH RECURSIVE {tokens}, n AS (SELECT seq, max(pos) AS last FROM tokens GROUP BY 1), x AS (
 SELECT t.seq, t.pos, CASE WHEN mask THEN t.reward - t.value ELSE 0 END AS l, CASE WHEN mask THEN t.value ELSE 0 END AS nv FROM tokens t JOIN n ON n.seq = t.seq AND n.last = t.pos
 UNION ALL SELECT t.seq, t.pos, CASE WHEN t.mask THEN t.reward + 0.95::DOUBLE * x.nv - t.value + 0.95::DOUBLE * 0.9::DOUBLE * x.l ELSE x.l END, CASE WHEN t.mask THEN t.value ELSE x.nv END FROM x JOIN tokens t ON t.seq = x.seq AND t.pos = x.pos - 1)
-SELECT seq, pos, round(l, 12) AS advantage FROM x""")
+SELECT seq, pos, round(l, 6) AS advantage FROM x""")
 def gae(t):
     d = _arrays(t).select("seq", F.posexplode(G.gae(F.col("reward"), F.col("value"), F.col("mask"), 0.95, 0.9)).alias("pos", "advantage"))
-    return d.select("seq", F.col("pos").cast("long").alias("pos"), F.round("advantage", 12).alias("advantage"))
+    return d.select("seq", F.col("pos").cast("long").alias("pos"), r6("advantage").alias("advantage"))
 
 
 @query(f"WITH {TO} SELECT seq, pos, round(sum(CASE WHEN mask THEN reward ELSE 0 END) OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS reward_to_go FROM tokens")
