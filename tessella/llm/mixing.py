@@ -160,7 +160,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = mix_sources(docs, **options)
     rows = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.explode("draws").alias("_d"))
     whole = F.col("_d.words") >= F.col("_size")
-    part = F.regexp_substr(F.col(text_col), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("_d.words").cast("string"), F.lit("}")))
+    # not one pattern with a count: that recurses once for each word
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    part = F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("_d.words"), F.lit(1)).cast("int")), "")
     out = docs.join(rows, docs[id_col].eqNullSafe(rows["_id"]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(part).cast("long")))
