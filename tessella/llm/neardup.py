@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.blocks import in_blocks, pairs_of, runs
+from tessella.llm.bloom import membership
 from tessella.llm.components import components
 from tessella.llm.words import U, Words, mix, slices, windows
 from tessella.session import cut_lineage
@@ -167,10 +168,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     known = light.where("doc is not null and text is not null").withColumn("key", F.md5("text"))
     sketches = cut_lineage(known.mapInArrow(_sketch, "doc long, key string, bands array<long>"))
     texts = cut_lineage(sketches.groupBy("key").agg(F.min_by("bands", "doc").alias("bands"), F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n_equal")))
-    posted = texts.select("doc", "bands", F.posexplode("bands").alias("band", "hash"))
+    posted = texts.select("doc", F.posexplode("bands").alias("band", "hash"))
     buckets = posted.groupBy("band", "hash").agg(F.min("doc").alias("lead"), F.count(F.lit(1)).alias("load")).where("load > 1")
-    pairs = posted.select("doc", "band", "hash").join(buckets, ["band", "hash"]).where("doc <> lead").select(F.col("doc").alias("u"), F.col("lead").alias("v")).distinct()
-    whole = light.where("doc is not null and text is not null").repartition("doc")
+    shared = cut_lineage(posted.join(buckets, ["band", "hash"]))  # documents that share a bucket with another
+    pairs = shared.where("doc <> lead").select(F.col("doc").alias("u"), F.col("lead").alias("v")).distinct()
+    # only texts that may be in a pair are shuffled; the joins decide
+    whole = known.where(membership(shared.select("doc").distinct(), "doc")(F.col("doc"))).select("doc", "text").repartition("doc")
 
     def verify(candidates: DataFrame) -> DataFrame:
         one = whole.select(F.col("doc").alias("v"), F.col("text").alias("text_v"))
@@ -179,10 +182,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
     led = verify(pairs)
     first = cut_lineage(components(led))
-    rooted = posted.join(buckets.select("band", "hash", "load"), ["band", "hash"]).join(first, F.col("doc") == F.col("node"), "left").select("band", "hash", "load", "doc", "bands", F.coalesce("root", "doc").alias("root"))
+    rooted = shared.join(first, F.col("doc") == F.col("node"), "left").select("band", "hash", "load", "doc", F.coalesce("root", "doc").alias("root"))
     mixed = rooted.groupBy("band", "hash").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "hash")
-    blocks = in_blocks(rooted.join(mixed, ["band", "hash"], "left_semi"), ["band", "hash"], "load", "doc").drop("load")
-    across = cut_lineage(blocks.mapInArrow(_across, "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti"))
+    open_ = rooted.join(mixed, ["band", "hash"], "left_semi").join(texts.select("doc", "bands"), "doc")
+    across = cut_lineage(in_blocks(open_, ["band", "hash"], "load", "doc").drop("load").mapInArrow(_across, "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti"))
     links = led.union(verify(across)) if not across.isEmpty() else led
     roots = components(links)
     classes = texts.join(roots, F.col("doc") == F.col("node"), "left").select("key", F.coalesce("root", "doc").alias("class_id"), "n_equal")
@@ -193,5 +196,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each class kept: the one of least doc_id."""
-    gone = near_duplicates(docs, threshold, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = cut_lineage(near_duplicates(docs, threshold, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")))
+    maybe = membership(gone, "_gone")(F.col(id_col))  # the rest stays where it is
+    doubtful = docs.where(maybe)
+    return docs.where(~maybe).union(doubtful.join(gone, doubtful[id_col] == gone["_gone"], "left_anti"))
