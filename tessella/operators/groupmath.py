@@ -158,8 +158,8 @@ def gae(reward: Column, value: Column, mask: Column, gamma: float, lam: float) -
 def optimal_token_baseline(tokens: DataFrame, group: str, seq: str, pos: str, reward: Column, weight: Column, mask: Column) -> DataFrame:
     """A = (G - B) * m: G reward-to-go, W the running sum of token weights, B = sum(G W m) / (sum(W m) + eps) per group and position.
 
-    A group of one response has B = 0. Where only the one longest response of a group still has tokens (beyond the second
-    greatest length), the baseline would be its own return; there the advantage is 0.
+    A group of one response has B = 0. So has the one longest response of a group from the second greatest length on,
+    where the baseline would be its own return.
     """
     own = Window.partitionBy(group, seq).orderBy(pos)
     t = reward_to_go(tokens, [group, seq], pos, reward, mask).withColumn("_w", F.sum(only(weight, mask)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
@@ -171,8 +171,8 @@ def optimal_token_baseline(tokens: DataFrame, group: str, seq: str, pos: str, re
     second = F.coalesce(F.get("_ls", F.lit(1)), F.lit(0))
     tail = (F.col("_n") > 1) & (F.get("_ls", F.lit(0)) > second) & (F.col("_len") == F.get("_ls", F.lit(0))) & (F.col("_at") >= second)
     t = t.withColumn("_at", F.row_number().over(own) - 1)
-    adv = (F.col("reward_to_go") - F.when(F.col("_n") > 1, F.col("_base")).otherwise(0.0)) * F.when(mask, 1.0).otherwise(0.0)
-    return t.withColumn("advantage", F.when(tail, 0.0).otherwise(adv)).drop("_w", "_len", "_base", "_ls", "_n", "_at")
+    base = F.when((F.col("_n") > 1) & ~tail, F.col("_base")).otherwise(0.0)
+    return t.withColumn("advantage", F.when(mask, F.col("reward_to_go") - base).otherwise(0.0)).drop("_w", "_len", "_base", "_ls", "_n", "_at")
 
 
 def compacted_positions(tokens: DataFrame, group: str, seq: str, pos: str, mask: Column) -> DataFrame:
@@ -250,6 +250,46 @@ def sapo_loss(logp: Column, old: Column, adv: Column, tau_pos: float = 1.0, tau_
     return -F.when(adv > 0, gate(tau_pos)).otherwise(gate(tau_neg)) * adv
 
 
+@_loss("dppo_kl")
+def dppo_kl_loss(logp: Column, old: Column, adv: Column, low: float = 0.2, high: float = 0.2) -> Column:
+    """As dppo_tv, by the divergence of the token's two-valued distribution; moves back are always allowed."""
+    p, q = F.exp(logp), F.exp(old)
+    kl = q * (old - logp) + (1 - q) * F.ln((1 - q + EPS) / (1 - p + EPS))
+    ok = F.when(adv > 0, (kl <= high) | (p <= q)).otherwise((kl <= low) | (p >= q))
+    return F.when(ok, -adv * F.least(F.exp(clamp(logp - old, -20.0, 20.0)), F.lit(20.0)) * logp).otherwise(0.0)
+
+
+@_loss("reinforce")
+def reinforce_loss(logp: Column, old: Column, adv: Column) -> Column:
+    return -adv * logp
+
+
+def clip_cov_loss(tokens: DataFrame, key: list[str], logp: Column, old: Column, adv: Column, mask: Column, ratio: float = 0.0002, low: float = 1.0, high: float = 5.0, clip: float = 0.2, seed: int = 0) -> DataFrame:
+    """Add `loss`: the clipped surrogate, 0 for a seeded share `ratio` (one token at least) of the tokens whose covariance
+    lies between the bounds and that the clip leaves alone. The share is taken in the order of a hash of the key."""
+    r = F.exp(logp - old)
+    l1, l2 = -adv * r, -adv * clamp(r, 1 - clip, 1 + clip)
+    own = tokens.withColumn("_l1", l1).withColumn("_l2", l2).withColumn("_lp", logp).withColumn("_a", adv)
+    means = own.agg(F.avg(F.when(mask, F.col("_lp"))).alias("_ml"), F.avg(F.when(mask, F.col("_a"))).alias("_ma"), F.count_if(mask).alias("_n"))
+    own = own.crossJoin(F.broadcast(means))
+    cov = (F.col("_a") - F.col("_ma")) * (F.col("_lp") - F.col("_ml"))
+    band = mask & ~(F.col("_l2") > F.col("_l1")) & (cov < high) & (cov > low)
+    k = max(1, int(ratio * (own.agg(F.count_if(mask)).first()[0] or 0)))
+    chosen = own.where(band).orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(k).select(*[F.col(c).alias(f"_k_{c}") for c in key], F.lit(True).alias("_out"))
+    same = [F.col(c) == F.col(f"_k_{c}") for c in key]
+    out = own.join(chosen, same, "left").withColumn("loss", F.when(F.col("_out"), 0.0).otherwise(F.greatest("_l1", "_l2")))
+    return out.drop("_l1", "_l2", "_lp", "_a", "_ml", "_ma", "_n", "_out", *[f"_k_{c}" for c in key])
+
+
+def geo_mean_loss(tokens: DataFrame, seq: list[str], logp: Column, old: Column, adv: Column, mask: Column, low: float = 0.2, high: float = 0.2) -> DataFrame:
+    """Mean over sequences of -A * exp(masked mean of the pessimistically clipped log-ratio), A the masked mean advantage."""
+    d, s = logp - old, F.signum(adv)
+    worst = s * F.least(s * d, s * clamp(d, -low, high))
+    n = F.sum(F.when(mask, 1.0).otherwise(0.0)) + EPS
+    per = tokens.groupBy(*seq).agg((F.sum(only(worst, mask)) / n).alias("r"), (F.sum(only(adv, mask)) / n).alias("a"))
+    return per.agg(F.avg(-F.col("a") * F.exp("r")).alias("loss"))
+
+
 def gspo_ratio(tokens: DataFrame, seq: list[str], logp: Column, old: Column, mask: Column) -> DataFrame:
     """Sequence ratio exp(min(masked mean of logp - old, 10)) on every row of the sequence."""
     w = Window.partitionBy(*seq)

@@ -128,7 +128,7 @@ def remax(t):
 OTB = f"""o AS (SELECT *, sum(CASE WHEN mask THEN reward ELSE 0 END) OVER (PARTITION BY seq ORDER BY P ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g, sum(CASE WHEN mask THEN w ELSE 0 END) OVER (PARTITION BY seq ORDER BY P) AS wt,
 count(*) FILTER (mask) OVER (PARTITION BY seq) AS len, row_number() OVER (PARTITION BY seq ORDER BY P) - 1 AS ix FROM k), l AS (SELECT uid, list(len ORDER BY len DESC) AS ls FROM (SELECT DISTINCT uid, seq, len FROM o) GROUP BY 1),
 b AS (SELECT *, sum(CASE WHEN mask THEN g * wt ELSE 0 END) OVER (PARTITION BY uid, P) / (sum(CASE WHEN mask THEN wt ELSE 0 END) OVER (PARTITION BY uid, P) + {E8}) AS base FROM o)
-SELECT seq, pos, round(CASE WHEN len(ls) > 1 AND ls[1] > ls[2] AND len = ls[1] AND ix >= ls[2] THEN 0 WHEN NOT mask THEN 0 WHEN len(ls) > 1 THEN g - base ELSE g END, 6) AS advantage FROM b JOIN l USING (uid)"""
+SELECT seq, pos, round(CASE WHEN len(ls) > 1 AND ls[1] > ls[2] AND len = ls[1] AND ix >= ls[2] AND mask THEN g WHEN NOT mask THEN 0 WHEN len(ls) > 1 THEN g - base ELSE g END, 6) AS advantage FROM b JOIN l USING (uid)"""
 
 
 @query(f"WITH {TO}, k AS (SELECT *, 1 - 2 * exp(logp) + 0.5::DOUBLE AS w FROM tokens), " + OTB.replace("BY P", "BY pos").replace(", P)", ", pos)"))
@@ -199,6 +199,9 @@ _loss("ppo_clip_loss", f"CASE WHEN adv < 0 THEN least(-adv * 3, greatest(-adv *
 _loss("gpg_loss", "-logp * adv")(G.POLICY_LOSSES["gpg"])
 _loss("cispo_loss", f"-least(greatest({RATIO}, 0.8::DOUBLE), 1.2::DOUBLE) * adv * logp")(G.POLICY_LOSSES["cispo"])
 _loss("dppo_tv_loss", f"CASE WHEN CASE WHEN adv > 0 THEN exp(logp) - exp(old) <= 0.2::DOUBLE ELSE exp(logp) - exp(old) >= -0.2::DOUBLE END THEN -adv * least({RATIO}, 20) * logp ELSE 0 END")(G.POLICY_LOSSES["dppo_tv"])
+_loss("dppo_kl_loss", f"""CASE WHEN CASE WHEN adv > 0 THEN exp(old) * (old - logp) + (1 - exp(old)) * ln((1 - exp(old) + {E8}) / (1 - exp(logp) + {E8})) <= 0.2::DOUBLE OR exp(logp) <= exp(old)
+ELSE exp(old) * (old - logp) + (1 - exp(old)) * ln((1 - exp(old) + {E8}) / (1 - exp(logp) + {E8})) <= 0.2::DOUBLE OR exp(logp) >= exp(old) END THEN -adv * least({RATIO}, 20) * logp ELSE 0 END""")(G.POLICY_LOSSES["dppo_kl"])
+_loss("reinforce_loss", "-adv * logp")(G.POLICY_LOSSES["reinforce"])
 _loss("sapo_loss", f"-CASE WHEN adv > 0 THEN 4 / (1 + exp(-({RATIO} - 1))) ELSE (4 / 1.05::DOUBLE) / (1 + exp(-1.05::DOUBLE * ({RATIO} - 1))) END * adv")(G.POLICY_LOSSES["sapo"])
 
 
@@ -211,12 +214,18 @@ def gspo_loss(t):
     return _losses(G.aggregate_loss(g, ["seq"], loss, F.col("mask"), 7.0))
 
 
-@query(f"""WITH {TO}, r AS (SELECT *, exp(coalesce(sum(logp - old) FILTER (mask) OVER (PARTITION BY seq), 0) / greatest(count(*) FILTER (mask) OVER (PARTITION BY seq), 1)) AS q FROM tokens), l AS (SELECT seq, mask, -adv * least(greatest(q, 0.8::DOUBLE), 1.2::DOUBLE) AS x FROM r), {AGG}""")
+@query(f"""WITH {TO}, c AS (SELECT seq, mask, adv, sign(adv) * least(sign(adv) * (logp - old), sign(adv) * least(greatest(logp - old, -0.2::DOUBLE), 0.2::DOUBLE)) AS w FROM tokens),
+p AS (SELECT seq, coalesce(sum(w) FILTER (mask), 0) / (count(*) FILTER (mask) + {E8}) AS r, coalesce(sum(adv) FILTER (mask), 0) / (count(*) FILTER (mask) + {E8}) AS a FROM c GROUP BY 1) SELECT round(avg(-a * exp(r)), 6) AS loss FROM p""")
 def geo_mean_loss(t):
-    """The geometric mean of the ratios of a sequence's tokens, clipped."""
-    g = G.gspo_ratio(t.tokens, ["seq"], F.col("logp"), F.col("old"), F.col("mask"))
-    q = F.least(F.greatest(F.col("seq_ratio"), F.lit(0.8)), F.lit(1.2))
-    return _losses(G.aggregate_loss(g, ["seq"], -F.col("adv") * q, F.col("mask"), 7.0))
+    g = G.geo_mean_loss(t.tokens, ["seq"], F.col("logp"), F.col("old"), F.col("adv"), F.col("mask"))
+    return g.select(r6("loss").alias("loss"))
+
+
+@query()
+def clip_cov_loss(t):
+    """Which tokens of the band lose their loss is seeded: no SQL; a test checks their number."""
+    c = G.clip_cov_loss(t.tokens, ["seq", "pos"], F.col("logp"), F.col("old"), F.col("adv"), F.col("mask"), ratio=0.01, low=0.0)
+    return c.select("seq", "pos", r6("loss").alias("loss"))
 
 
 @query(f"WITH {TO}, l AS (SELECT seq, mask, 0.5::DOUBLE * greatest((value - reward) * (value - reward), (least(greatest(value, 0.04 - 0.01), 0.04 + 0.01) - reward) * (least(greatest(value, 0.04 - 0.01), 0.04 + 0.01) - reward)) AS x FROM tokens), {AGG}".replace("0.04 - 0.01", "0.04::DOUBLE - 0.01::DOUBLE").replace("0.04 + 0.01", "0.04::DOUBLE + 0.01::DOUBLE"))

@@ -72,12 +72,18 @@ def test_eos_mask_of_the_docstring(spark):
     assert mask([1, 2])[1] == [1, 1, 1, 1, 0, 0, 0]
 
 
-def test_longest_response_alone_has_no_advantage(spark):
+def test_longest_response_alone_has_no_baseline(spark):
     rows = [(0, 0, p, 1.0) for p in range(4)] + [(0, 1, p, 1.0) for p in range(2)] + [(1, 2, p, 1.0) for p in range(3)]
     df = spark.createDataFrame(rows, "uid int, seq int, pos int, r double").withColumn("m", F.lit(True))
     a = G.optimal_token_baseline(df, "uid", "seq", "pos", F.col("r"), F.lit(1.0), F.col("m"))
     got = {(x.seq, x.pos): x.advantage for x in a.collect()}
-    assert got[0, 2] == got[0, 3] == 0 and got[2, 0] == 3 and math.isclose(got[0, 0], 1, abs_tol=1e-6) and math.isclose(got[1, 0], -1, abs_tol=1e-6)
+    assert (got[0, 2], got[0, 3]) == (2, 1) and got[2, 0] == 3 and math.isclose(got[0, 0], 1, abs_tol=1e-6) and math.isclose(got[1, 0], -1, abs_tol=1e-6)
+
+
+def test_clip_cov_takes_its_share(spark):
+    df = spark.range(400).select(F.col("id"), (-F.col("id") / 100).alias("lp"), (F.col("id") / 100 - 2).alias("a"))
+    got = G.clip_cov_loss(df, ["id"], F.col("lp"), F.col("lp"), F.col("a"), F.lit(True), ratio=0.05, low=-9.0, high=9.0).collect()
+    assert len(got) == 400 and sum(r.loss == 0 and abs(r.a) > 1e-9 for r in got) in (19, 20)
 
 
 def test_agg_loss_leaves_fully_masked_sequences_out(spark):

@@ -31,3 +31,18 @@ def test_many_answer_tags_cost(spark):
     assert [r[0] for r in df.select(S.qa_exact(F.col("t"), F.col("y"))).collect()] == [0.25, 1.0, 0.0]
     n = spark.createDataFrame([("Answer: \\frac12", "\\frac{1}{2}"), ("answer: 1,234 dollars", "1234"), ("nothing", "3")], "t string, y string")
     assert [r[0] for r in n.select(S.minerva_score(F.col("t"), F.col("y"))).collect()] == [1.0, 1.0, -1.0]
+
+
+def test_registry_and_custom_scorers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessella.functions import registry as R
+
+    (tmp_path / "own.py").write_text("def score(text, truth, bonus=0):\n    return {'score': len(text) + bonus}\n")
+    f = R.load_scorer(str(tmp_path / "own.py"), "score", bonus=2)
+    assert f("abc", "") == {"score": 5}
+    df = spark.createDataFrame([("\\boxed{1/2}", "0.5"), (None, "1"), ("x", "2")], "t string, y string")
+    assert [r.score for r in R.score_rows(df, "math", F.col("t"), F.col("y")).collect()] == [1.0, 0.0, 0.0]
+    assert [r.score for r in R.score_rows(df, lambda a, b: len(a), F.col("t"), F.col("y")).collect()] == [11.0, 0.0, 1.0]
+    with pytest.raises(ValueError):
+        R.register_scorer("math")(len)
