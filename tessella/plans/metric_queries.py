@@ -293,3 +293,61 @@ def tumbling_windows(t):
 
     w = S.windowed_counts(t.events, "ts", "event_type", "value", "1 day")
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+def _schedule(t, steps: int):
+    """A schedule over the embeddings' clusters, driven by a fixed rule of success: (scheduler, the batches it emitted)."""
+    from tessella.operators.scheduler import Scheduler
+
+    sizes = {r["label"]: r["n"] for r in t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per cluster
+    s = Scheduler(sizes, batch=8, active=3)
+    emitted = []
+    for step in range(steps):
+        batch = s.emit()
+        emitted += [(step, c, p) for c, p in batch]
+        rho: dict[int, dict[int, float]] = {}
+        for c, p in batch:
+            rho.setdefault(c, {})[p] = ((c * 31 + p * 17 + step * 7) % 10) / 9
+        s.update(rho)
+    return s, emitted
+
+
+@query()
+def scheduler_state(t):
+    """State after twenty steps (the generator draws the clusters: no SQL; tests replay the transitions)."""
+    s, _ = _schedule(t, 20)
+    rows = [(c, s.sizes[c], s.rate[c], s.prob[c], s.positions[c]) for c in sorted(s.sizes)]
+    return t.spark.createDataFrame(rows, "cluster_id int, cluster_size long, success_rate double, prob double, mini_positions array<long>")
+
+
+@query()
+def weighted_sample(t):
+    """Clusters drawn by probability without replacement, and their positions, for five steps."""
+    return t.spark.createDataFrame(_schedule(t, 5)[1], "step int, cluster_id int, position int")
+
+
+@query("SELECT event_id, value FROM events WHERE event_id < 500 UNION ALL SELECT event_id, value FROM events WHERE event_id >= 500 AND length(props) <= 9")
+def dynamic_append(t):
+    """Rows that are added after a step pass the length filter first."""
+    first, later = t.events.where("event_id < 500"), t.events.where("event_id >= 500")
+    return first.unionByName(later.where(F.length("props") <= 9)).select("event_id", "value")
+
+
+@query("SELECT conv_id, turn, (role = 'user')::INT AS is_prompt, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM conversations")
+def preference_rows(t):
+    """Each conversation's rows with their role in a prompt and response pair."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("conv_id"))
+    return t.conversations.select("conv_id", "turn", (F.col("role") == "user").cast("int").alias("is_prompt"), n.alias("n_turns"))
+
+
+@query("SELECT doc_id, k::INT AS sample, text IS NOT NULL AS has_text FROM documents, (SELECT unnest(range(2)) AS k)")
+def generation_table(t):
+    """n samples a prompt: repeated, answered outside, and folded back in order."""
+    d = B.repeat_by(t.documents.select("doc_id", "text"), F.lit(2))
+    return d.select("doc_id", F.col("copy").alias("sample"), F.col("text").isNotNull().alias("has_text"))
+
+
+@query("SELECT user_id, array_to_string(list(event_type ORDER BY event_id), ',') AS responses, count(*) AS n FROM events GROUP BY 1")
+def collect_responses(t):
+    s = F.sort_array(F.collect_list(F.struct("event_id", "event_type")))
+    return t.events.groupBy("user_id").agg(s.alias("s"), F.count(F.lit(1)).alias("n")).select("user_id", F.array_join(F.col("s")["event_type"], ",").alias("responses"), "n")
