@@ -7,8 +7,8 @@ least time of its points. Two documents agree in a component with the probabilit
 Points come in order of time, so a process ends once it is later than all components of its document.
 
 Candidates: BANDS bands of ROWS components. Equal texts are one class from the start. Within a bucket every document is
-first compared with the least one only; then, in buckets that still hold several classes, in blocks, pairs of different
-classes. Each candidate is verified by the exact multiset overlap. Components of the links are the classes.
+first compared with the least one only; then, in buckets that still hold several classes, the members of different ones
+are compared in blocks. Every link is verified by the exact multiset overlap. Components of the links are the classes.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.blocks import in_blocks, pairs_of, runs
+from tessella.llm.blocks import in_blocks, runs
 from tessella.llm.bloom import membership
 from tessella.llm.components import components
 from tessella.llm.words import U, Words, mix, slices, windows
@@ -140,20 +140,69 @@ def _verified(threshold: float):
     return run
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes in a block, each in the first band that it shares."""
-    for group in runs(batches, ["band", "hash", "_i", "_j"]):
-        ids, root = np.asarray(group.column("doc")), np.asarray(group.column("root"))
-        band = group.column("band")[0].as_py()
-        bands = np.asarray(group.column("bands").combine_chunks().flatten()).reshape(len(ids), BANDS)
-        a, b = pairs_of(group.column("_i")[0].as_py(), group.column("_j")[0].as_py(), np.asarray(group.column("_c")), root[:, None] != root[None, :])
-        for lo in range(0, len(a), 65536):
-            i, j = a[lo : lo + 65536], b[lo : lo + 65536]
-            same = bands[i] == bands[j]
-            ok = (same.argmax(1) == band) & (same.sum(1) >= SHARED_BANDS)
-            if ok.any():
-                u, v = ids[i[ok]], ids[j[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+def _overlaps(code: np.ndarray, start: np.ndarray, by_code: np.ndarray, code_start: np.ndarray, x: int, n: int) -> np.ndarray:
+    """How many elements row x shares with each of n rows. code lists the rows' elements, by_code the elements' rows."""
+    out = np.zeros(n, dtype=np.int64)
+    own = code[start[x] : start[x + 1]]
+    size = code_start[own + 1] - code_start[own]
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(own):  # a few million rows at a time
+        base = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + 4_000_000, side="right")))
+        part = size[lo:hi]
+        at = np.repeat(code_start[own[lo:hi]] - (ends[lo:hi] - part - base), part) + np.arange(int(part.sum()))
+        out += np.bincount(by_code[at], minlength=n)
+        lo = hi
+    return out
+
+
+def _across(threshold: float):
+    """Verified links between different classes in a block, each pair in the first band that it shares.
+
+    An element of weight w counts as w elements, so the overlap of two multisets is a count of shared elements, and one
+    pass over a row's elements gives its overlap with all rows of the block. Only links that join what wasn't joined in
+    the block before are written: at most one fewer than its rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["band", "hash", "_i", "_j"]):
+            n, ids, root = group.num_rows, np.asarray(group.column("doc")), np.asarray(group.column("root"))
+            band, i, j = (group.column(c)[0].as_py() for c in ("band", "_i", "_j"))
+            bands = np.asarray(group.column("bands").combine_chunks().flatten()).reshape(n, BANDS)
+            chunk = np.asarray(group.column("_c"))
+            rows, elements = [], []
+            for words in slices(group.column("text").combine_chunks()):
+                r, e, w = shingles(words)
+                copy = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+                rows.append(words.lo + np.repeat(r, w))
+                elements.append(mix(np.repeat(e, w) + copy.astype(U)))
+            row = np.concatenate(rows)
+            names, code = np.unique(np.concatenate(elements), return_inverse=True)
+            size = np.bincount(row, minlength=n)
+            start = np.r_[0, np.cumsum(size)]
+            by_code = row[np.argsort(code, kind="stable")]
+            code_start = np.r_[0, np.cumsum(np.bincount(code, minlength=len(names)))]
+            label = np.unique(root, return_inverse=True)[1]
+            links: list[tuple[int, int]] = []
+            for x in range(n):
+                other = np.flatnonzero((label[x + 1 :] != label[x]) & ((chunk[x + 1 :] != chunk[x]) if i != j else True)) + x + 1
+                if not len(other):
+                    continue
+                same = bands[other] == bands[x]
+                other = other[(same.argmax(1) == band) & (same.sum(1) >= SHARED_BANDS)]
+                if not len(other):
+                    continue
+                both = _overlaps(code, start, by_code, code_start, x, n)[other]
+                for y in other[both >= threshold * (size[x] + size[other] - both)]:
+                    if label[y] != label[x]:
+                        label[label == label[y]] = label[x]
+                        links.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+            if links:
+                u, v = np.array(links, dtype=np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,9 +233,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     first = cut_lineage(components(led))
     rooted = shared.join(first, F.col("doc") == F.col("node"), "left").select("band", "hash", "load", "doc", F.coalesce("root", "doc").alias("root"))
     mixed = rooted.groupBy("band", "hash").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "hash")
-    open_ = rooted.join(mixed, ["band", "hash"], "left_semi").join(texts.select("doc", "bands"), "doc")
-    across = cut_lineage(in_blocks(open_, ["band", "hash"], "load", "doc").drop("load").mapInArrow(_across, "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti"))
-    links = led.union(verify(across)) if not across.isEmpty() else led
+    open_ = rooted.join(mixed, ["band", "hash"], "left_semi").join(texts.select("doc", "bands"), "doc").join(whole, "doc")
+    across = cut_lineage(in_blocks(open_, ["band", "hash"], "load", "doc").drop("load").mapInArrow(_across(threshold), "u long, v long").distinct())
+    links = led.union(across)
     roots = components(links)
     classes = texts.join(roots, F.col("doc") == F.col("node"), "left").select("key", F.coalesce("root", "doc").alias("class_id"), "n_equal")
     placed = sketches.select("doc", "key").join(classes, "key").select("doc", "class_id", "n_equal")

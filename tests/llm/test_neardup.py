@@ -92,3 +92,18 @@ def test_chains_and_large_groups(spark):
     kept = {r.doc_id for r in neardup.drop_near_duplicates(df).collect()}
     assert kept == {i for i, c in got.items() if i == c}
     assert run(neardup.near_duplicates(df.limit(0))) == {}
+
+
+def test_large_group_of_middling_likeness(spark):
+    """Copies with many edits: some pairs pass, most don't; classes are exactly the components."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(160):
+        t = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            t[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    got = run(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = brute(rows)
+    assert sum(got[i] == want[i] for i in want) >= 158 and len(set(want.values())) > 1
