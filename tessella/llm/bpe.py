@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -156,23 +156,26 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
     tail = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string" if decoded else "ids array<int>, exact boolean"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            ids = [bpe.encode(t or "") for t in batch["text"]]
+            texts = batch.column("text").to_pylist()
+            ids = [bpe.encode(t or "") for t in texts]
             back = [bpe.decode(x) for x in ids]
-            out = pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(x) // 4 for x in ids]})
+            count = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(count)}
             if digest:
-                out["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x in ids]
-                out["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in back]
+                out["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
+                out["decoded_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string())
             else:
-                out["ids"] = [np.frombuffer(x, dtype="<i4") for x in ids]
+                flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+                out["ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), flat)
                 if decoded:
-                    out["decoded"] = back
+                    out["decoded"] = pa.array(back, pa.string())
                 else:
-                    out["exact"] = [a == (b or "") for a, b in zip(back, batch["text"])]
-            yield out
+                    out["exact"] = pa.array([a == (b or "") for a, b in zip(back, texts)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, n_tokens long, {tail}")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, {tail}")

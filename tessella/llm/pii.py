@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -207,15 +208,15 @@ def train_classifier(kind: np.ndarray, votes: np.ndarray, count: np.ndarray) ->
 def fit(docs: DataFrame, text_col: str = "text") -> dict[tuple[int, ...], bool]:
     """Which vote patterns are private, learned from all candidates of all documents."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for t in batch["text"]:
+            for t in batch.column("text").to_pylist():
                 if t:
                     seen.update((k, *v) for _, k, _, v in candidates(t))
-        yield pd.DataFrame({"pattern": [" ".join(map(str, p)) for p in seen], "n": list(seen.values())})
+        yield pa.RecordBatch.from_arrays([pa.array([" ".join(map(str, p)) for p in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "pattern string, n long")
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "pattern string, n long")
     found = sorted((r["pattern"], r["n"]) for r in rows.groupBy("pattern").agg(F.sum("n").alias("n")).collect())
     if not found:
         return {}
@@ -244,20 +245,21 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     private = fit(docs, text_col)
     kind = dict(docs.dtypes)[id_col]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {f"n_{k}": [] for k in BASE} | {"base_sha256": [], "spans": []}
-            for t in batch["text"]:
+            for t in batch.column("text").to_pylist():
                 all_ = spans(t, private) if t else []
                 base = [x for x in all_ if x[1] < len(BASE)]
                 for i, k in enumerate(BASE):
                     out[f"n_{k}"].append(sum(x[1] == i for x in base))
                 out["base_sha256"].append(hashlib.sha256(_joined(base).encode()).hexdigest())
                 out["spans"].append(_joined(all_))
-            yield pd.DataFrame({"doc_id": batch["doc_id"]} | out)
+            columns = [pa.array(v, pa.int64() if k.startswith("n_") else pa.string()) for k, v in out.items()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *out])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
