@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
+from tessella.functions.text import strip
+
 TAIL = 300
 
 
@@ -53,12 +55,12 @@ def normalize_final_answer(text: Column) -> Column:
     for x in REMOVED:
         t = F.replace(t, F.lit(x), F.lit(""))
     for pattern, put in (
-        (r"^.*?(\$)(.*?)(\$).*$", r"\$$2\$"), (r"\\text\{(.*?)\}", "$1"), (r"\\textbf\{(.*?)\}", "$1"), (r"\\overline\{(.*?)\}", "$1"), (r"^.*\\boxed\{(.*)\}.*$", "$1"),
+        (r"(.*?)\$(.*?)\$(.*)", r"\$$2\$"), (r"\\text\{(.*?)\}", "$1"), (r"\\textbf\{(.*?)\}", "$1"), (r"\\overline\{(.*?)\}", "$1"), (r"\\boxed\{(.*)\}", "$1"),
         (r"(frac)([^{])(.)", r"frac{$2}{$3}"), (r"(sqrt)([^{])", r"sqrt{$2}"), (r"\$", ""),
     ):
         t = F.regexp_replace(t, pattern, put)
     t = F.when(F.regexp_replace(t, ",", "").rlike(r"^[0-9]+$"), F.regexp_replace(t, ",", "")).otherwise(t)
-    return F.trim(t)
+    return strip(t)
 
 
 def last_answer_line(text: Column) -> Column:
@@ -75,12 +77,12 @@ def minerva_score(text: Column, truth: Column) -> Column:
 def qa_normalize(text: Column) -> Column:
     """Lower case; punctuation out; articles out; spaces collapsed."""
     t = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(t, r"\b(a|an|the)\b", " "), r"\s+", " "))
 
 
 def qa_answer(text: Column) -> Column:
     """Body of the last <answer> element."""
-    return F.trim(F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1)), F.lit(-1)))
+    return strip(F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1)), F.lit(-1)))
 
 
 def _qa(text: Column, hit: Column) -> Column:

@@ -6,18 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Phrases that mark a paragraph as an instruction (fixed values).
-INSTRUCTION_MARKERS = (
-    "solve the following",
-    "please reason step by step",
-    "put your final answer",
-    "you are a helpful",
-    "answer the following",
-    "think step by step",
-    "respond with",
-)
+INSTRUCTION_MARKERS = ("reason step by step", "final answer", "\\boxed{}", "boxed{}", "assistant", "math problem", "question:")
 TRUE_WORDS = ("1", "true", "yes", "y", "on")
 
 
+def strip(text: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def to_messages(text: Column) -> Column:
     """A plain string is one user message; null is no message."""
     one = F.array(F.struct(F.lit("user").alias("role"), text.alias("content")))
@@ -27,15 +24,16 @@ def to_messages(text: Column) -> Column:
 def join_contents(messages: Column, roles: tuple[str, ...] | None = None) -> Column:
     """Stripped, non-empty contents of the messages of these roles, a blank line between them."""
     own = messages if roles is None else F.filter(messages, lambda m: F.lower(m["role"]).isin(*roles))
-    return F.array_join(F.filter(F.transform(own, lambda m: F.trim(F.coalesce(m["content"], F.lit("")))), lambda t: t != ""), "\n\n")
+    return F.array_join(F.filter(F.transform(own, lambda m: strip(F.coalesce(m["content"], F.lit("")))), lambda t: t != ""), "\n\n")
 
 
 def question_text(messages: Column, mode: str = "user_only") -> Column:
-    """The user's text, or all messages' if that is empty; other modes: all, system_user."""
-    if mode == "all":
+    """The user's text, or all messages' if that is empty; the modes all and system_user join all messages."""
+    if mode not in ("user_only", "all", "system_user"):
+        raise ValueError(f"unknown mode {mode}")
+    if mode != "user_only":
         return join_contents(messages)
-    roles = ("user", "human") if mode == "user_only" else ("system", "user", "human")
-    own = join_contents(messages, roles)
+    own = join_contents(messages, ("user",))
     return F.when(own != "", own).otherwise(join_contents(messages))
 
 
@@ -47,7 +45,7 @@ def build_input_text(question: Column, answer: Column | None = None) -> Column:
 
 def normalize_messages(messages: Column) -> Column:
     """Roles lower case and stripped (empty: user), contents stripped, empty ones dropped."""
-    clean = F.transform(messages, lambda m: F.struct(F.coalesce(F.nullif(F.lower(F.trim(m["role"])), F.lit("")), F.lit("user")).alias("role"), F.trim(F.coalesce(m["content"], F.lit(""))).alias("content")))
+    clean = F.transform(messages, lambda m: F.struct(F.coalesce(F.nullif(F.lower(strip(m["role"])), F.lit("")), F.lit("user")).alias("role"), strip(F.coalesce(m["content"], F.lit(""))).alias("content")))
     return F.filter(clean, lambda m: m["content"] != "")
 
 
@@ -59,48 +57,65 @@ def looks_like_instruction(text: Column) -> Column:
     return out
 
 
+TAGS = ("Question:", "Problem:", "Q:")
+
+
 def strip_instruction(text: Column) -> Column:
-    """Line ends to \\n, trailing <think> off, a first paragraph that is an instruction off, then what follows the last tag."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"\s*<think>\s*$", ""))
-    head, rest = F.substring_index(t, "\n\n", 1), F.regexp_replace(t, r"^[\s\S]*?\n\n", "")
-    t = F.when(t.contains("\n\n") & looks_like_instruction(head), F.trim(rest)).otherwise(t)
-    for tag in ("Question:", "Problem:", "Q:"):
-        t = F.when(t.contains(tag), F.trim(F.substring_index(t, tag, -1))).otherwise(t)
-    return t
+    """The question without what instructs: line ends to \\n, a trailing <think> off, a first paragraph that instructs off;
+    then what follows the last tag after an instruction, or a tag at the start, in any case of letters. Nothing is taken
+    off that would leave nothing."""
+    without_think = lambda c: strip(F.regexp_replace(c, r"(?i)\s*<think>\s*$", ""))
+    t = without_think(strip(F.replace(text, F.lit("\r\n"), F.lit("\n"))))
+    rest = strip(F.regexp_replace(t, r"^[\s\S]*?\n\n", ""))
+    t = F.when(t.contains("\n\n") & looks_like_instruction(F.substring_index(t, "\n\n", 1)) & (rest != ""), rest).otherwise(t)
+
+    def after_last(tag: str) -> Column:
+        tail = F.char_length(F.substring_index(F.lower(t), tag.lower(), -1))
+        at = F.char_length(t) - tail - len(tag)
+        found = strip(F.right(t, tail))
+        return F.when(F.lower(t).contains(tag.lower()) & (at > 0) & looks_like_instruction(F.left(t, at)) & (found != ""), found)
+
+    t = F.coalesce(*[after_last(tag) for tag in TAGS], t)
+
+    def after_first(tag: str) -> Column:
+        found = strip(F.substring(t, F.lit(len(tag) + 1), F.char_length(t)))
+        return F.when(F.lower(t).startswith(tag.lower()) & (found != ""), found)
+
+    return without_think(F.coalesce(*[after_first(tag) for tag in TAGS], t))
 
 
 def extract_question(messages: Column, fallback: list[Column]) -> Column:
     """Last user or human message, else the last message, else the first non-empty fallback."""
     user = F.try_element_at(F.filter(messages, lambda m: F.lower(m["role"]).isin("user", "human")), F.lit(-1))["content"]
     last = F.try_element_at(messages, F.lit(-1))["content"]
-    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (user, last, *fallback)])
+    return F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in (user, last, *fallback)])
 
 
 def first_non_empty(columns: list[Column]) -> Column:
-    return F.coalesce(*[F.nullif(F.trim(c.cast("string")), F.lit("")) for c in columns])
+    return F.coalesce(*[F.nullif(strip(c.cast("string")), F.lit("")) for c in columns])
 
 
 def sanitize_name(text: Column) -> Column:
     """Anything but letters, digits, dot, dash and underscore becomes one underscore; none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.trim(text), r"[^A-Za-z0-9._-]+", "_"), r"^_+|_+$", "")
+    return F.regexp_replace(F.regexp_replace(strip(text), r"[^A-Za-z0-9._-]+", "_"), r"^_+|_+$", "")
 
 
 def to_optional_int(text: Column) -> Column:
     """Integers and integral decimals in text; null for the rest."""
-    d = F.trim(text).try_cast("double")
+    d = strip(text).try_cast("double")
     return F.when(d.isNotNull() & (F.abs(d) < 9.0e15) & (d == F.floor(d)), d.cast("long"))
 
 
 def to_bool(text: Column) -> Column:
-    return F.lower(F.trim(text)).isin(*TRUE_WORDS)
+    return F.lower(strip(text)).isin(*TRUE_WORDS)
 
 
 def clean_text(text: Column) -> Column:
     """Lower case; numbers, LaTeX commands, delimiters, other non-letters and single letters out; spaces collapsed; in this order."""
     t = F.lower(text)
-    for pattern in (r"\d+(\.\d+)?", r"\\[a-z]+", r"[\$\{\}\[\]\(\)\\]", r"[^a-z\s]", r"\b[a-z]\b", r"\s+"):
+    for pattern in (r"\b\d+(?:\.\d+)?\b", r"\\[a-z]+", r"[\$\{\}\[\]\(\)\\]", r"[^a-z\s]", r"\b[a-z]\b", r"\s+"):
         t = F.regexp_replace(t, pattern, " ")
-    return F.trim(t)
+    return strip(t)
 
 
 def ensure_sample_id(direct: Column, index: Column, row: Column) -> Column:

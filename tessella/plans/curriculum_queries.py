@@ -315,7 +315,7 @@ def knn_communities(t):
 
 # texts
 
-CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\d+(\\.\\d+)?', ' ', 'g'), '\\\\[a-z]+', ' ', 'g'), '[\\$\\{\\}\\[\\]\\(\\)\\\\]', ' ', 'g'), '[^a-z\\s]', ' ', 'g'), '\\b[a-z]\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\b\\d+(?:\\.\\d+)?\\b', ' ', 'g'), '\\\\[a-z]+', ' ', 'g'), '[\\$\\{\\}\\[\\]\\(\\)\\\\]', ' ', 'g'), '[^a-z\\s]', ' ', 'g'), '\\b[a-z]\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query(f"SELECT doc_id, md5({CLEAN}) AS cleaned FROM documents")

@@ -45,15 +45,15 @@ def to_messages(t):
     return m.groupBy("conv_id").agg(F.sum(F.size("m")).alias("n"))
 
 
-INSTR = "CASE doc_id % 3 WHEN 0 THEN 'Solve the following problem.' || chr(10) || chr(10) || 'Question: ' || source WHEN 1 THEN 'Plain' || chr(13) || chr(10) || source || ' <think>' ELSE source END"
+INSTR = "CASE doc_id % 3 WHEN 0 THEN 'Please reason step by step.' || chr(10) || chr(10) || 'Question: ' || source WHEN 1 THEN 'Plain' || chr(13) || chr(10) || source || ' <think>' ELSE source END"
 
 
 def _prompts(t):
-    p = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Solve the following problem.\n\nQuestion: "), "source")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Plain\r\n"), "source", F.lit(" <think>"))).otherwise(F.col("source"))
+    p = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Please reason step by step.\n\nQuestion: "), "source")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Plain\r\n"), "source", F.lit(" <think>"))).otherwise(F.col("source"))
     return t.documents.select("doc_id", p.alias("p"), "source")
 
 
-@query(f"SELECT doc_id, lower({INSTR}) LIKE '%solve the following%' AS is_instruction FROM documents")
+@query(f"SELECT doc_id, contains(lower({INSTR}), 'reason step by step') OR contains(lower({INSTR}), 'question:') AS is_instruction FROM documents")
 def looks_like_instruction(t):
     return _prompts(t).select("doc_id", T.looks_like_instruction(F.col("p")).alias("is_instruction"))
 
