@@ -119,12 +119,12 @@ def metrics_aggregator(t):
     return M.aggregate_metrics(_named(t), "name", "value", "weight", "step", last=("critic/score",)).withColumn("value", F.round("value", 2))
 
 
-@query("""WITH m AS (SELECT event_type AS name, event_id % 4 AS rank, (['sum', 'mean', 'max', 'min'])[user_id % 4 + 1] AS how, value FROM events), r AS (SELECT name, how, rank, CASE how WHEN 'sum' THEN sum(value) WHEN 'mean' THEN avg(value) WHEN 'max' THEN max(value) ELSE min(value) END AS v FROM m GROUP BY 1, 2, 3)
-SELECT name, how, round(CASE WHEN how IN ('sum', 'mean') THEN avg(v) WHEN how = 'max' THEN max(v) ELSE min(v) END, 3) AS merged FROM r GROUP BY 1, 2""")
+@query("""WITH m AS (SELECT event_type AS name, event_id % 4 AS rank, (['sum', 'mean', 'max', 'min'])[user_id % 4 + 1] AS how, value / 0.97::DOUBLE AS value FROM events), r AS (SELECT name, how, rank, CASE how WHEN 'sum' THEN sum(value) WHEN 'mean' THEN avg(value) WHEN 'max' THEN max(value) ELSE min(value) END AS v FROM m GROUP BY 1, 2, 3)
+SELECT name, how, round(CASE WHEN how IN ('sum', 'mean') THEN avg(v) WHEN how = 'max' THEN max(v) ELSE min(v) END, 5) AS merged FROM r GROUP BY 1, 2""")
 def metric_dp_merge(t):
     how = F.element_at(F.array(*map(F.lit, ("sum", "mean", "max", "min"))), (F.col("user_id") % 4 + 1).cast("int"))
-    m = t.events.select(F.col("event_type").alias("name"), (F.col("event_id") % 4).alias("rank"), how.alias("how"), "value")
-    return M.dp_merge(m, "name", "rank", "how", "value").withColumn("merged", F.round("merged", 3))
+    m = t.events.select(F.col("event_type").alias("name"), (F.col("event_id") % 4).alias("rank"), how.alias("how"), (F.col("value") / 0.97).alias("value"))
+    return M.dp_merge(m, "name", "rank", "how", "value").withColumn("merged", F.round("merged", 5))
 
 
 @query("SELECT event_type, round(avg(value), 6) AS avg, max(value) AS max, min(value) AS min, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")

@@ -1,6 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives on the same files."""
 
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -22,7 +23,7 @@ def duck(sf_dir):
 def plain(x):
     if x is None or isinstance(x, float) and math.isnan(x):
         return "null"
-    return float(x) + 0.0 if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    return float(x) + 0.0 if isinstance(x, (int, float, Decimal)) and not isinstance(x, bool) else str(x)
 
 
 def rows(columns, data):
