@@ -6,8 +6,8 @@ places i and j, there is a shift s < PERIOD with i + s and j + s both at cover p
 anchor. Anchors are sampled at |D| / PERIOD of all places. What two documents' anchors share is only a candidate: it is
 extended to all windows of LENGTH words around it, whose hashes of 95 bits decide.
 
-Nothing is paired: anchors and windows are reduced to the least doc_id per hash, with partial sums before the shuffle,
-and joined back on the hash. A passage that all documents share costs one row for each of its places. Copies of a whole
+Nothing is paired: a task packs its anchors, each once or twice, before the shuffle; those seen twice are joined back on
+the hash. Windows are reduced to the least doc_id per hash, with partial sums before the shuffle, and joined back too. A passage that all documents share costs one row for each of its places. Copies of a whole
 text are settled first: all but the least lose everything, and the least stands for them in the rest of the work.
 """
 
@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.words import Words, slices, windows
+from tessella.llm.words import Words, mix, slices, windows
 
 LENGTH = 50
 PERIOD = 31
 #: A perfect difference set modulo 31 (fixed values; any difference cover would do).
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = LENGTH - PERIOD + 1
+#: Anchors that a task packs at a time before they are shuffled.
+PACK = 2_000_000
 #: Stands for a null doc_id, which counts as larger than any other.
 LAST = (1 << 63) - 1
 
@@ -36,42 +38,78 @@ _at_cover[list(COVER)] = True
 
 
 def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all anchors of a slice and the words where they begin."""
+    """48-bit hashes of all anchors of a slice and the words where they begin. Anchors only point to candidates."""
     place = np.flatnonzero(_at_cover[words.position() % PERIOD] & (words.left() >= ANCHOR))
-    return windows(words.hashes(), ANCHOR)[place].view(np.int64), place
+    return (windows(words.hashes(), ANCHOR)[place] >> np.uint64(16)).astype(np.int64), place
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(batch.column("doc").to_numpy(zero_copy_only=False), dtype=np.int64)
 
 
-def _first_and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each anchor hash in a slice, the least document, and how far the greatest is from it (mostly 0: small)."""
-    for batch in batches:
-        ids = _ids(batch)
-        for words in slices(batch.column("text")):
-            h, place = _anchors(words)
-            if len(h):
-                doc = ids[words.lo + words.row[place]]
-                order = np.argsort(h, kind="stable")
-                h, doc = h[order], doc[order]
-                at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                lo, hi = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
-                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(lo), pa.array(hi - lo)], ["h", "lo", "gap"])
+def _of_documents(batch: pa.RecordBatch, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each slice, (hash, document): each anchor hash of each document once, sorted by hash."""
+    for words in slices(batch.column("text")):
+        h, place = _anchors(words)
+        if len(h):
+            doc = ids[words.lo + words.row[place]]
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
+            yield h[new], doc[new]
+
+
+def _packed(parts: int):
+    """Anchor hashes of up to PACK at a time, each once, dealt to parts by value: (part, six bytes a hash).
+
+    A hash that several of these documents have is written twice, so that seeing a hash twice means it is shared.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            h = np.sort(np.concatenate(held))
+            third = np.zeros(len(h), dtype=bool)
+            third[2:] = (h[2:] == h[1:-1]) & (h[1:-1] == h[:-2])
+            h = h[~third]
+            part = (mix(h) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            h, part = h[order], part[order]
+            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            six = np.ascontiguousarray(h.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6])
+            return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array([x.tobytes() for x in np.split(six, at[1:])], pa.binary())], ["part", "hashes"])
+
+        for batch in batches:
+            for h, _ in _of_documents(batch, _ids(batch)):
+                held.append(h)
+                if sum(map(len, held)) >= PACK:
+                    yield flush()
+                    held.clear()
+        if held:
+            yield flush()
+
+    return run
+
+
+def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes that occur twice in a partition of packed rows. All packs of a hash are in one partition."""
+    held = [np.frombuffer(x.as_buffer(), dtype=np.uint8).reshape(-1, 6) for batch in batches for x in batch.column("hashes")]
+    if held:
+        six = np.concatenate(held)
+        h = np.zeros((len(six), 8), dtype=np.uint8)
+        h[:, :6] = six
+        h = np.sort(h.view("<i8").ravel())
+        again = np.unique(h[1:][h[1:] == h[:-1]])
+        for lo in range(0, len(again), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(again[lo : lo + 65536])], ["h"])
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each anchor hash of each document once."""
     for batch in batches:
-        ids = _ids(batch)
-        for words in slices(batch.column("text")):
-            h, place = _anchors(words)
-            if len(h):
-                doc = ids[words.lo + words.row[place]]
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                at = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
-                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(doc[at])], ["h", "doc"])
+        for h, doc in _of_documents(batch, _ids(batch)):
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc)], ["h", "doc"])
 
 
 def _in_lists(values: np.ndarray, rows: np.ndarray, lists: pa.Array, lo: int, n: int) -> np.ndarray:
@@ -154,23 +192,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     remove each other's words, and each gets its own row. Other columns are not read. An empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
-    light = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).alias("text"))
+    light = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).alias("text"))
     keys = light.select("doc", F.md5("text").alias("key"))
     least = keys.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key", "least")
     copies = keys.join(least, "key").where("doc > least").groupBy("doc").agg(F.collect_set("key").alias("copied"))
-    # the texts are shuffled once: every step below reads the same exchange
-    whole = light.repartition("doc").join(copies, "doc", "left").select("doc_id", "doc", "text", F.coalesce(F.array_contains("copied", F.md5("text")), F.lit(False)).alias("copy"))
+    # the texts are shuffled once: every step below reads the same exchange, so all must want the same columns of it
+    whole = light.repartition("doc").join(copies, "doc", "left").select("doc", "text", F.coalesce(F.array_contains("copied", F.md5("text")), F.lit(False)).alias("copy"))
     sole = whole.where("not copy").select("doc", "text")
-    shared = (
-        sole.mapInArrow(_first_and_last, "h long, lo long, gap long")
-        .groupBy("h")
-        .agg(F.min("lo").alias("lo"), F.max(F.col("lo") + F.col("gap")).alias("hi"))
-        .where("lo < hi")
-        .select("h")
-    )
+    parts = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shared = sole.mapInArrow(_packed(parts), "part int, hashes binary").repartition(parts, "part").mapInArrow(_twice, "h long")
     marks = sole.mapInArrow(_by_document, "h long, doc long").join(shared, "h", "left_semi").groupBy("doc").agg(F.collect_list("h").alias("shared"))
     found = whole.join(marks, "doc", "left").where("not copy").select("doc", "text", "shared").mapInArrow(_candidates, "a long, b int, doc long")
     firsts = found.groupBy("a", "b").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("a", "b", "lo")
     gone = found.join(firsts, ["a", "b"]).where("doc > lo").groupBy("doc").agg(F.collect_list("a").alias("gone"))
     tail = "kept_sha256 string" if digest else "kept string"
-    return whole.join(gone, "doc", "left").select("doc_id", "text", "copy", "gone").mapInArrow(_strip(digest), f"doc_id {kind}, n_words long, n_removed long, {tail}")
+    return whole.join(gone, "doc", "left").select(F.when(F.col("doc") != LAST, F.col("doc")).cast(kind).alias("doc_id"), "text", "copy", "gone").mapInArrow(_strip(digest), f"doc_id {kind}, n_words long, n_removed long, {tail}")
