@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm.words import Words, mix, slices
+from tessella.llm.words import Words, slices
 
 #: Training documents per language at most, those least by a hash of doc_id. All documents are scored.
 MAX_PER_LANGUAGE = 1500
@@ -28,7 +29,7 @@ SMOOTH = 0.05
 #: Share of a language's training words that must be in a script for the language to be a candidate there.
 SCRIPT_SHARE = 0.005
 #: Bytes of text that go through one run of Viterbi, whose steps are as many as the longest text's words.
-VITERBI_BYTES = 12 << 20
+VITERBI_BYTES = 3 << 20
 
 SCRIPTS = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "eastern", "other")
 
@@ -54,15 +55,16 @@ def trigrams(words: Words) -> np.ndarray:
     """Of each byte, the bucket of the trigram that ends there; BUCKETS where it holds no letter. Case is folded for ASCII and for U+00C0..U+00DE."""
     b = _FOLD[words.data]
     after = np.r_[np.uint8(0), words.data[:-1]] == 0xC3
-    b = np.where(after & (words.data >= 0x80) & (words.data <= 0x9E) & (words.data != 0x97), words.data + 0x20, b).astype(np.int64)
-    one = np.r_[0x20, b[:-1]]
-    two = np.r_[0x20, 0x20, b[:-2]] if len(b) > 1 else np.full(len(b), 0x20)
+    b = np.where(after & (words.data >= 0x80) & (words.data <= 0x9E) & (words.data != 0x97), words.data + 0x20, b).astype(np.uint32)
+    one, two = np.full(len(b), 0x20, dtype=np.uint32), np.full(len(b), 0x20, dtype=np.uint32)
+    one[1:], two[2:] = b[:-1], b[:-2]
     firsts = np.r_[0, words.byte_ends[:-1]]
     firsts = firsts[firsts < len(b)]
     one[firsts] = two[firsts] = 0x20  # a text doesn't go on in the next
     two[firsts[firsts + 1 < len(b)] + 1] = 0x20
-    code = (two << 16) | (one << 8) | b
-    out = (mix(code.astype(np.uint64)) >> np.uint64(48)).astype(np.int64)
+    code = (two << np.uint32(16)) | (one << np.uint32(8)) | b
+    code *= np.uint32(0x9E3779B1)  # four bytes a byte of text: this is the largest array here
+    out = (code >> np.uint32(16)).astype(np.int32)
     out[(b == 0x20) & (one == 0x20)] = BUCKETS
     return out
 
@@ -127,7 +129,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> n
         top = state.argmax(1)
         jump = state[np.arange(now), top] - penalty
         keep = state >= jump[:, None]
-        stay.append(keep), best.append(top)
+        stay.append(keep), best.append(top.astype(np.int16))
         state = np.where(keep, state, jump[:, None]) + score[begin[:now] + t]
     at = np.zeros(len(order), dtype=np.int64)
     for t in range(steps - 1, -1, -1):
@@ -274,7 +276,8 @@ def keep_identified(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                     row = np.repeat(np.arange(n), np.diff(first))
                     mass = np.bincount(row * k + label, weights=letters, minlength=n * k).reshape(n, k)
                     pred += [model.languages[j] for j in mass.argmax(1)]
-            keep = [bool(model.languages) and t is not None and _has_letter(t) for t in texts.to_pylist()]
+            plain = pc.match_substring_regex(texts, "[A-Za-z]").fill_null(False).to_pylist()  # the others are looked at one by one
+            keep = [bool(model.languages) and (p or (texts[i].is_valid and _has_letter(texts[i].as_py()))) for i, p in enumerate(plain)]
             at = batch.schema.get_field_index(lang_col)
             lang = [a if a is not None else b for a, b in zip(batch.column(lang_col).to_pylist(), pred or [None] * batch.num_rows)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(lang, batch.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
