@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text worked on at once (a longer text is worked on alone), and rows at most.
-SLICE_BYTES, SLICE_ROWS = 2 << 20, 1 << 14
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1 << 14
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
