@@ -1,13 +1,18 @@
 """Document fingerprints by Order MinHash (native).
 
-Every run of K words is a k-mer; the o-th occurrence of a k-mer in a text is an element of its own, (k-mer, o). A hash
-of the element deals it to one of BINS bins and orders it within; each bin selects its L least elements, puts them back
-into text order and hashes the tuple of their k-mers. Texts whose words are the same but in another order thus differ,
-as under edit distance. A fingerprint is the list of bins with their tuples; likeness is the share of the bins filled
-in either text that hold the same tuple.
+Every run of K words (of K characters in a text of under MIN_WORDS words) is a k-mer; the o-th occurrence of a k-mer in
+a text is an element of its own, (k-mer, o). Each of 64 bins has an order of its own over all elements, selects the L
+least of the whole text, puts them back into text order and hashes the tuple of their k-mers. Texts whose words are the
+same but in another order thus differ, as under edit distance. A fingerprint is the list of bins with their tuples;
+likeness is the share of the bins filled in either text that hold the same tuple.
+
+A bin's order is: the elements that a first hash deals to it, by that hash, then all others by a hash of (element, bin).
+It doesn't depend on the text, and by symmetry each order of the elements is equally likely, as Order MinHash asks. A
+bin that was dealt L elements has its selection among these; only the other bins, which short texts have, read the
+whole text again.
 
 All steps are array functions on longs: hash and place share a long, so a plain sort of longs brings equal k-mers, and
-later each bin's elements, together. Work is O(n log n) in the words of a text; only the L least of a bin are kept.
+later each bin's elements, together. Work is O(n log n) in the words of a text, and n for each bin with too few.
 """
 
 from __future__ import annotations
@@ -18,6 +23,10 @@ from pyspark.sql.window import Window
 
 K, L = 3, 3
 BIN_BITS = 6
+#: Texts of fewer words are cut into characters, since so few words leave next to no choice of L k-mers.
+MIN_WORDS = K + L + 2
+#: A bin that reads the whole text sorts about so many of its least elements (all, where this leaves under L).
+LOOK = 16
 #: Low bits of a long that hold a place; a text with more words than 2**PLACE_BITS has its places wrap around.
 PLACE_BITS = 24
 _PLACE = (1 << PLACE_BITS) - 1
@@ -35,10 +44,12 @@ def _runs(values: Column, shift: int) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add `out`: array of longs, one for each filled bin, bin in the high bits; empty for a text without words."""
-    w, h, s, r, e, p = (f"_{out}_{x}" for x in "whsrep")
+    """Add `out`: array of longs, one for each of the 64 bins, bin in the high bits; empty for a text without words."""
+    w, h, s, r, e, p, f, t = (f"_{out}_{x}" for x in "whsrepft")
     words = F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), "")
     df = df.withColumn(w, words)
+    few = F.size(w).between(1, MIN_WORDS - 1)
+    df = df.withColumn(w, F.when(few, F.split(F.array_join(w, " "), "")).otherwise(F.col(w)))
     n = F.size(w)
     kmers = F.transform(F.sequence(F.lit(0), n - K), lambda i: F.xxhash64(*[F.get(F.col(w), i + j) for j in range(K)]))
     df = df.withColumn(h, F.when(n >= K, kmers).when(n > 0, F.array(F.xxhash64(F.col(w)))).otherwise(F.array().cast("array<long>"))).drop(w)
@@ -54,17 +65,33 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
 
     df = df.withColumn(e, F.sort_array(F.flatten(F.transform(F.col(r), number)))).drop(s, r)
     bin_ = 64 - BIN_BITS
-    df = df.withColumn(p, F.filter(F.col(e), lambda x, i: ~F.shiftright(x, bin_).eqNullSafe(F.shiftright(F.get(F.col(e), i - L), bin_)))).drop(e)
-    df = df.withColumn(r, F.when(F.size(p) > 0, _runs(F.col(p), bin_)).otherwise(F.array().cast("array<int>")))
-
-    def tuple_(start: Column, j: Column) -> Column:
-        stop = F.coalesce(F.get(F.col(r), j + 1), F.size(p))
-        places = F.sort_array(F.transform(F.slice(F.col(p), start + 1, stop - start), lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int")))
+    df = df.withColumn(p, F.filter(F.col(e), lambda x, i: ~F.shiftright(x, bin_).eqNullSafe(F.shiftright(F.get(F.col(e), i - L), bin_))))
+    # starts of the bins with L elements of their own: the last of these is in the same bin
+    starts = F.filter(_runs(F.col(p), bin_), lambda i: F.shiftright(F.get(F.col(p), i), bin_).eqNullSafe(F.shiftright(F.get(F.col(p), i + (L - 1)), bin_)))
+    df = df.withColumn(r, F.when(F.size(p) > 0, starts).otherwise(F.array().cast("array<int>")))
+    half = 1 << (BIN_BITS - 1)
+    every = F.array(*[F.lit(b).cast("long") for b in range(-half, half)])
+    df = df.withColumn(f, F.when(F.size(p) > 0, F.array_except(every, F.transform(F.col(r), lambda i: F.shiftright(F.get(F.col(p), i), bin_)))).otherwise(F.array().cast("array<long>")))
+    df = df.withColumn(t, F.when(F.size(e) > LOOK, (F.lit(LOOK * 2.0**64) / F.size(e) - F.lit(2.0**63)).cast("long")).otherwise(F.lit((1 << 63) - 1)))
+
+    def tuple_(bin_no: Column, elements: Column) -> Column:
+        places = F.sort_array(F.transform(elements, lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int")))
         code = F.xxhash64(F.transform(places, lambda i: F.get(F.col(h), i)))
-        high = F.get(F.col(p), start).bitwiseAND(F.lit(-1 << bin_))
-        return high.bitwiseOR(F.shiftrightunsigned(code, BIN_BITS))
+        return F.shiftleft(bin_no, bin_).bitwiseOR(F.shiftrightunsigned(code, BIN_BITS))
+
+    def dealt(start: Column) -> Column:
+        return tuple_(F.shiftright(F.get(F.col(p), start), bin_), F.slice(F.col(p), start + 1, L))
+
+    def of_all(b: Column) -> Column:
+        def key(x: Column) -> Column:
+            other = F.xxhash64(F.shiftright(x, PLACE_BITS), b).bitwiseAND(F.lit(~_PLACE))
+            return F.when(F.shiftright(x, bin_) == b, F.lit(-1 << 63)).otherwise(other).bitwiseOR(x.bitwiseAND(F.lit(_PLACE)))
+
+        least = F.filter(F.transform(F.col(e), key), lambda x: x <= F.col(t))
+        enough = F.transform(F.array(least), lambda x: F.when(F.size(x) >= L, x).otherwise(F.transform(F.col(e), key)))
+        return tuple_(b, F.slice(F.sort_array(F.get(enough, F.lit(0))), 1, L))
 
-    return df.withColumn(out, F.transform(F.col(r), tuple_)).drop(h, p, r)
+    return df.withColumn(out, F.sort_array(F.concat(F.transform(F.col(r), dealt), F.transform(F.col(f), of_all)))).drop(h, p, r, e, f, t)
 
 
 def likeness(a: str | Column, b: str | Column) -> Column:
@@ -76,7 +103,7 @@ def likeness(a: str | Column, b: str | Column) -> Column:
 
 
 def as_text(fingerprint: str) -> Column:
-    """Ten hex digits for each filled bin: the bin's number and 34 bits of its tuple's hash."""
+    """Ten hex digits for each bin: the bin's number and 34 bits of its tuple's hash."""
     return F.array_join(F.transform(F.col(fingerprint), lambda v: F.lpad(F.lower(F.hex(F.shiftrightunsigned(v, 24))), 10, "0")), "")
 
 

@@ -1,6 +1,7 @@
 """op2: the edited texts against brute force; fingerprints by a plain restatement of the selection."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -57,3 +58,51 @@ def test_edges(spark):
     assert one.near_next == 1 and one.n_chars == 18
     odd = spark.createDataFrame([(None, "a b c"), (1, "d e f"), (1, "d e f")], "doc_id long, text string")
     assert fingerprint.fingerprint_documents(odd).where(F.col("doc_id").isNull()).count() == 1
+
+
+def true_omh(a, b, hashes=200):
+    """Share of independent orders of all elements under which the L least, in text order, are the same."""
+
+    def elements(words):
+        seen, out = {}, []
+        for i in range(len(words) - fingerprint.K + 1):
+            k = tuple(words[i : i + fingerprint.K])
+            seen[k] = seen.get(k, -1) + 1
+            out.append((k, seen[k]))
+        return out
+
+    ea, eb = elements(a), elements(b)
+    same = 0
+    for seed in range(hashes):
+        rng = random.Random(seed)
+        order = {x: rng.random() for x in sorted({*ea, *eb})}
+        pick = lambda e: [e[i][0] for i in sorted(sorted(range(len(e)), key=lambda i: order[e[i]])[: fingerprint.L])]
+        same += pick(ea) == pick(eb)
+    return same / hashes
+
+
+def test_short_texts_keep_their_order(spark):
+    """Halves swapped: likeness is that of Order MinHash with an order of all k-mers for each bin, at any length."""
+    rng = random.Random(2)
+    rows, want = [], {}
+    for n in (10, 30, 50, 80, 150, 250):
+        for i in range(12):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            moved = words[n // 2 :] + words[: n // 2]
+            rows.append((n, " ".join(words), " ".join(moved)))
+            want.setdefault(n, []).append(true_omh(words, moved))
+    df = spark.createDataFrame(rows, "n int, a string, b string").repartition(4)
+    df = fingerprint.with_fingerprint(fingerprint.with_fingerprint(df, "a", "x"), "b", "y")
+    got = df.groupBy("n").agg(F.avg(fingerprint.likeness("x", "y")).alias("near"), F.min(F.size("x")).alias("bins")).collect()
+    for r in got:
+        assert r.bins == 64
+        assert abs(r.near - sum(want[r.n]) / 12) < 0.08, (r.n, r.near)
+
+
+def test_few_words_are_cut_into_characters(spark):
+    rng = random.Random(3)
+    a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400))
+    rows = [(a, a[:-4]), (a, a[200:] + a[:200]), ("é" + a, a), ("one two three four", "one  two three four")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    near = [r[0] for r in fingerprint.with_fingerprint(fingerprint.with_fingerprint(df, "a", "x"), "b", "y").select(fingerprint.likeness("x", "y")).collect()]
+    assert 0.8 < near[0] <= 1 and 0 < near[1] < 0.45 and near[2] > 0.8 and near[3] == 1
