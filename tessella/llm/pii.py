@@ -137,10 +137,10 @@ def candidates(text: str) -> list[tuple[int, int, int, tuple[int, ...]]]:
     out = [(s, k, e, _votes(text, KINDS[k], s, e)) for s, k, e in base]
     low = None
     for k, kind in enumerate(MORE, len(BASE)):
-        if kind in ("national_phone", "identity") and "-" not in text and "." not in text and "(" not in text:
+        if kind == "identity" and "-" not in text:
             continue
         if kind in _HINT and _HINT[kind]:
-            low = text.lower() if low is None else low
+            low = text.casefold() if low is None else low  # as (?i) folds case
             if kind == "written_email":
                 if " dot " not in low and "[dot]" not in low and "(dot)" not in low:
                     continue

@@ -58,6 +58,25 @@ def test_long_runs_take_linear_time():
         pii.candidates(t)
 
 
+def found(text, kind):
+    return [(s, e) for s, k, e, _ in pii.candidates(text) if pii.KINDS[k] == kind]
+
+
+def test_prefilters_lose_no_candidate():
+    assert found("call me at phone 415 555 0132 today", "national_phone") == [(17, 29)]
+    assert found("social 123-45-6789 x", "identity") == [(7, 18)]
+    assert found("\u017fecret=abcd1234efgh", "credential") == [(0, 19)]
+    rng = random.Random(7)
+    bits = ["415", "555", "0132", " ", "-", ".", "(415) ", "123-45-6789", "token", "\u017fecret", "to\u212aen", "=", "abcd1234", "ann at mail dot com", "[dot]", "DE89 3704 0044 0532 0130 00", "x"]
+    for _ in range(4000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(12)))
+        base = pii.base_spans(t)
+        for kind in pii.MORE:
+            want = [m.span() for m in pii._LOOSE[kind].finditer(t)]
+            want = [x for x in want if kind == "credential" or not any(a < x[1] and x[0] < b for a, _, b in base)]
+            assert found(t, kind) == want, (kind, t)
+
+
 def test_em_finds_the_unreliable_labeler():
     rng = np.random.default_rng(0)
     truth = rng.random(20_000) < 0.6
