@@ -37,7 +37,7 @@ _LOOSE = {
     "national_phone": re.compile(r"(?<![\w+./-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"),
     "identity": re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "account": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
-    "credential": re.compile(r"(?i)(?<!\w)(?:token|api[_-]?key|secret|passwor[dt]|passwd|pwd) {0,3}[:=] {0,3}[\"']?[^\s\"']{8,128}"),
+    "credential": re.compile(r"(?i)(?<!\w)(?:token|api[_-]?key|secret|passwor[dt]|passwd|pwd) {0,3}[:=] {0,3}[\"']?[^\s\"']{8,}"),
 }
 _HINT = {"written_email": ("at",), "account": (), "credential": ("token", "key", "secret", "passw", "pwd")}
 

@@ -77,6 +77,13 @@ def test_prefilters_lose_no_candidate():
             assert found(t, kind) == want, (kind, t)
 
 
+def test_a_credential_runs_to_its_end(spark):
+    secrets = [random.Random(i).randbytes(160).hex() for i in range(30)]
+    assert len(secrets[0]) == 320 and found(f"token={secrets[0]} x", "credential") == [(0, 326)]
+    df = spark.createDataFrame([(i, f"set token={s} now") for i, s in enumerate(secrets)], "doc_id long, text string")
+    assert {r.text for r in pii.mask_pii(df).collect()} == {"set <CREDENTIAL> now"}
+
+
 def test_em_finds_the_unreliable_labeler():
     rng = np.random.default_rng(0)
     truth = rng.random(20_000) < 0.6
