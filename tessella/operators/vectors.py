@@ -76,42 +76,48 @@ def nearest_centroid(df: DataFrame, centroids: DataFrame, key: str, vector: str,
     return df.join(F.broadcast(table)).select(key, best.alias("_b")).select(key, F.col("_b.c").alias("cluster_id"), F.col("_b.d").alias("distance_to_centroid"))
 
 
-def knn(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, dim: int, most: int = 65_536) -> DataFrame:
-    """Exact k nearest neighbours by euclidean distance of a query set of stated size, self left out.
+def knn(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, dim: int, query_block: int = 2048, row_block: int = 8192) -> DataFrame:
+    """Exact k nearest neighbours by euclidean distance (to nine decimals, ties to the least key), self left out.
 
-    Queries go to all rows in blocks: the query set (at most `most`, else an error) is one array per block, so each row
-    is read once per block and keeps its own distance list; the k least per query are merged by a partial aggregate.
+    Both sides are dealt into blocks of about query_block and row_block vectors, packed into a row each; each pair of
+    blocks is one unit of work that writes its k least per query, and these are merged. Any number of queries works.
     """
     import numpy as np
     import pyarrow as pa
 
-    q = queries.select(key, vector).limit(most + 1).collect()
-    if len(q) > most:
-        raise ValueError(f"more than {most} queries")
-    ids = np.array([r[key] for r in q], dtype=np.int64)
-    block = np.array([r[vector] for r in q], dtype=np.float64).reshape(-1, dim)
-    sq = (block * block).sum(1)
+    def packed(df: DataFrame, block: int, name: str) -> DataFrame:
+        n = max(1, -(-df.count() // block))
+        own = df.select(F.pmod(F.xxhash64(F.lit("block"), key), F.lit(n)).alias("_b"), F.col(key).cast("long").alias("_k"), F.transform(vector, lambda x: x.cast("double")).alias("_v"))
+        one = own.repartition(min(n, 64), "_b").groupBy("_b").agg(F.collect_list(F.struct("_k", "_v")).alias("_r"))
+        return one.select(F.transform("_r", lambda r: r["_k"]).alias(f"{name}_k"), F.flatten(F.transform("_r", lambda r: r["_v"])).alias(f"{name}_v"))
+
+    def least(ids, a, own, b):
+        """Places and distances of the k least rows of each query of a slice."""
+        sa, sb = (a * a).sum(1), (b * b).sum(1)
+        d2 = sa[:, None] - 2 * a @ b.T + sb[None]
+        d2[ids[:, None] == own[None]] = np.inf
+        kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if len(own) > k else np.full(len(ids), np.inf)
+        slack = 1e-12 * (sa + sb.max())  # the product's rounding; what may be among the k least is measured again
+        most = (np.sqrt(np.maximum(kth + slack, 0)) + 2e-9) ** 2 + slack
+        i, j = np.nonzero((d2 <= most[:, None]) & np.isfinite(d2))
+        d = np.concatenate([np.zeros(0)] + [np.sqrt(((a[i[c : c + 65536]] - b[j[c : c + 65536]]) ** 2).sum(1)) for c in range(0, len(i), 65536)])
+        order = np.lexsort((own[j], np.round(d, 9), i))
+        i, j, d = i[order], j[order], d[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[first], j[first], d[first]
 
     def run(batches):
-        best_d = np.full((len(ids), 0), np.inf)
-        best_i = np.zeros((len(ids), 0), dtype=np.int64)
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            own = np.asarray(b.column(key), dtype=np.int64)
-            x = np.asarray(b.column(vector).flatten(), dtype=np.float64).reshape(-1, dim)
-            d = np.sqrt(np.maximum(sq[:, None] - 2 * block @ x.T + (x * x).sum(1)[None], 0))
-            d[ids[:, None] == own[None]] = np.inf
-            d = np.concatenate([best_d, d], 1)
-            i = np.concatenate([best_i, np.broadcast_to(own, (len(ids), len(own)))], 1)
-            keep = np.lexsort((i, d))[:, :k]
-            best_d, best_i = np.take_along_axis(d, keep, 1), np.take_along_axis(i, keep, 1)
-        ok = np.isfinite(best_d)
-        row = np.nonzero(ok)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_i[ok]), pa.array(best_d[ok])], ["src", "dst", "distance"])
-
-    near = rows.select(key, vector).mapInArrow(run, "src long, dst long, distance double")
-    w = Window.partitionBy("src").orderBy("distance", "dst")
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, own = (np.asarray(batch.column(c)[r].values, dtype=np.int64) for c in ("q_k", "r_k"))
+                a, b = (np.asarray(batch.column(c)[r].values, dtype=np.float64).reshape(-1, dim) for c in ("q_v", "r_v"))
+                for lo in range(0, len(ids), 256):
+                    i, j, d = least(ids[lo : lo + 256], a[lo : lo + 256], own, b)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + i]), pa.array(own[j]), pa.array(d)], ["src", "dst", "distance"])
+
+    pairs = packed(queries, query_block, "q").crossJoin(packed(rows, row_block, "r"))
+    near = pairs.mapInArrow(run, "src long, dst long, distance double")
+    w = Window.partitionBy("src").orderBy(F.round("distance", 9), "dst")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
