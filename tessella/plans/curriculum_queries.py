@@ -309,8 +309,9 @@ def dbscan(t):
 
 @query()
 def knn_communities(t):
-    """Label propagation over the neighbour graph, in place of Leiden; rows only."""
-    return K.label_propagation(V.knn_edges(_near(t, 5), t.embeddings, "vec_id", "embedding"))
+    """Label propagation over the graph of every vector's neighbours, in place of Leiden; rows only."""
+    near = V.knn(t.embeddings, t.embeddings, "vec_id", "embedding", 5, DIM)
+    return K.label_propagation(V.knn_edges(near, t.embeddings, "vec_id", "embedding"))
 
 
 # texts
