@@ -45,10 +45,10 @@ def bootstrap(df: DataFrame, group: list[str], value: str, size: int, reducers:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.RandomState(seed)
         values = pdf[value].to_numpy()
-        draws = np.array([values[rng.choice(len(values), size=size, replace=True)] for _ in range(rounds)])
+        draws = values[rng.choice(len(values), size=(rounds, size), replace=True)]  # the same numbers as a draw a round
         out = {g: [pdf[g].iloc[0]] for g in group}
         for name, f in reducers.items():
-            r = np.array([f(d) for d in draws])
+            r = f(draws, axis=1) if f in (np.max, np.min) else np.array([f(d) for d in draws])
             out[f"{name}_mean"], out[f"{name}_std"] = [r.mean()], [r.std()]
         return pd.DataFrame(out)
 

@@ -79,8 +79,7 @@ def bootstrap_best_n(t):
     """Seeded resamples: rows only; a test compares the means with best_of_k."""
     import numpy as np
 
-    few = t.responses.where("uid < 50")  # the groups of fifty prompts: a report over a validation set
-    return M.bootstrap(few, ["uid"], "score", 4, {"best": np.max, "worst": np.min}, rounds=200)
+    return M.bootstrap(t.responses, ["uid"], "score", 4, {"best": np.max, "worst": np.min})
 
 
 @query("""SELECT var AS name, CASE WHEN var IN ('acc', 'reward') THEN 'val-core' ELSE 'val-aux' END || '/' || source || '/' || var AS routed FROM (SELECT DISTINCT o_orderpriority AS source FROM orders), (SELECT unnest(['acc', 'reward', 'length']) AS var)""")

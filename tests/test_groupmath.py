@@ -118,3 +118,21 @@ def test_bootstrap_approaches_the_exact_value(spark):
     assert sorted(exact) == [2, 4, 6]
     boot = M.bootstrap(df, ["g"], "v", 4, {"best": np.max}, rounds=4000).first()
     assert abs(boot.best_mean - exact[4]) < 0.1
+
+
+def test_bootstrap_query_has_every_prompt(spark, sf_dir):
+    from tessella.plans import metric_queries  # noqa: F401
+    from tessella.plans.registry import QUERIES, Tables
+
+    t = Tables(spark, sf_dir)
+    got = {r.uid: r for r in QUERIES["bootstrap_best_n"](spark, sf_dir).collect()}
+    scores = {}
+    for r in t.responses.orderBy("seq").collect():
+        scores.setdefault(r.uid, []).append(r.score)
+    assert set(got) == set(scores) and max(got) >= 50
+    for uid, v in scores.items():  # the mean of the best of four draws, to the noise of 1000 rounds
+        v, n = sorted(v), len(v)
+        exact = sum(x * (((i + 1) / n) ** 4 - (i / n) ** 4) for i, x in enumerate(v))
+        assert abs(got[uid].best_mean - exact) <= 6 * got[uid].best_std / 1000**0.5 + 1e-9
+    rng = np.random.RandomState(42)
+    assert (np.array([rng.choice(7, size=4) for _ in range(1000)]) == np.random.RandomState(42).choice(7, size=(1000, 4))).all()
