@@ -25,9 +25,26 @@ def local_session(app: str = "tessella", cores: int | str = 8, partitions: int =
     )
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, at most: with few large rows, the row count alone bounds nothing.
+ARROW_BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes; a smaller bound that the session has is kept."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > ARROW_BATCH_BYTES:
+        spark.conf.set(key, str(ARROW_BATCH_BYTES))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; set one of our own only where it is unset."""
+    """Use the folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster that is an error, since a local folder
+    is not seen by the other machines.
+    """
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-checkpoint-"))
 
 
@@ -45,7 +62,11 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application, so functions pickled by name can be loaded there."""
+    """Send this package to the Python workers once per application, so functions pickled by name can be loaded there.
+
+    Batches for the workers are bounded from here on (bound_batches).
+    """
+    bound_batches(spark)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
