@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tessella.llm.words import frugal
+
 #: Pieces kept per worker, and the longest piece (in bytes) that is kept.
 CACHE_PIECES, CACHE_BYTES = 400_000, 64
 
@@ -178,4 +180,4 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, {tail}")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, n_tokens long, {tail}")

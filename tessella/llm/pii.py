@@ -16,11 +16,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.words import frugal
+from tessella.session import cut_lineage
+
 BASE = ("email", "ip", "card", "phone")
 MORE = ("written_email", "national_phone", "identity", "account", "credential")
 KINDS = (*BASE, *MORE)
@@ -205,25 +207,33 @@ def train_classifier(kind: np.ndarray, votes: np.ndarray, count: np.ndarray) ->
     return w
 
 
+def learn(patterns: DataFrame) -> dict[tuple[int, ...], bool]:
+    """Which vote patterns are private, from a table (pattern, n) of all candidates of all documents."""
+    found = sorted((r["pattern"], r["n"]) for r in patterns.groupBy("pattern").agg(F.sum("n").alias("n")).collect())
+    if not found:
+        return {}
+    table = np.array([[int(x) for x in p.split(" ")] for p, _ in found])
+    kind, votes, count = table[:, 0], table[:, 1:], np.array([n for _, n in found], dtype=float)
+    w = train_classifier(kind, votes, count)
+    return {tuple(int(x) for x in row): bool(s > 0) for row, s in zip(table, _design(kind, votes) @ w)}
+
+
+def _pattern(kind: int, votes: tuple[int, ...]) -> str:
+    return " ".join(map(str, (kind, *votes)))
+
+
 def fit(docs: DataFrame, text_col: str = "text") -> dict[tuple[int, ...], bool]:
     """Which vote patterns are private, learned from all candidates of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                if t:
-                    seen.update((k, *v) for _, k, _, v in candidates(t))
-        yield pa.RecordBatch.from_arrays([pa.array([" ".join(map(str, p)) for p in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
+            for t in batch.column("text"):
+                if t.is_valid:
+                    seen.update(_pattern(k, v) for _, k, _, v in candidates(t.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "pattern string, n long")
-    found = sorted((r["pattern"], r["n"]) for r in rows.groupBy("pattern").agg(F.sum("n").alias("n")).collect())
-    if not found:
-        return {}
-    table = np.array([[int(x) for x in p.split(" ")] for p, _ in found])
-    kind, votes, count = table[:, 0], table[:, 1:], np.array([n for _, n in found], dtype=float)
-    w = train_classifier(kind, votes, count)
-    return {tuple(int(x) for x in row): bool(s > 0) for row, s in zip(table, _design(kind, votes) @ w)}
+    return learn(docs.select(F.col(text_col).alias("text")).mapInArrow(frugal(run), "pattern string, n long"))
 
 
 def spans(text: str, private: dict[tuple[int, ...], bool]) -> list[tuple[int, int, int]]:
@@ -235,53 +245,78 @@ def _joined(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
 
 
+_FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, span array<string>, kind array<int>, pattern array<string>"
+
+
+def _lists(values: list[list], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array([x for v in values for x in v], kind))
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text, the base spans' counts and digest, and all candidates: span, kind and vote pattern."""
+    for batch in batches:
+        out: dict[str, list] = {f"n_{k}": [] for k in BASE} | {"base_sha256": [], "span": [], "kind": [], "pattern": []}
+        for t in batch.column("text"):
+            all_ = candidates(t.as_py()) if t.is_valid else []
+            base = [x[:3] for x in all_ if x[1] < len(BASE)]
+            for i, k in enumerate(BASE):
+                out[f"n_{k}"].append(sum(x[1] == i for x in base))
+            out["base_sha256"].append(hashlib.sha256(_joined(base).encode()).hexdigest())
+            out["span"].append([_joined([x[:3]]) for x in all_])
+            out["kind"].append([x[1] for x in all_])
+            out["pattern"].append([_pattern(k, v) for _, k, _, v in all_])
+        columns = [pa.array(out[f"n_{k}"], pa.int64()) for k in BASE]
+        columns += [pa.array(out["base_sha256"], pa.string()), _lists(out["span"], pa.string()), _lists(out["kind"], pa.int32()), _lists(out["pattern"], pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *out])
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans.
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind; base_sha256 is over the base spans
-    alone. A null text counts as empty. Each row is judged alone, so repeated rows give equal results. Other columns
-    are not read. An empty table gives no rows.
+    alone. A null text counts as empty. Each row is judged alone, so repeated rows give equal results, and a text of
+    any length is read once, whole. Other columns are not read. An empty table gives no rows.
+
+    The texts are read once: their candidates, which are few, are a table of their own, from which the model is learned
+    and the spans are then chosen.
     """
-    private = fit(docs, text_col)
     kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    light = cut_lineage(rows.mapInArrow(frugal(_found), f"doc_id {kind}, {_FOUND}"))
+    private = learn(light.select(F.explode("pattern").alias("pattern"), F.lit(1).cast("long").alias("n")))
+    chosen = F.array(*[F.lit(_pattern(p[0], p[1:])) for p, yes in sorted(private.items()) if yes and p[0] >= len(BASE)]).cast("array<string>")
+    both = F.filter(F.arrays_zip("span", "kind", "pattern"), lambda x: (x["kind"] < len(BASE)) | F.array_contains(chosen, x["pattern"]))
+    return light.select("doc_id", *[f"n_{k}" for k in BASE], "base_sha256", F.array_join(F.transform(both, lambda x: x["span"]), ",").alias("spans"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {f"n_{k}": [] for k in BASE} | {"base_sha256": [], "spans": []}
-            for t in batch.column("text").to_pylist():
-                all_ = spans(t, private) if t else []
-                base = [x for x in all_ if x[1] < len(BASE)]
-                for i, k in enumerate(BASE):
-                    out[f"n_{k}"].append(sum(x[1] == i for x in base))
-                out["base_sha256"].append(hashlib.sha256(_joined(base).encode()).hexdigest())
-                out["spans"].append(_joined(all_))
-            columns = [pa.array(v, pa.int64() if k.startswith("n_") else pa.string()) for k, v in out.items()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *out])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+def masked(text: str, private: dict[tuple[int, ...], bool]) -> str:
+    """The text with every span replaced by <KIND>; overlapping spans become one, named after the first."""
+    parts, at, until = [], 0, -1
+    for s, k, e in spans(text, private):
+        if s >= until:
+            parts += [text[at:s], f"<{KINDS[k].upper()}>"]
+        until = at = max(until, e)
+    return "".join([*parts, text[at:]]) if parts else text
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by <KIND>; overlapping spans become one, named after the first.
 
-    A null text stays null. n_chars, where there is such a column, follows the text.
+    A null text stays null. n_chars, where there is such a column, follows the text. Every row stays, repeated ones as
+    well; other columns pass through. An empty table gives no rows.
     """
     private = fit(docs, text_col)
 
-    @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            if t:
-                parts, at, until = [], 0, -1
-                for s, k, e in spans(t, private):
-                    if s >= until:
-                        parts += [t[at:s], f"<{KINDS[k].upper()}>"]
-                    until = at = max(until, e)
-                t = "".join([*parts, t[at:]])
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    out = docs.withColumn(text_col, mask(F.col(text_col)))
-    return out.withColumn("n_chars", F.char_length(text_col).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [masked(t.as_py(), private) if t.is_valid else None for t in batch.column(text_col)]
+            at = batch.schema.get_field_index(text_col)
+            out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            if "n_chars" in batch.schema.names:
+                at = batch.schema.get_field_index("n_chars")
+                size = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                out = out.set_column(at, batch.schema.field(at), size.cast(batch.schema.field(at).type))
+            yield out
+
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -7,14 +7,15 @@ byte values (or for words), so the hash of any window comes from two prefix sums
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text worked on at once (a longer text is worked on alone), and rows at most.
-SLICE_BYTES, SLICE_ROWS = 1 << 20, 1 << 14
+SLICE_BYTES, SLICE_ROWS = 1 << 19, 1 << 13
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -22,6 +23,30 @@ _P = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and so would their peaks."""
+    for which, have in list(_tables.items()):
+        if len(have[0]) > 2 * SLICE_BYTES:  # made for a long text
+            del _tables[which]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, with freed memory given back when the task ends."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return bounded
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads all bits (the finaliser of splitmix64)."""
     x = x.astype(U, copy=True)
