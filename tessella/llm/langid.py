@@ -15,12 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessella.llm.words import Words, slices
+from tessella.llm.words import Words, frugal, slices
 
 #: Training documents per language at most, those least by a hash of doc_id. All documents are scored.
 MAX_PER_LANGUAGE = 1500
+#: Bits of a digit of a row's place in its language's hash order; a place has three digits.
+DIGIT = 10
 #: Languages at most; more is an error.
 MAX_LANGUAGES = 256
 BUCKETS = 1 << 16
@@ -143,13 +144,41 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> n
     return label
 
 
+def _last_places(known: DataFrame, languages: list[str]) -> dict[str, int]:
+    """By language, the place u of its MAX_PER_LANGUAGE-th row (the last place, if it has fewer).
+
+    Places are found digit by digit from counts, which are partial sums: no task ranks the rows of a language. A count
+    per language and digit value comes to the driver.
+    """
+    prefix, want = dict.fromkeys(languages, 0), dict.fromkeys(languages, MAX_PER_LANGUAGE)
+    for level in (2, 1, 0):
+        now = known.sparkSession.createDataFrame(list(prefix.items()), "_lang string, _prefix int")
+        digit = F.shiftright("u", level * DIGIT)
+        rows = known.join(F.broadcast(now), (F.col("lang") == F.col("_lang")) & (F.shiftright("u", (level + 1) * DIGIT) == F.col("_prefix")))  # MAX_LANGUAGES rows
+        counts: dict[str, dict[int, int]] = {x: {} for x in prefix}
+        for r in rows.groupBy("lang", digit.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect():
+            counts[r["lang"]][r["d"]] = r["n"]
+        for x in list(prefix):
+            for d, n in sorted(counts[x].items()):
+                prefix[x] = d
+                if n >= want[x]:
+                    break
+                want[x] -= n
+            else:
+                del prefix[x]  # fewer rows than wanted: all are taken
+        if not prefix:
+            break
+    return {x: prefix.get(x, (1 << 3 * DIGIT) - 1) for x in languages}
+
+
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """The model, from at most MAX_PER_LANGUAGE documents of each language with crc32(doc_id) mod 4 other than 2."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(lang_col).alias("lang")).where("doc is not null and lang is not null")
-    rows = rows.where(F.pmod(F.crc32(F.col("doc").cast("string")), F.lit(4)) != 2)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc"))
-    rows = rows.withColumn("nth", nth).where(F.col("nth") <= MAX_PER_LANGUAGE).select("doc", "lang")
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    """The model, from at most MAX_PER_LANGUAGE rows of each language with crc32(doc_id) mod 4 other than 2.
+
+    A row whose id or lang is null teaches nothing. Rows that share the last one's place in the hash order are all taken.
+    """
+    taught = F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2)
+    known = docs.where(taught).select(F.col(lang_col).cast("string").alias("lang"), F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 64 - 3 * DIGIT).cast("int").alias("u"), F.col(text_col).alias("text"))
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not languages:
@@ -175,9 +204,9 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x, np.int32)), pa.array(at.astype(np.int32)), pa.array(c[at])], ["l", "g", "n"])
 
-    bound = F.broadcast(rows.select(F.col("doc").alias("_doc"), "lang"))  # MAX_PER_LANGUAGE * MAX_LANGUAGES rows at most
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(bound, F.col("doc") == F.col("_doc")).select("text", "lang")
-    table = texts.mapInArrow(run, "l int, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas()  # languages x (BUCKETS + k) rows at most
+    ends = docs.sparkSession.createDataFrame(list(_last_places(known.select("lang", "u"), languages).items()), "_lang string, _last int")
+    texts = known.join(F.broadcast(ends), (F.col("lang") == F.col("_lang")) & (F.col("u") <= F.col("_last"))).select("text", "lang")  # MAX_LANGUAGES rows at most
+    table = texts.mapInArrow(frugal(run), "l int, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas()  # languages x (BUCKETS + k) rows at most
     counts = np.zeros((len(languages), BUCKETS + k))
     counts[table["l"], table["g"]] = table["n"]
     return Model(languages, counts[:, :BUCKETS], counts[:, BUCKETS:])
@@ -254,32 +283,32 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("held_out").slice(lo, n), pa.array(pred, pa.string()), pa.array(score.astype(float)), pa.array(spans), pa.array(mixed, pa.list_(pa.string()))], ["doc_id", "held_out", "lang_pred", "score", "n_spans", "mixed"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, n_spans long, mixed array<string>")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double, n_spans long, mixed array<string>")
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
     """The documents whose language is identified; those that are `und` go. lang becomes the prediction where it was null.
 
-    Decisions are joined to no other table: each row is judged where it is, so no text is shuffled.
+    Decisions are joined to no other table: each row is judged where it is, so no text is shuffled. Null texts and texts
+    without a letter go; if no language can be learned, all do. Repeated rows are judged alike. Other columns pass
+    through. An empty table gives no rows.
     """
     model = fit_languages(docs, id_col, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(model.languages)
         for batch in batches:
-            texts = batch.column(text_col)
-            pred: list[str] = []
-            one = pa.RecordBatch.from_arrays([texts], ["text"])
-            if model.languages:
-                for _, label, letters, first in _labelled(model, one):
-                    k = len(model.languages)
-                    n = len(first) - 1
-                    row = np.repeat(np.arange(n), np.diff(first))
-                    mass = np.bincount(row * k + label, weights=letters, minlength=n * k).reshape(n, k)
-                    pred += [model.languages[j] for j in mass.argmax(1)]
-            plain = pc.match_substring_regex(texts, "[A-Za-z]").fill_null(False).to_pylist()  # the others are looked at one by one
-            keep = [bool(model.languages) and (p or (texts[i].is_valid and _has_letter(texts[i].as_py()))) for i, p in enumerate(plain)]
-            at = batch.schema.get_field_index(lang_col)
-            lang = [a if a is not None else b for a, b in zip(batch.column(lang_col).to_pylist(), pred or [None] * batch.num_rows)]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(lang, batch.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            one = pa.RecordBatch.from_arrays([batch.column(text_col)], ["text"])
+            for held, label, letters, first in _labelled(model, one) if k else ():
+                n = len(first) - 1
+                row = np.repeat(np.arange(n), np.diff(first))
+                mass = np.bincount(row * k + label, weights=letters, minlength=n * k).reshape(n, k)
+                part = batch.slice(held[0].lo, n)
+                texts = part.column(text_col)
+                plain = pc.match_substring_regex(texts, "[A-Za-z]").fill_null(False).to_pylist()  # the others are looked at one by one
+                keep = [p or (texts[i].is_valid and _has_letter(texts[i].as_py())) for i, p in enumerate(plain)]
+                lang = [a if a is not None else model.languages[j] for a, j in zip(part.column(lang_col).to_pylist(), mass.argmax(1))]
+                at = part.schema.get_field_index(lang_col)
+                yield part.set_column(at, part.schema.field(at), pa.array(lang, part.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(frugal(run), docs.schema)
