@@ -6,9 +6,11 @@ and to one level of the node, both at random; a point counts if its level is at
 least time of its points. Two documents agree in a component with the probability of their weighted Jaccard likeness.
 Points come in order of time, so a process ends once it is later than all components of its document.
 
-Candidates: BANDS bands of ROWS components. Equal texts are one class from the start. Within a bucket every document is
-first compared with the least one only; then, in buckets that still hold several classes, the members of different ones
-are compared in blocks. Every link is verified by the exact multiset overlap. Components of the links are the classes.
+Candidates: BANDS bands of ROWS components. Equal texts are one node from the start. Within a bucket every node is first
+compared with the least one only; then, in buckets that still hold several classes, the members of different ones are
+compared in blocks. A large class has blocks of its own, so its members are never paired with each other; and signatures
+alone decide which nodes of a block have a partner in it, before any text is sent there. Every link is verified by the
+exact multiset overlap. Components of the links are the classes.
 """
 
 from __future__ import annotations
@@ -18,20 +20,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.blocks import in_blocks, runs
+from tessella.llm.blocks import BLOCK, runs
 from tessella.llm.bloom import membership
 from tessella.llm.components import components
-from tessella.llm.words import U, Words, mix, slices, windows
+from tessella.llm.words import U, Words, frugal, mix, slices, windows
 from tessella.session import cut_lineage
 
 SHINGLE = 5
 BANDS, ROWS = 26, 5
 M = BANDS * ROWS
-#: Likeness 0.8 shares 8.5 of 26 bands on average; a pair of different classes is verified from this many on.
-SHARED_BANDS = 2
+#: Bands whose buckets are compared across classes together; what one round joins, the next needn't compare.
+ROUNDS = ((0, 2), (2, BANDS))
+#: Followers that a lead's text is sent to at a time.
+LEAD_BLOCK = 256
+#: Stands for the classes of a bucket that are too small for blocks of their own.
+SMALL = -1
+BLOCK_KEY = ["band", "hash", "ga", "i", "gb", "j"]
 
 _HIGH = U(48)
 _LOW = U((1 << 48) - 1)
@@ -116,30 +123,58 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / whole if whole else 0.0
 
 
-def _verified(threshold: float):
+def _bags(texts: pa.Array) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """Of each row, its place and its multiset, elements sorted."""
+    for words in slices(texts):
+        row, element, weight = shingles(words)
+        cut = np.searchsorted(row, np.arange(words.rows + 1))
+        for r in range(words.rows):
+            e, w = element[cut[r] : cut[r + 1]], weight[cut[r] : cut[r + 1]]
+            order = np.argsort(e)
+            yield words.lo + r, (e[order], w[order])
+
+
+def _led(threshold: float):
+    """Links to leads. Rows come by lead and part, each part's first row being the lead itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, lead = None, None
         for batch in batches:
+            u, v = np.asarray(batch.column("u")), np.asarray(batch.column("v"))
             keep = np.zeros(batch.num_rows, dtype=bool)
-            bags: list[list] = []
-            for name in ("text_u", "text_v"):
-                own: list = [None] * batch.num_rows
-                for words in slices(batch.column(name)):
-                    row, element, weight = shingles(words)
-                    cut = np.searchsorted(row, np.arange(words.rows + 1))
-                    for r in range(words.rows):
-                        e, w = element[cut[r] : cut[r + 1]], weight[cut[r] : cut[r + 1]]
-                        order = np.argsort(e)
-                        own[words.lo + r] = (e[order], w[order])
-                bags.append(own)
-            for k, (a, b) in enumerate(zip(*bags)):
-                keep[k] = overlap(a, b) >= threshold
+            for k, bag in _bags(batch.column("text")):
+                if u[k] == v[k]:
+                    of, lead = v[k], bag
+                elif of == v[k]:
+                    keep[k] = overlap(bag, lead) >= threshold
+                else:
+                    raise ValueError(f"the text of node {v[k]} is missing")
             if keep.any():
-                part = batch.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], ["u", "v"])
 
     return run
 
 
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of each block that have a node of another class there with which they first agree in the block's band."""
+    for group in runs(batches, BLOCK_KEY):
+        n, root, band = group.num_rows, np.asarray(group.column("root")), group.column("band")[0].as_py()
+        part = np.asarray(group.column("part"))
+        bands = np.asarray(group.column("bands").combine_chunks().flatten()).reshape(n, BANDS)
+        apart = part.min() != part.max()
+        has = np.zeros(n, dtype=bool)
+        for lo in range(0, n, 128):
+            hi = min(n, lo + 128)
+            fit = (root[lo:hi, None] != root) & (bands[lo:hi, None, band] == bands[None, :, band])
+            if apart:
+                fit &= part[lo:hi, None] != part
+            for k in range(band):
+                fit &= bands[lo:hi, None, k] != bands[None, :, k]
+            has[lo:hi] = fit.any(1)
+        if has.any():
+            yield group.select([*BLOCK_KEY, "part", "node", "root"]).filter(pa.array(has)).combine_chunks().to_batches()[0]
+
+
 def _overlaps(code: np.ndarray, start: np.ndarray, by_code: np.ndarray, code_start: np.ndarray, x: int, n: int) -> np.ndarray:
     """How many elements row x shares with each of n rows. code lists the rows' elements, by_code the elements' rows."""
     out = np.zeros(n, dtype=np.int64)
@@ -166,11 +201,11 @@ def _across(threshold: float):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["band", "hash", "_i", "_j"]):
-            n, ids, root = group.num_rows, np.asarray(group.column("doc")), np.asarray(group.column("root"))
-            band, i, j = (group.column(c)[0].as_py() for c in ("band", "_i", "_j"))
+        for group in runs(batches, BLOCK_KEY):
+            n, ids, root = group.num_rows, np.asarray(group.column("node")), np.asarray(group.column("root"))
+            band, part = group.column("band")[0].as_py(), np.asarray(group.column("part"))
+            apart = part.min() != part.max()
             bands = np.asarray(group.column("bands").combine_chunks().flatten()).reshape(n, BANDS)
-            chunk = np.asarray(group.column("_c"))
             rows, elements = [], []
             for words in slices(group.column("text").combine_chunks()):
                 r, e, w = shingles(words)
@@ -186,11 +221,11 @@ def _across(threshold: float):
             label = np.unique(root, return_inverse=True)[1]
             links: list[tuple[int, int]] = []
             for x in range(n):
-                other = np.flatnonzero((label[x + 1 :] != label[x]) & ((chunk[x + 1 :] != chunk[x]) if i != j else True)) + x + 1
+                other = np.flatnonzero((label[x + 1 :] != label[x]) & ((part[x + 1 :] != part[x]) if apart else True)) + x + 1
                 if not len(other):
                     continue
                 same = bands[other] == bands[x]
-                other = other[(same.argmax(1) == band) & (same.sum(1) >= SHARED_BANDS)]
+                other = other[same[:, band] & (same.argmax(1) == band)]
                 if not len(other):
                     continue
                 both = _overlaps(code, start, by_code, code_start, x, n)[other]
@@ -205,47 +240,109 @@ def _across(threshold: float):
     return run
 
 
+def _parts(size: str, of: str, block: int = BLOCK) -> Column:
+    """Which of the parts of about `block` rows a row is in; a group of up to 2 * block rows is one part."""
+    k = F.when(F.col(size) <= 2 * block, F.lit(1)).otherwise(F.ceil(F.col(size) / block)).cast("int")
+    return F.pmod(F.xxhash64(F.lit("part"), F.col(of)), k).cast("int")
+
+
+def _in_class_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (band, hash, node, root, ..) of open buckets, once for each block that they are in, blocks together.
+
+    A class of over BLOCK rows of a bucket is a group, cut into parts by node; the others together are the group SMALL,
+    cut by root. A block is a pair of parts of different groups, or of SMALL with itself. `part` tells a block's sides
+    apart: 0 and 1, or 0 throughout for a part with itself.
+    """
+    bucket = ["band", "hash"]
+    sizes = rows.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.when(F.col("n") > BLOCK, F.col("root")).otherwise(F.lit(SMALL).cast("long")))
+    totals = sizes.groupBy(*bucket, "g").agg(F.sum("n").alias("load"))
+    sizes = cut_lineage(sizes.select(*bucket, "root", "g").join(totals, [*bucket, "g"]))
+    own = rows.join(sizes, [*bucket, "root"]).withColumn("c", F.when(F.col("g") == SMALL, _parts("load", "root")).otherwise(_parts("load", "node"))).drop("load")
+    # in SMALL a root with all its rows is in one part, which may thus be somewhat larger than BLOCK
+    group = sizes.groupBy(*bucket, "g").agg(F.max("load").alias("load")).withColumn("k", F.when(F.col("load") <= 2 * BLOCK, F.lit(1)).otherwise(F.ceil(F.col("load") / BLOCK)).cast("int"))
+    part_of = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    a, b = (group.select(*bucket, F.col("g").alias(f"g{x}"), F.col("k").alias(f"k{x}")) for x in "ab")
+    between = a.join(b, bucket).where("ga < gb").withColumn("i", part_of("ka")).withColumn("j", part_of("kb")).select(*BLOCK_KEY)
+    small = group.where(F.col("g") == SMALL).select(*bucket, "k", F.col("g").alias("ga"), F.col("g").alias("gb")).withColumn("i", part_of("k"))
+    within = small.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("k") - 1)))
+    blocks = cut_lineage(between.union(within.select(*BLOCK_KEY)))
+    first = own.join(blocks.withColumnRenamed("ga", "g").withColumnRenamed("i", "c"), [*bucket, "g", "c"])
+    first = first.withColumnRenamed("g", "ga").withColumnRenamed("c", "i").withColumn("part", F.lit(0))
+    other = blocks.where("ga <> gb or i <> j").withColumnRenamed("gb", "g").withColumnRenamed("j", "c")
+    second = own.join(other, [*bucket, "g", "c"]).withColumnRenamed("g", "gb").withColumnRenamed("c", "j").withColumn("part", F.lit(1))
+    return first.unionByName(second)
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
+
+
+def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Of all rows with an id and a text: doc, key (MD5 of the text), class_id, n_equal and kept; and the other rows' ids."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    light = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    known = light.where("doc is not null and text is not null").withColumn("key", F.md5("text"))
+    sketches = cut_lineage(known.mapInArrow(frugal(_sketch), f"doc {kind}, key string, bands array<long>"))
+    texts = sketches.groupBy("key").agg(F.first("bands").alias("bands"), F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n_equal"))
+    nodes = cut_lineage(texts.withColumn("node", F.monotonically_increasing_id()))  # fixed from here on: the checkpoint is read, not made again
+    posted = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
+    buckets = posted.groupBy("band", "hash").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("load")).where("load > 1")
+    shared = cut_lineage(posted.join(buckets, ["band", "hash"]).select("band", "hash", "node", "lead"))  # nodes that share a bucket with another
+    # only texts that may be in a pair are shuffled, one of each node; the joins decide
+    wanted = shared.select("node").distinct().join(nodes, "node").select("node", "key", "doc", F.xxhash64("doc", "key").alias("of"))
+    maybe = membership(wanted, "of")(F.xxhash64("doc", "key"))
+    whole = known.where(maybe).join(wanted.select("key", "node", F.col("doc").alias("least")), "key").where("doc = least")
+    whole = cut_lineage(whole.select("node", "text"))
+
+    pairs = shared.where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
+    led_by = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("load"))
+    pairs = cut_lineage(pairs.join(led_by, "v").withColumn("part", _parts("load", "u", LEAD_BLOCK)).select("u", "v", "part"))
+    leads = pairs.select(F.col("v").alias("u"), "v", "part").distinct()  # a lead goes to each part of its followers once
+    by_lead = pairs.union(leads).join(whole.withColumnRenamed("node", "u"), "u").repartition("v", "part").sortWithinPartitions("v", "part", F.col("u") != F.col("v"))
+    led = cut_lineage(by_lead.select("u", "v", "text").mapInArrow(frugal(_led(threshold)), "u long, v long"))
+
+    links, roots = led, cut_lineage(components(led))
+    for lo, hi in ROUNDS:
+        own = shared.where(F.col("band").between(lo, hi - 1))
+        rooted = own.join(roots, "node", "left").select("band", "hash", "node", F.coalesce("root", "node").alias("root"))
+        mixed = rooted.groupBy("band", "hash").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "hash")
+        open_ = cut_lineage(rooted.join(mixed, ["band", "hash"], "left_semi"))
+        signed = _together(_in_class_blocks(open_).join(nodes.select("node", "bands"), "node").select(*BLOCK_KEY, "part", "node", "root", "bands"))
+        paired = cut_lineage(signed.mapInArrow(frugal(_paired), "band int, hash long, ga long, i int, gb long, j int, part int, node long, root long"))
+        if paired.isEmpty():
+            continue
+        needed = whole.where(membership(paired.select("node").distinct(), "node")(F.col("node")))  # again: only these are shuffled
+        read = _together(paired.join(nodes.select("node", "bands"), "node").join(needed, "node").select(*BLOCK_KEY, "part", "node", "root", "bands", "text"))
+        across = cut_lineage(read.mapInArrow(frugal(_across(threshold)), "u long, v long").distinct())
+        links = links.union(across)
+        roots = cut_lineage(components(links))
+    least = roots.join(nodes.select("node", "doc", "key"), "node").groupBy("root").agg(F.min(F.struct("doc", "key")).alias("least"))
+    classed = roots.join(least, "root").select("node", "least")
+    of_text = nodes.join(classed, "node", "left").select("key", F.coalesce("least", F.struct("doc", "key")).alias("least"), "n_equal")
+    placed = sketches.select("doc", "key").join(of_text, "key").select("doc", "key", F.col("least.doc").alias("class_id"), "n_equal", (F.struct("doc", "key") == F.col("least")).alias("kept"))
+    return placed, light.where("doc is null or text is null").select("doc")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its class), n_equal (documents of equal text), kept.
 
     Two different texts are linked if the multisets of their five-word shingles overlap by threshold or more (texts of
     fewer words have one shingle: all their words). A null text links with nothing and is kept; texts without words
-    link only with equal texts. A null doc_id is its own class (class_id null) and kept. doc_id is otherwise unique;
-    rows of equal doc_id are taken as one document. Other columns are not read. An empty table gives no rows.
+    link only with equal texts. A null doc_id is its own class (class_id null) and kept. Ids may be of any ordered type.
+    Rows are classed by their text, so rows of equal doc_id and different text may be in different classes; of a class,
+    the rows equal to its least (doc_id, MD5 of the text) are kept. Texts are compared whole, however long they are.
+    Other columns are not read. An empty table gives no rows.
     """
-    light = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    known = light.where("doc is not null and text is not null").withColumn("key", F.md5("text"))
-    sketches = cut_lineage(known.mapInArrow(_sketch, "doc long, key string, bands array<long>"))
-    texts = cut_lineage(sketches.groupBy("key").agg(F.min_by("bands", "doc").alias("bands"), F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n_equal")))
-    posted = texts.select("doc", F.posexplode("bands").alias("band", "hash"))
-    buckets = posted.groupBy("band", "hash").agg(F.min("doc").alias("lead"), F.count(F.lit(1)).alias("load")).where("load > 1")
-    shared = cut_lineage(posted.join(buckets, ["band", "hash"]))  # documents that share a bucket with another
-    pairs = shared.where("doc <> lead").select(F.col("doc").alias("u"), F.col("lead").alias("v")).distinct()
-    # only texts that may be in a pair are shuffled; the joins decide
-    whole = known.where(membership(shared.select("doc").distinct(), "doc")(F.col("doc"))).select("doc", "text").repartition("doc")
-
-    def verify(candidates: DataFrame) -> DataFrame:
-        one = whole.select(F.col("doc").alias("v"), F.col("text").alias("text_v"))
-        two = whole.select(F.col("doc").alias("u"), F.col("text").alias("text_u"))
-        return cut_lineage(candidates.join(one, "v").join(two, "u").select("u", "v", "text_u", "text_v").mapInArrow(_verified(threshold), "u long, v long"))
-
-    led = verify(pairs)
-    first = cut_lineage(components(led))
-    rooted = shared.join(first, F.col("doc") == F.col("node"), "left").select("band", "hash", "load", "doc", F.coalesce("root", "doc").alias("root"))
-    mixed = rooted.groupBy("band", "hash").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "hash")
-    open_ = rooted.join(mixed, ["band", "hash"], "left_semi").join(texts.select("doc", "bands"), "doc").join(whole, "doc")
-    across = cut_lineage(in_blocks(open_, ["band", "hash"], "load", "doc").drop("load").mapInArrow(_across(threshold), "u long, v long").distinct())
-    links = led.union(across)
-    roots = components(links)
-    classes = texts.join(roots, F.col("doc") == F.col("node"), "left").select("key", F.coalesce("root", "doc").alias("class_id"), "n_equal")
-    placed = sketches.select("doc", "key").join(classes, "key").select("doc", "class_id", "n_equal")
-    alone = light.where("doc is null or text is null").select("doc", F.col("doc").alias("class_id"), F.lit(1).cast("long").alias("n_equal"))
-    return placed.union(alone).select(F.col("doc").alias("doc_id"), "class_id", "n_equal", F.coalesce(F.col("doc") == F.col("class_id"), F.lit(True)).alias("kept"))
+    placed, alone = _classes(docs, threshold, id_col, text_col)
+    alone = alone.select("doc", F.lit(None).cast("string"), F.col("doc").alias("class_id"), F.lit(1).cast("long").alias("n_equal"), F.lit(True))
+    return placed.union(alone).select(F.col("doc").alias("doc_id"), "class_id", "n_equal", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one of each class kept: the one of least doc_id."""
-    gone = cut_lineage(near_duplicates(docs, threshold, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")))
-    maybe = membership(gone, "_gone")(F.col(id_col))  # the rest stays where it is
+    """The documents with one of each class kept: the one of least doc_id (see near_duplicates for nulls and repeats)."""
+    placed, _ = _classes(docs, threshold, id_col, text_col)
+    gone = cut_lineage(placed.where("not kept").select(F.xxhash64("doc", "key").alias("_of"), F.col("doc").alias("_gone"), F.col("key").alias("_key")))
+    maybe = membership(gone, "_of")(F.xxhash64(F.col(id_col), F.md5(text_col)))  # the rest stays where it is
     doubtful = docs.where(maybe)
-    return docs.where(~maybe).union(doubtful.join(gone, doubtful[id_col] == gone["_gone"], "left_anti"))
+    same = (doubtful[id_col] == gone["_gone"]) & (F.md5(doubtful[text_col]) == gone["_key"])
+    return docs.where(~maybe).union(doubtful.join(gone, same, "left_anti"))
