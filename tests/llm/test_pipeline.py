@@ -36,7 +36,7 @@ def test_stages_against_plain_versions(spark, sf_dir, tmp_path):
             taken = Counter()
             for r in rows:
                 taken[r.doc_id] += len(r.text.split())
-                assert before[r.doc_id].text.startswith(r.text)
+                assert r.text in before[r.doc_id].text  # a piece: documents are cut where the mix's blocks end
             assert all(n <= 2 * size[i] for i, n in taken.items())
             assert abs(sum(taken.values()) / sum(size.values()) - 1.5) < 0.01
             last = Counter(r.doc_id for r in rows)
