@@ -6,10 +6,11 @@ least of the whole text, puts them back into text order and hashes the tuple of
 same but in another order thus differ, as under edit distance. A fingerprint is the list of bins with their tuples;
 likeness is the share of the bins filled in either text that hold the same tuple.
 
-A bin's order is: the elements that a first hash deals to it, by that hash, then all others by a hash of (element, bin).
-It doesn't depend on the text, and by symmetry each order of the elements is equally likely, as Order MinHash asks. A
-bin that was dealt L elements has its selection among these; only the other bins, which short texts have, read the
-whole text again.
+A bin's order is: the elements that a first hash deals to it, by that hash; those that a second hash deals to it; those
+that a third does; then all others by a hash of (element, bin). It doesn't depend on the text, and by symmetry each
+order of the elements is equally likely, as Order MinHash asks. A bin that was dealt L elements has its selection among
+these, so later hashes are worked out only for texts that leave a bin with fewer, and only the bins that have fewer
+after the last, which very short texts have, read the whole text again.
 
 All steps are array functions on longs: hash and place share a long, so a plain sort of longs brings equal k-mers, and
 later each bin's elements, together. Work is O(n log n) in the words of a text, and n for each bin with too few.
@@ -25,13 +26,17 @@ K, L = 3, 3
 BIN_BITS = 6
 #: Texts of fewer words are cut into characters, since so few words leave next to no choice of L k-mers.
 MIN_WORDS = K + L + 2
+#: Hashes that deal elements to bins (4 at most: two bits of a long hold the number).
+DEALS = 3
 #: A bin that reads the whole text sorts about so many of its least elements (all, where this leaves under L).
 LOOK = 16
-#: Low bits of a long that hold a place; a text with more words than 2**PLACE_BITS has its places wrap around.
-PLACE_BITS = 24
+#: Low bits of a long that hold a place. 2**28 words are more than the arrays of words of one row can hold in practice:
+#: as a Spark string is under 2 GB, only a text of more words of under 8 bytes each could pass that.
+PLACE_BITS = 28
 _PLACE = (1 << PLACE_BITS) - 1
+_TOP, _MIDDLE = -1 << (64 - BIN_BITS), ((1 << 56) - 1) & ~_PLACE
 #: Documents of an order bucket, and most buckets (their bounds are the only thing that is collected).
-BUCKET_ROWS, MAX_BUCKETS = 2048, 10_000
+BUCKET_ROWS, MAX_BUCKETS = 2048, 100_000
 FIRST = -(1 << 63)  # stands for a null doc_id, which comes last in descending order
 
 
@@ -45,7 +50,7 @@ def _runs(values: Column, shift: int) -> Column:
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add `out`: array of longs, one for each of the 64 bins, bin in the high bits; empty for a text without words."""
-    w, h, s, r, e, p, f, t = (f"_{out}_{x}" for x in "whsrepft")
+    w, h, s, r, e, p, f, t, m, c, g = (f"_{out}_{x}" for x in "whsrepftmcg")
     words = F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), "")
     df = df.withColumn(w, words)
     few = F.size(w).between(1, MIN_WORDS - 1)
@@ -71,27 +76,51 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(r, F.when(F.size(p) > 0, starts).otherwise(F.array().cast("array<int>")))
     half = 1 << (BIN_BITS - 1)
     every = F.array(*[F.lit(b).cast("long") for b in range(-half, half)])
-    df = df.withColumn(f, F.when(F.size(p) > 0, F.array_except(every, F.transform(F.col(r), lambda i: F.shiftright(F.get(F.col(p), i), bin_)))).otherwise(F.array().cast("array<long>")))
+    none = F.array().cast("array<long>")
+    df = df.withColumn(f, F.when(F.size(p) > 0, F.array_except(every, F.transform(F.col(r), lambda i: F.shiftright(F.get(F.col(p), i), bin_)))).otherwise(none))
     df = df.withColumn(t, F.when(F.size(e) > LOOK, (F.lit(LOOK * 2.0**64) / F.size(e) - F.lit(2.0**63)).cast("long")).otherwise(F.lit((1 << 63) - 1)))
+    df = df.withColumn(m, F.aggregate(F.col(f), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b.cast("int")))))
+    wanted = lambda x: F.call_function("shiftrightunsigned", F.col(m), F.shiftright(x, bin_).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    def tuple_(bin_no: Column, elements: Column) -> Column:
-        places = F.sort_array(F.transform(elements, lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int")))
-        code = F.xxhash64(F.transform(places, lambda i: F.get(F.col(h), i)))
+    def dealt_by(k: int) -> Column:
+        """Bin, k, hash and place of each element, as one long."""
+
+        def code(x: Column) -> Column:
+            v = x if k == 0 else F.xxhash64(F.shiftright(x, PLACE_BITS), F.lit(k))
+            return v.bitwiseAND(F.lit(_TOP)).bitwiseOR(F.lit(k << 56)).bitwiseOR(F.shiftrightunsigned(v, 2).bitwiseAND(F.lit(_MIDDLE))).bitwiseOR(x.bitwiseAND(F.lit(_PLACE)))
+
+        return F.filter(F.transform(F.col(e), code), wanted)
+
+    df = df.withColumn(c, F.when(F.size(f) > 0, F.sort_array(F.concat(*[dealt_by(k) for k in range(DEALS)]))).otherwise(none))
+    df = df.withColumn(g, F.when(F.size(c) > 0, _runs(F.col(c), bin_)).otherwise(F.array().cast("array<int>")))
+
+    def tuple_(bin_no: Column, places: Column) -> Column:
+        code = F.xxhash64(F.transform(F.sort_array(places), lambda i: F.get(F.col(h), i)))
         return F.shiftleft(bin_no, bin_).bitwiseOR(F.shiftrightunsigned(code, BIN_BITS))
 
-    def dealt(start: Column) -> Column:
-        return tuple_(F.shiftright(F.get(F.col(p), start), bin_), F.slice(F.col(p), start + 1, L))
+    place_of = lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int")
 
-    def of_all(b: Column) -> Column:
-        def key(x: Column) -> Column:
-            other = F.xxhash64(F.shiftright(x, PLACE_BITS), b).bitwiseAND(F.lit(~_PLACE))
-            return F.when(F.shiftright(x, bin_) == b, F.lit(-1 << 63)).otherwise(other).bitwiseOR(x.bitwiseAND(F.lit(_PLACE)))
+    def dealt_first(start: Column) -> Column:
+        return tuple_(F.shiftright(F.get(F.col(p), start), bin_), F.transform(F.slice(F.col(p), start + 1, L), place_of))
 
+    def of_all(b: Column, places: Column) -> Column:
+        """The tuple of a bin whose hashes dealt it fewer than L elements, at these places."""
+        key = lambda x: F.xxhash64(F.shiftright(x, PLACE_BITS), b).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(x.bitwiseAND(F.lit(_PLACE)))
         least = F.filter(F.transform(F.col(e), key), lambda x: x <= F.col(t))
-        enough = F.transform(F.array(least), lambda x: F.when(F.size(x) >= L, x).otherwise(F.transform(F.col(e), key)))
-        return tuple_(b, F.slice(F.sort_array(F.get(enough, F.lit(0))), 1, L))
+        enough = F.transform(F.array(least), lambda x: F.when(F.size(x) >= 2 * L, x).otherwise(F.transform(F.col(e), key)))
+        others = F.array_except(F.transform(F.sort_array(F.get(enough, F.lit(0))), place_of), places)
+        return tuple_(b, F.slice(F.concat(places, others), 1, L))
+
+    def dealt_later(start: Column, j: Column) -> Column:
+        stop = F.coalesce(F.get(F.col(g), j + 1), F.size(c))
+        places = F.array_distinct(F.transform(F.slice(F.col(c), start + 1, stop - start), place_of))
+        b = F.shiftright(F.get(F.col(c), start), bin_)
+        one = F.transform(F.array(places), lambda x: F.when(F.size(x) >= L, tuple_(b, F.slice(x, 1, L))).otherwise(of_all(b, x)))
+        return F.get(one, F.lit(0))
 
-    return df.withColumn(out, F.sort_array(F.concat(F.transform(F.col(r), dealt), F.transform(F.col(f), of_all)))).drop(h, p, r, e, f, t)
+    missed = F.array_except(F.col(f), F.transform(F.col(g), lambda i: F.shiftright(F.get(F.col(c), i), bin_)))
+    bins = (F.transform(F.col(r), dealt_first), F.transform(F.col(g), dealt_later), F.transform(missed, lambda b: of_all(b, F.array().cast("array<int>"))))
+    return df.withColumn(out, F.sort_array(F.concat(*bins))).drop(h, p, r, e, f, t, m, c, g)
 
 
 def likeness(a: str | Column, b: str | Column) -> Column:
@@ -112,11 +141,9 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     if not bounds:
         return F.lit(0)
     width = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    firsts = F.array(*[F.lit(g[0]) for g in groups])
-    coarse = F.size(F.filter(firsts, lambda x: x <= key))
-    lists = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups])
-    fine = F.size(F.filter(F.coalesce(F.get(lists, coarse - 1), F.array().cast("array<long>")), lambda x: x <= key))
+    constant = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")  # noqa: E731  # folded into one literal
+    coarse = F.size(F.filter(constant(bounds[::width]), lambda x: x <= key))
+    fine = F.size(F.filter(F.slice(constant(bounds), F.greatest(coarse - 1, F.lit(0)) * width + 1, F.lit(width)), lambda x: x <= key))
     return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * width + fine)
 
 
