@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans import batch_queries, curriculum_queries, group_queries, metric_queries, registry, text_queries  # noqa: F401
+from tessella.plans import batch_queries, curriculum_queries, group_queries, metric_queries, registry, sink_queries, text_queries  # noqa: F401
 from tessella.plans.curriculum_queries import flagship  # noqa: F401
 
 

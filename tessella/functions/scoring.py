@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
+from tessella.functions import algebra
 from tessella.functions.text import strip
 
 TAIL = 300
@@ -132,6 +133,33 @@ def last_boxed(text: str | None) -> str | None:
     return None
 
 
+def boxes(text: str | None, commands: tuple[str, ...] = ("\\boxed", "\\fbox")) -> list[str]:
+    """Contents of all boxes with balanced braces, outer ones before those inside them; unbalanced ones are left out."""
+    out = []
+    for m in re.finditer("|".join(re.escape(c) + r"\s*\{" for c in commands), text or ""):
+        depth = 1
+        for i in range(m.end(), len(text)):
+            depth += (text[i] == "{") - (text[i] == "}")
+            if depth == 0:
+                out.append(text[m.end() : i])
+                break
+    return out
+
+
+def last_complete_box(text: str | None) -> str | None:
+    """Content of the last \\boxed{..} that is closed, a later one that isn't notwithstanding; None without one."""
+    found = boxes(text, ("\\boxed",))
+    return found[-1] if found else None
+
+
+def innermost_box(text: str | None) -> str | None:
+    """Content of the last box; of a box in a box, the inner one's."""
+    found = last_boxed(text)
+    while found is not None and (inner := last_boxed(found)) is not None:
+        found = inner
+    return found
+
+
 def normalize_latex(text: str) -> str:
     """A plain form of short LaTeX answers: spacing and size commands out, fractions and roots braced, a/b as a fraction."""
     t = text.replace("\n", "").replace("\\!", "").replace("\\\\", "\\").replace("tfrac", "frac").replace("dfrac", "frac")
@@ -196,18 +224,112 @@ def math_equal(answer: str | None, truth: str | None, tolerance: Fraction = Frac
         return False
     x, y = as_fraction(a), as_fraction(b)
     if x is None or y is None:
-        return False
+        return algebra.same(a, b)
     return abs(x - y) <= tolerance * max(abs(x), abs(y), 1)
 
 
+#: Units that a graded answer may carry (fixed values).
+UNITS = ("degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard", "liter")
+#: Words for large numbers (fixed values).
+NUMBER_WORDS = {"million": 6, "billion": 9, "trillion": 12}
+_UNIT = re.compile(rf"(?<![a-z\\])(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?:es|s)? *(?:\^[0-9]+)?(?![a-z])")
+
+
+def graded_form(text: str) -> str:
+    """The form in which answers are graded: signs of money and percent, units and degrees out, number words written out,
+    fractions of integers as a/b, thousands without commas, lower case, integral decimals as integers."""
+    t = re.sub(r"^\\text\{(.+)\}$", r"\1", text.strip()).lower()
+    for a, b in (("\\%", ""), ("%", ""), ("\\$", ""), ("$", ""), (" or ", ","), (" and ", ","), ("\\!", ""), ("\\left", ""), ("\\right", ""), ("dfrac", "frac"), ("tfrac", "frac")):
+        t = t.replace(a, b)
+    t = re.sub(r"\^ *(?:\\circ|\{\\circ\})", "", _UNIT.sub("", t))
+    t = re.sub(r"(?<=\d),(?=\d{3}(?!\d))", "", t) if not re.match(r"[(\[{]", t.strip()) else t
+    for word, zeros in NUMBER_WORDS.items():
+        t = re.sub(rf"(\d+\.?\d*) *{word}s?(?![a-z])", lambda m: str(Fraction(m[1]) * 10**zeros), t)
+    t = re.sub(r"\\frac\{(-?\d+)\}\{(-?\d+)\}", r"\1/\2", t.strip())
+    if t.startswith("{") and t.endswith("}") and "," not in t:
+        t = t[1:-1]
+    return _integer(t) or re.sub(r"\s+", " ", t)
+
+
+def _integer(t: str) -> str | None:
+    """The digits of an integer that is written as any decimal number, else None."""
+    if re.fullmatch(r"-?(?:\d+\.?\d*|\.\d+)(?:e\+?\d{1,3})?", t.strip()):
+        x = Fraction(t.strip().rstrip("."))
+        return str(x) if x.denominator == 1 else None
+    return None
+
+
+def _same_member(answer: str, truth: str) -> bool:
+    a, b = answer.strip(), truth.strip()
+    x, y = _integer(a), _integer(b)
+    if x is not None or y is not None:
+        return x == y  # an integer wants an integer
+    if all(re.fullmatch(r"-?\d+/\d+", t) for t in (a, b)):
+        return a == b  # fractions must be the same, reduced or not
+    return a == b or algebra.same(a, b)
+
+
 def grade_answer(answer: str | None, truth: str | None) -> bool:
-    """As math_equal, but an integer truth wants an integer, and a fraction truth wants the same reduced fraction."""
-    if not math_equal(answer, truth):
+    """Whether an answer counts as the truth: equal forms; or as many members in the same brackets, each an equal integer,
+    the same fraction, or an expression of the same value."""
+    if answer is None or truth is None:
         return False
-    a, b = normalize_latex(answer), normalize_latex(truth)
-    if re.fullmatch(r"-?\d+", b):
-        return bool(re.fullmatch(r"-?\d+(?:,\d{3})*", a))
-    return a == b if "\\frac" in b and "\\frac" in a else True
+    plain = normalize_latex(answer)
+    if plain and plain == normalize_latex(truth):
+        return True
+    a, b = graded_form(answer), graded_form(truth)
+    if a == b or not a:
+        return a == b
+    p, q = _pieces(a), _pieces(b)
+    if p and q:
+        return len(p) == len(q) and p[0] == q[0] and all(map(_same_member, p[1:], q[1:]))
+    return not p and not q and _same_member(a, b)
+
+
+def strict_form(text: str) -> str:
+    """The string form under which two short LaTeX answers are compared as strings, after the published benchmark's rules.
+
+    Line ends, `\\!`, size commands, degrees, escaped dollar and percent signs go; `\\\\` is one backslash; a unit in a last
+    \\text{ ..} goes; a leading point gets its zero; a short left side of one equation goes; roots and fractions get
+    braces; blanks go; 0.5 is \\frac{1}{2}; a/b of integers is \\frac{a}{b}. Nothing is evaluated: 9.0 isn't 9.
+    """
+    t = text
+    for a, b in STRICT_RULES:
+        t = t.replace(a, b)
+    head, unit, _ = t.partition("\\text{ ")
+    t = head if unit else t
+    t = re.sub(r"(^|(?<=[ {]))\.", "0.", t.replace("\\%", ""))
+    left, is_, right = t.partition("=")
+    if is_ and "=" not in right and len(left) <= 2:
+        t = right
+    t = re.sub(r"\\sqrt(?!\{)(.)", r"\\sqrt{\1}", t).replace(" ", "")
+    t = re.sub(r"\\frac(?!\{)(.)(?!\{)(.)", r"\\frac{\1}{\2}", t)
+    t = re.sub(r"\\frac(?!\{)(.)(?=\{)", r"\\frac{\1}", t)
+    if t == "0.5":
+        t = "\\frac{1}{2}"
+    if m := re.fullmatch(r"(-?\d+)/(-?\d+)", t):
+        t = f"\\frac{{{int(m[1])}}}{{{int(m[2])}}}" if t == f"{int(m[1])}/{int(m[2])}" else t
+    return t
+
+
+#: Replacements of the strict normal form, in this order (fixed values).
+STRICT_RULES = (
+    ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""),
+)
+
+
+def strict_equal(answer: str | None, truth: str | None) -> bool:
+    """Equal strings in the strict form; as they are, if one has several units. Two missing answers are equal, one is not."""
+    if answer is None or truth is None:
+        return answer is truth
+    if max(answer.count("\\text{ "), truth.count("\\text{ ")) > 1:
+        return answer == truth
+    return strict_form(answer) == strict_form(truth)
+
+
+@F.pandas_udf(BooleanType())
+def strict_equal_udf(answers: pd.Series, truths: pd.Series) -> pd.Series:
+    return pd.Series([x is not None and y is not None and strict_equal(x, y) for x, y in zip(answers, truths)])
 
 
 @F.pandas_udf(StringType())
@@ -215,6 +337,16 @@ def boxed_udf(texts: pd.Series) -> pd.Series:
     return texts.map(last_boxed)
 
 
+@F.pandas_udf(StringType())
+def complete_box_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(last_complete_box)
+
+
+@F.pandas_udf(StringType())
+def innermost_box_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(innermost_box)
+
+
 @F.pandas_udf(BooleanType())
 def math_equal_udf(answers: pd.Series, truths: pd.Series) -> pd.Series:
     return pd.Series([math_equal(x, y) for x, y in zip(answers, truths)])
@@ -230,12 +362,46 @@ def boxed_reward(text: Column, truth: Column) -> Column:
     return F.when(F.coalesce(math_equal_udf(boxed_udf(text), truth), F.lit(False)), 1.0).otherwise(0.0)
 
 
+def strict_boxed_reward(text: Column, truth: Column) -> Column:
+    """1 if the last box holds the truth as a string in the strict normal form, else 0."""
+    return F.when(F.coalesce(strict_equal_udf(boxed_udf(text), truth), F.lit(False)), 1.0).otherwise(0.0)
+
+
+def graded_boxed_reward(text: Column, truth: Column) -> Column:
+    """1 if the last box holds an answer that grades as the truth, else 0."""
+    return F.when(F.coalesce(grade_udf(boxed_udf(text), truth), F.lit(False)), 1.0).otherwise(0.0)
+
+
+def geometry_reward(text: Column, truth: Column) -> Column:
+    """0.9 for the answer in the last box, 0.1 for the format."""
+    return 0.9 * graded_boxed_reward(text, truth) + 0.1 * format_reward(text)
+
+
+#: Data sources by scorer (fixed values).
+SOURCES = {
+    "gsm8k": ("openai/gsm8k",),
+    "boxed": ("lighteval/MATH", "DigitalLearningGmbH/MATH-lighteval", "HuggingFaceH4/MATH-500"),
+    "minerva": ("math_dapo", "math", "math_dapo_reasoning"),
+    "graded": ("numina_aops_forum", "numina_synthetic_math", "numina_amc_aime", "numina_synthetic_amc", "numina_cn_k12", "numina_olympiads"),
+    "geometry": ("hiyouga/geometry3k",),
+    "qa": ("searchR1_nq", "searchR1_triviaqa", "searchR1_popqa", "searchR1_hotpotqa", "searchR1_2wikimultihopqa", "searchR1_musique", "searchR1_bamboogle"),
+}
+#: Sources whose answers are programs, which this library doesn't run (fixed values).
+PROGRAMS = ("codecontests", "apps", "codeforces", "taco")
+
+
 def score_by_source(source: Column, text: Column, truth: Column) -> Column:
-    """Scorer by data source; an unknown source is an error when run."""
-    return (
-        F.when(source.contains("gsm8k"), exact_score(gsm8k_strict(text), truth))
-        .when(source.contains("math"), minerva_score(text, truth))
-        .when(source.contains("search"), qa_exact(text, truth))
-        .when(source.contains("geo"), 0.9 * exact_score(gsm8k_flexible(text), truth) + 0.1 * format_reward(text))
-        .otherwise(F.raise_error(F.concat(F.lit("no scorer for "), source)).cast("double"))
-    )
+    """Score of an answer by its data source, which must be one of SOURCES or begin with `aime`; others are errors when run."""
+    run = {
+        "gsm8k": exact_score(gsm8k_strict(text), truth),
+        "boxed": strict_boxed_reward(text, truth),
+        "minerva": minerva_score(text, truth),
+        "graded": graded_boxed_reward(text, truth),
+        "geometry": geometry_reward(text, truth),
+        "qa": qa_exact(text, truth),
+    }
+    out = F.when(source.startswith("aime"), run["minerva"])
+    for name, score in run.items():
+        out = out.when(source.isin(*SOURCES[name]), score)
+    out = out.when(source.isin(*PROGRAMS), F.raise_error(F.concat(F.lit("programs are not run: "), source)).cast("double"))
+    return out.otherwise(F.raise_error(F.concat(F.lit("no scorer for "), F.coalesce(source, F.lit("null")))).cast("double"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.text import clean_text
+from tessella.functions.text import clean_words
+from tessella.session import cut_lineage
 
 
 def ngrams(df: DataFrame, group: str, text: str, stop_words: tuple[str, ...], longest: int) -> DataFrame:
@@ -15,19 +16,25 @@ def ngrams(df: DataFrame, group: str, text: str, stop_words: tuple[str, ...], lo
     n-grams stay within a row's text. Counting per row and then per group sums on the map side: a hot group costs a row
     per term and task.
     """
-    words = F.filter(F.regexp_extract_all(clean_text(F.col(text)), F.lit(r"\b[a-z][a-z]+\b"), F.lit(0)), lambda w: ~w.isin(*stop_words) if stop_words else F.lit(True))
+    words = F.filter(clean_words(F.col(text)), lambda w: ~w.isin(*stop_words)) if stop_words else clean_words(F.col(text))
     df = df.select(group, words.alias("_w"))
 
     def grams(n: int):
-        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(F.col("_w"), i, n), " "))
+        if n == 1:
+            return F.col("_w")
+        last = F.greatest(F.size("_w") - (n - 1), F.lit(0))
+        out = F.slice("_w", F.lit(1), last)
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice("_w", F.lit(k + 1), last), lambda a, b: F.concat_ws(" ", a, b))
+        return out
 
-    return df.select(group, F.explode(F.concat(*[grams(n) for n in range(1, longest + 1)])).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
+    terms = df.select(group, F.explode(F.concat(*[grams(n) for n in range(1, longest + 1)])).alias("term"))
+    return terms.groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ctfidf(df: DataFrame, group: str, text: str, stop_words: tuple[str, ...] = (), longest: int = 2, min_df: int = 3, max_df: float = 0.85) -> DataFrame:
     """(group, term, weight): tf = 1 + ln n, idf = ln((1+N)/(1+df)) + 1, rows of norm 1; rare and common terms out."""
-    counts = ngrams(df, group, text, stop_words, longest)
+    counts = cut_lineage(ngrams(df, group, text, stop_words, longest))  # read twice: the texts are cut into terms once
     n_groups = df.select(group).distinct().agg(F.count(F.lit(1)).alias("_N"))
     doc_freq = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(n_groups)).where((F.col("_df") >= min_df) & (F.col("_df") <= max_df * F.col("_N")))
     idf = F.ln((1 + F.col("_N")) / (1 + F.col("_df"))) + 1

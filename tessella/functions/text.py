@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Phrases that mark a paragraph as an instruction (fixed values).
@@ -43,6 +43,146 @@ def build_input_text(question: Column, answer: Column | None = None) -> Column:
     return F.concat(F.lit("Question:\n"), question, F.lit("\n\nAnswer:\n"), answer)
 
 
+def input_text(question: Column, mode: str = "question_only", truth: Column | None = None, target: Column | None = None) -> Column:
+    """Text to embed: the question alone, with the truth, or with the worked answer; a missing or empty one is an error when run."""
+    if mode == "question_only":
+        return build_input_text(question)
+    if mode == "question_plus_ground_truth" and truth is not None:
+        return build_input_text(question, required(truth, "ground truth"))
+    if mode == "question_plus_cot" and target is not None:
+        return build_input_text(question, required(first_content(target), "target"))
+    raise ValueError(f"unknown mode {mode}, or its column is missing")
+
+
+def required(text: Column, what: str) -> Column:
+    """The stripped text; an error when run where it is null or empty."""
+    t = strip(text.cast("string"))
+    return F.when(F.coalesce(t, F.lit("")) != "", t).otherwise(F.raise_error(F.lit(f"missing or empty {what}")))
+
+
+# content of mixed kinds: VARIANT values, as parse_json makes them
+
+
+def variant(text: Column) -> Column:
+    """JSON text as a VARIANT; any other text as the string that it is; null for null."""
+    return F.coalesce(F.try_parse_json(text), _string_variant(text))
+
+
+def _string_variant(text: Column) -> Column:
+    return F.when(text.isNotNull(), F.try_variant_get(F.parse_json(F.to_json(F.struct(text.alias("t")))), "$.t", "variant"))
+
+
+def _kind(v: Column) -> Column:
+    """`object`, `array`, `string` or other names in lower case; null for a null."""
+    return F.lower(F.regexp_extract(F.schema_of_variant(v), r"^[A-Za-z]+", 0))
+
+
+def _get(v: Column, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(v, path, kind)
+
+
+def plain_text(v: Column) -> Column:
+    """Text of a VARIANT: strings as they are, null as empty, numbers and booleans in their own form, the rest as JSON."""
+    return F.when(v.isNull() | F.is_variant_null(v), "").when(_kind(v) == "string", _get(v, "$")).otherwise(F.to_json(v))
+
+
+def _part_text(v: Column) -> Column:
+    """Text of one part of a content: of an object its `text`, else its `content`."""
+    inner = F.coalesce(*[F.when(~F.is_variant_null(_get(v, p, "variant")), _get(v, p, "variant")) for p in ("$.text", "$.content")])
+    return F.when(_kind(v) == "object", plain_text(inner)).otherwise(plain_text(v))
+
+
+def flatten_content(v: Column) -> Column:
+    """Text of a content of any kind; the non-empty, stripped parts of a list, a line each."""
+    parts = F.filter(F.transform(_get(v, "$", "array<variant>"), lambda p: strip(_part_text(p))), lambda t: t != "")
+    return F.when(v.isNull(), "").when(_kind(v) == "array", F.array_join(parts, "\n")).otherwise(_part_text(v))
+
+
+def _items(v: Column) -> Column:
+    """The members of a list, or the value itself as its only one; none for null."""
+    none = F.array().cast("array<variant>")
+    return F.when(v.isNull() | F.is_variant_null(v), none).when(_kind(v) == "array", _get(v, "$", "array<variant>")).otherwise(F.array(v))
+
+
+def message_list(v: Column) -> Column:
+    """Messages (role, content) of a VARIANT: objects with a content as they are, other objects as the user's JSON text,
+    strings as the user's; null is no message."""
+
+    def one(x: Column) -> Column:
+        named = (_kind(x) == "object") & _get(x, "$.content", "variant").isNotNull()
+        role = F.when(named, F.coalesce(_get(x, "$.role"), F.lit(""))).otherwise("user")
+        return F.struct(role.alias("role"), F.when(named, plain_text(_get(x, "$.content", "variant"))).otherwise(plain_text(x)).alias("content"))
+
+    return F.transform(_items(v), one)
+
+
+def prompt_messages(v: Column) -> Column:
+    """Messages with flattened, stripped contents and lower-case roles (none: empty); empty contents are dropped."""
+
+    def one(x: Column) -> Column:
+        object_ = _kind(x) == "object"
+        role = F.when(object_, F.lower(strip(F.coalesce(_get(x, "$.role"), F.lit(""))))).otherwise("")
+        content = F.when(object_, flatten_content(_get(x, "$.content", "variant"))).otherwise(flatten_content(x))
+        return F.struct(role.alias("role"), strip(content).alias("content"))
+
+    return F.filter(F.transform(_items(v), one), lambda m: m["content"] != "")
+
+
+def first_content(target: Column) -> Column:
+    """Stripped content of a target's first message, or the target itself if it is text; null if empty or missing."""
+    v = target
+    first = F.get(_get(v, "$", "array<variant>"), F.lit(0))
+    text = F.when(_kind(v) == "array", F.when(_kind(first) == "object", plain_text(_get(first, "$.content", "variant")))).when(_kind(v) == "string", _get(v, "$"))
+    return F.nullif(strip(text), F.lit(""))
+
+
+def target_text(v: Column) -> Column:
+    """Text of a target: the contents of its messages, a line each, of its one message, or the text that it is."""
+    of = lambda x: F.when(_kind(x) == "object", flatten_content(_get(x, "$.content", "variant"))).otherwise(flatten_content(x))
+    parts = F.filter(F.transform(_get(v, "$", "array<variant>"), lambda x: strip(of(x))), lambda t: t != "")
+    one = F.when(_kind(v) == "object", of(v)).otherwise(plain_text(v))
+    return F.when(v.isNull(), "").when(_kind(v) == "array", F.array_join(parts, "\n")).otherwise(strip(one))
+
+
+def truth_of(columns: list[Column]) -> Column:
+    """The first of the columns that isn't empty; an error when run if all are."""
+    return required(first_non_empty(columns), "ground truth")
+
+
+def user_text(messages: Column) -> Column:
+    """Contents of the user's messages as they are, a line each."""
+    return F.array_join(F.transform(F.filter(messages, lambda m: m["role"] == "user"), lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
+
+
+def prompt_of(template: str, question: Column) -> Column:
+    """One user message: the template, in which {question} stands for the stripped question."""
+    before, _, after = template.partition("{question}")
+    return F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit(before), strip(question), F.lit(after)).alias("content")))
+
+
+def dataset_name(path: Column) -> Column:
+    """Name for files: the last part of a path or id, without its suffix, sanitised; `dataset` if nothing is left."""
+    base = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"^.*/", ""), r"(?i)\.(parquet|json|jsonl)$", "")
+    return F.coalesce(F.nullif(sanitize_name(base), F.lit("")), F.lit("dataset"))
+
+
+def output_name(path: Column, fraction: float, seed: int) -> Column:
+    """The dataset's name, with the fraction's digits and the seed if only a part was taken."""
+    if fraction >= 1.0:
+        return dataset_name(path)
+    return F.concat(dataset_name(path), F.lit(f"_frac{f'{fraction:g}'.replace('0.', '')}_seed{seed}"))
+
+
+def json_or_text(value: Column, kind: str) -> Column:
+    """JSON of arrays, structs, maps and variants; other values as text."""
+    return F.to_json(value) if kind.startswith(("struct", "array", "map", "variant")) else value.cast("string")
+
+
+def loss_mask(messages: Column, roles: tuple[str, ...] = ("assistant",)) -> Column:
+    """1 for each message of these roles, 0 for the others."""
+    return F.transform(messages, lambda m: m["role"].isin(*roles).cast("int"))
+
+
 def normalize_messages(messages: Column) -> Column:
     """Roles lower case and stripped (empty: user), contents stripped, empty ones dropped."""
     clean = F.transform(messages, lambda m: F.struct(F.coalesce(F.nullif(F.lower(strip(m["role"])), F.lit("")), F.lit("user")).alias("role"), strip(F.coalesce(m["content"], F.lit(""))).alias("content")))
@@ -110,12 +250,19 @@ def to_bool(text: Column) -> Column:
     return F.lower(strip(text)).isin(*TRUE_WORDS)
 
 
+#: A LaTeX command, or one character that is neither a letter nor white space.
+NOISE = r"\\[a-z]+|[^a-z\s]"
+
+
 def clean_text(text: Column) -> Column:
-    """Lower case; numbers, LaTeX commands, delimiters, other non-letters and single letters out; spaces collapsed; in this order."""
-    t = F.lower(text)
-    for pattern in (r"\b\d+(?:\.\d+)?\b", r"\\[a-z]+", r"[\$\{\}\[\]\(\)\\]", r"[^a-z\s]", r"\b[a-z]\b", r"\s+"):
-        t = F.regexp_replace(t, pattern, " ")
-    return strip(t)
+    """Lower case; LaTeX commands, numbers, delimiters, other non-letters and then single letters out; spaces collapsed."""
+    t = F.regexp_replace(F.lower(text), NOISE, " ")  # a number or a delimiter is no letter: one pass takes them all
+    return strip(F.regexp_replace(F.regexp_replace(t, r"\b[a-z]\b", " "), r"\s+", " "))
+
+
+def clean_words(text: Column) -> Column:
+    """The words of two letters or more of the cleaned text, in one pass."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\\[a-z]+|([a-z]+)"), F.lit(1)), lambda w: F.length(w) > 1)
 
 
 def ensure_sample_id(direct: Column, index: Column, row: Column) -> Column:
@@ -131,7 +278,11 @@ def patch_struct(extra: Column, **fields: Column) -> Column:
 
 
 def pad_or_cut(ids: Column, length: int, pad: Column, left: bool = False, cut: str = "right") -> Column:
-    """Exactly `length` entries: cut at the given side, or padded at the left or right."""
+    """Exactly `length` entries: cut at the given side (`error`: too many are an error when run), or padded at the left or right."""
+    if cut not in ("left", "right", "error"):
+        raise ValueError(f"unknown side {cut}")
+    if cut == "error":
+        ids = F.when(F.size(ids) <= length, ids).otherwise(F.raise_error(F.lit(f"more than {length} entries")))
     if cut == "left":
         kept = F.slice(ids, F.greatest(F.size(ids) - length + 1, F.lit(1)), F.lit(length))
     else:
@@ -195,3 +346,19 @@ def correctness(acc: Column, score: Column, token_sum: Column) -> Column:
 
 def overlong_penalty(length: Column, limit: int, buffer: int, factor: float = 1.0) -> Column:
     return F.least(-(length - (limit - buffer)) / buffer * factor, F.lit(0.0))
+
+
+def log_matches(df: DataFrame, column: str, part: str) -> DataFrame:
+    """Rows whose text holds a part."""
+    return df.where(F.col(column).contains(part))
+
+
+def log_row(df: DataFrame, column: str, request: str) -> DataFrame:
+    """The rows of one request."""
+    return df.where(F.col(column) == request)
+
+
+def sort_log(df: DataFrame, tie: str) -> DataFrame:
+    """Add `order_score`, the score (else score_1, else 0), and sort by it, the highest first."""
+    scores = [F.col(c).cast("double") for c in ("score", "score_1") if c in df.columns]
+    return df.withColumn("order_score", F.coalesce(*scores, F.lit(0.0))).orderBy(F.desc("order_score"), tie)

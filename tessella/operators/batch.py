@@ -33,6 +33,36 @@ def with_row_index(df: DataFrame, *order: str, out: str = "row_idx") -> DataFram
     return placed.withColumn(out, (F.col("_at") + offset).cast("long")).drop("_pid", "_at")
 
 
+def first_rows(df: DataFrame, k: int, *order: str) -> DataFrame:
+    """The first k rows in a total order, k being of any size: rows are numbered, not brought into one task."""
+    return with_row_index(df, *order, out="_first").where(F.col("_first") < k).drop("_first")
+
+
+def running_total(df: DataFrame, value: Column, *order: str, out: str = "total") -> DataFrame:
+    """Sum of value over all rows up to each, in the given order: within ranges of the order, plus the ranges before."""
+    placed = df.withColumn("_value", value).repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    placed = cut_lineage(placed.withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    before, total = [], 0.0
+    for r in sorted(placed.groupBy("_pid").agg(F.sum("_value").alias("s")).collect(), key=lambda r: r["_pid"]):  # a row for each partition
+        before.append((r["_pid"], total))
+        total += float(r["s"] or 0)
+    offsets = df.sparkSession.createDataFrame(before, "_p int, _before double")
+    own = Window.partitionBy("_pid").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("_own", F.sum("_value").over(own)).join(F.broadcast(offsets), F.col("_pid") == F.col("_p"))  # a row for each partition
+    return summed.withColumn(out, F.col("_before") + F.col("_own")).drop("_value", "_pid", "_at", "_p", "_before", "_own")
+
+
+def exact_quantiles(df: DataFrame, value: Column, quantiles: dict[str, float]) -> DataFrame:
+    """One row with exact quantiles, linear between neighbours, by name; nulls are left out. Values are numbered, not collected."""
+    indexed = with_row_index(df.select(value.cast("double").alias("v")).where("v is not null"), "v")
+    n = indexed.count()
+    low = {k: int(q * (n - 1)) for k, q in quantiles.items()}
+    at = lambda i: F.max(F.when(F.col("row_idx") == i, F.col("v")))
+    wanted = sorted({j for i in low.values() for j in (i, i + 1)})
+    picked = [(at(low[k]) + (F.coalesce(at(low[k] + 1), at(low[k])) - at(low[k])) * (q * (n - 1) - low[k])).alias(k) for k, q in quantiles.items()]
+    return indexed.where(F.col("row_idx").isin(wanted)).agg(*picked)
+
+
 def select_columns(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Keep the named columns; None keeps all."""
     if keys is None:
@@ -85,14 +115,70 @@ def inverse_permutation(perm: DataFrame, pos: str = "pos", idx: str = "idx") ->
 
 
 def union_batches(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """Put two batches side by side. Columns that both have must agree in every row (NaN equals NaN); else an error when run."""
+    """Put two batches side by side. Both must have the same rows, and columns that both have must agree in every row (NaN
+    equals NaN); a row that one batch lacks, or a difference, is an error when run."""
     common = [c for c in b.columns if c in a.columns and c not in on]
-    right = b.select(*on, *[c for c in b.columns if c not in a.columns], *[F.col(c).alias(f"_b_{c}") for c in common])
-    out = a.join(right, on)
+    right = b.select(*on, *[c for c in b.columns if c not in a.columns], *[F.col(c).alias(f"_b_{c}") for c in common], F.lit(True).alias("_in_b"))
+    out = a.withColumn("_in_a", F.lit(True)).join(right, on, "full")
+
+    def checked(c: str, fine: Column, message: str) -> Column:
+        return F.when(fine, F.col(c)).otherwise(F.raise_error(F.lit(message)).cast(out.schema[c].dataType))
+
     for c in common:
-        same = F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-        out = out.withColumn(c, F.when(same, F.col(c)).otherwise(F.raise_error(F.lit(f"batches differ in {c}")).cast(a.schema[c].dataType)))
-    return out.drop(*[f"_b_{c}" for c in common])
+        out = out.withColumn(c, checked(c, F.col(c).eqNullSafe(F.col(f"_b_{c}")) | F.col("_in_a").isNull() | F.col("_in_b").isNull(), f"batches differ in {c}"))
+    out = out.withColumn(on[0], checked(on[0], F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull(), "batches are not of the same rows"))
+    return out.drop("_in_a", "_in_b", *[f"_b_{c}" for c in common])
+
+
+def union_meta(a: dict, b: dict) -> dict:
+    """Meta information of two batches together; a key that both have must have equal values (NaN equals NaN)."""
+    for k in a.keys() & b.keys():
+        if a[k] != b[k] and not (a[k] != a[k] and b[k] != b[k]):
+            raise ValueError(f"meta information differs in {k!r}")
+    return a | b
+
+
+def union_meta_tables(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """union_meta for tables of keys and values, whose conflicts are errors when run."""
+    j = a.select(key, F.col(value).alias("_a"), F.lit(True).alias("_in_a")).join(b.select(key, F.col(value).alias("_b"), F.lit(True).alias("_in_b")), key, "full")
+    fine = F.col("_a").eqNullSafe(F.col("_b")) | F.col("_in_a").isNull() | F.col("_in_b").isNull()
+    failed = F.raise_error(F.concat(F.lit("meta information differs in "), F.col(key).cast("string"))).cast(a.schema[value].dataType)
+    return j.select(key, F.when(~fine, failed).otherwise(F.when(F.col("_in_a"), F.col("_a")).otherwise(F.col("_b"))).alias(value))
+
+
+def get_item(indexed: DataFrame, item, idx: str = "row_idx") -> DataFrame:
+    """Rows by a slice, an integer (one row, negative ones from the end), a list of integers (gathered in that order, as
+    out_pos) or a list of booleans (a mask of all rows); anything else is a TypeError. Lists come from the driver: they
+    are as long as the caller's."""
+    if isinstance(item, slice):
+        return slice_rows(indexed, item.start, item.stop, item.step or 1, idx)
+    if hasattr(item, "tolist"):
+        item = item.tolist()
+    if isinstance(item, int) and not isinstance(item, bool):
+        n = indexed.count() if item < 0 else 0
+        return indexed.where(F.col(idx) == item + n)
+    if isinstance(item, list) and item and all(isinstance(x, bool) for x in item):
+        if len(item) != indexed.count():
+            raise ValueError("a mask must be as long as the batch")
+        item = [i for i, x in enumerate(item) if x]
+    elif not (isinstance(item, list) and all(isinstance(x, int) for x in item)):
+        raise TypeError(f"can't index a batch by {type(item).__name__}")
+    n = indexed.count() if any(i < 0 for i in item) else 0
+    rows = [(p, i + n if i < 0 else i) for p, i in enumerate(item)]
+    return take_rows(indexed, indexed.sparkSession.createDataFrame(rows, f"out_pos long, {idx} long"), idx)
+
+
+def replay_rows(indexed: DataFrame, positions: DataFrame, times: int, generated: DataFrame, idx: str = "row_idx") -> DataFrame:
+    """The rows at `positions` (out_pos, row_idx), each `times` times in place (aabb), side by side with `generated`
+    (out_idx, ..): as many rows as that, or an error when run."""
+    rows = repeat_rows(take_rows(indexed, positions, idx), times, idx="out_pos", out="out_idx")
+    return union_batches(rows, generated, ["out_idx"])
+
+
+def with_defaults(df: DataFrame, extra: str, defaults: dict[str, Column]) -> DataFrame:
+    """Add a column for each field of the struct `extra` that is named; its default stands in where the field or the value is missing."""
+    have = {f.name for f in df.schema[extra].dataType.fields}
+    return df.withColumns({k: F.coalesce(F.col(f"{extra}.{k}"), d) if k in have else d for k, d in defaults.items()})
 
 
 def conflicts(a: DataFrame, b: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
@@ -108,6 +194,11 @@ def concat_batches(batches: list[DataFrame]) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tagged)
 
 
+def append_rows(df: DataFrame, new: DataFrame, length: Column, most: int) -> DataFrame:
+    """df with those new rows that aren't longer than `most` (a null length is too long)."""
+    return df.unionByName(new.where(F.coalesce(length <= most, F.lit(False))))
+
+
 def repeat_rows(indexed: DataFrame, times: int, interleave: bool = True, n_rows: Column | None = None, idx: str = "row_idx", out: str = "out_idx") -> DataFrame:
     """Each row `times` times: aabb if interleaved, abab otherwise (then the number of rows is needed)."""
     if not interleave and n_rows is None:

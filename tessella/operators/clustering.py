@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tessella.operators.vectors import distance, l2_normalize
 from tessella.session import cut_lineage
@@ -37,9 +38,10 @@ def cluster(df: DataFrame, vector: str, method: str, k: int, seed: int = 42) ->
 
     kmeans; spherical_kmeans (cosine, centroids of norm 1); bisecting_kmeans; gmm.
     """
-    from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.clustering import BisectingKMeans, KMeans
 
+    if method == "gmm":
+        return diagonal_mixture(df, vector, k, seed)[0]
     if method == "spherical_kmeans":
         df = df.withColumn(vector, l2_normalize(F.col(vector)))
     own = _features(df, vector)
@@ -47,21 +49,86 @@ def cluster(df: DataFrame, vector: str, method: str, k: int, seed: int = 42) ->
         "kmeans": lambda: KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster_id"),
         "spherical_kmeans": lambda: KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster_id", distanceMeasure="cosine"),
         "bisecting_kmeans": lambda: BisectingKMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster_id"),
-        "gmm": lambda: GaussianMixture(k=k, seed=seed, featuresCol="_v", predictionCol="cluster_id", probabilityCol="_p"),
     }
     if method not in make:
-        raise ValueError(f"unknown method {method}; there are {sorted(make)}")
+        raise ValueError(f"unknown method {method}; there are {sorted([*make, 'gmm'])}")
     model = make[method]().fit(own)
     out = model.transform(own)
-    if method == "gmm":
-        return out.withColumn("cluster_confidence", F.array_max(vector_to_array("_p"))).drop("_v", "_p")
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
     return out.withColumn("distance_to_centroid", distance(F.col(vector), F.get(centres, F.col("cluster_id")))).drop("_v")
 
 
-def gmm_criteria(log_likelihood: float, k: int, dim: int, n: int) -> dict[str, float]:
-    """BIC and AIC of a mixture of k full-covariance components."""
-    p = k - 1 + k * dim + k * dim * (dim + 1) // 2
+def diagonal_mixture(df: DataFrame, vector: str, k: int, seed: int = 42, floor: float = 1e-6, rounds: int = 200, starts: int = 3, tolerance: float = 1e-3) -> tuple[DataFrame, dict[str, float]]:
+    """A mixture of k Gaussians of diagonal covariance: df with cluster_id and cluster_confidence, and mean_confidence, bic
+    and aic.
+
+    Expectation-maximisation from `starts` k-means starts, of which the likeliest stays. A step sums weights, values and
+    squares by component within each task and then over tasks: k * (2 dim + 1) + 1 numbers come to the driver.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.ml.clustering import KMeans
+
+    own = cut_lineage(df.select(F.transform(vector, lambda x: x.cast("double")).alias("x")))
+    dim = len(own.first()["x"])
+
+    def posterior(x, model):
+        weight, mean, var = model
+        logs = np.log(weight) - 0.5 * (np.log(2 * np.pi * var).sum(1) + (((x[:, None] - mean) ** 2) / var).sum(2))
+        top = logs.max(1, keepdims=True)
+        total = top[:, 0] + np.log(np.exp(logs - top).sum(1))
+        return np.exp(logs - total[:, None]), total
+
+    def sums(model):
+        def run(batches):
+            out = np.zeros(k * (2 * dim + 1) + 1)
+            for batch in batches:
+                x = np.asarray(batch.column("x").flatten()).reshape(-1, dim)
+                for lo in range(0, len(x), 4096):
+                    y = x[lo : lo + 4096]
+                    p, total = posterior(y, model)
+                    out += np.r_[p.sum(0), (p.T @ y).ravel(), (p.T @ (y * y)).ravel(), total.sum()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["i", "s"])
+
+        rows = own.mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
+        s = np.zeros(k * (2 * dim + 1) + 1)
+        for r in rows:
+            s[r["i"]] = r["s"]
+        return s[:k], s[k : k + k * dim].reshape(k, dim), s[k + k * dim : -1].reshape(k, dim), s[-1]
+
+    best, n = None, own.count()
+    moments = own.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("v")).collect()
+    spread = np.array([v for _, v in sorted((r["i"], r["v"]) for r in moments)]) + floor
+    for start in range(starts):
+        centres = KMeans(k=k, seed=seed + start, featuresCol="_v").fit(_features(own, "x")).clusterCenters()
+        model, last = (np.full(len(centres), 1 / k) if len(centres) == k else np.full(k, 1 / k), np.array([centres[i % len(centres)] for i in range(k)]), np.tile(spread, (k, 1))), -np.inf
+        for _ in range(rounds):
+            weight, first, second, total = sums(model)
+            w = np.maximum(weight, 10 * np.finfo(float).eps)
+            mean = first / w[:, None]
+            model = (w / w.sum(), mean, np.maximum(second / w[:, None] - mean**2, 0) + floor)
+            if abs(total / n - last) < tolerance:
+                break
+            last = total / n
+        if best is None or total > best[0]:
+            best = (total, model)
+    total, model = best
+
+    def assign(batches):
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(vector))
+            p, _ = posterior(np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim), model)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.argmax(1).astype(np.int32)), pa.array(p.max(1))], [*batch.schema.names, "cluster_id", "cluster_confidence"])
+
+    schema = StructType([*df.schema.fields, StructField("cluster_id", IntegerType()), StructField("cluster_confidence", DoubleType())])
+    out = df.mapInArrow(assign, schema)
+    mean = out.agg(F.avg("cluster_confidence")).first()[0]
+    return out, {"mean_confidence": float(mean), **mixture_criteria(float(sums(model)[3]), k, dim, n)}
+
+
+def mixture_criteria(log_likelihood: float, k: int, dim: int, n: int) -> dict[str, float]:
+    """BIC and AIC of a mixture of k components of diagonal covariance."""
+    p = k - 1 + 2 * k * dim
     return {"bic": p * math.log(n) - 2 * log_likelihood, "aic": 2 * p - 2 * log_likelihood}
 
 

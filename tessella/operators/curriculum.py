@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.operators.batch import first_rows
+
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
@@ -94,9 +96,24 @@ def random_k(df: DataFrame, group: str, key: str, k: int, seed: int) -> DataFram
 
 
 def fraction_subset(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
-    """max(1, round-half-even(fraction * n)) rows in the order of a seeded hash; caller restores the row order."""
+    """max(1, round-half-even(fraction * n)) rows, the first in the order of a seeded hash; caller restores the row order."""
     k = max(1, round(fraction * df.count()))
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k)
+    return first_rows(df.withColumn("_h", F.xxhash64(F.lit(seed), key)), k, "_h", key).drop("_h")
+
+
+def sample_rows(df: DataFrame, key: str, most: int, seed: int | None = None) -> DataFrame:
+    """At most `most` rows (all, if it isn't positive): the first by key, or with a seed a sample without replacement."""
+    if most <= 0:
+        return df
+    if seed is None:
+        return first_rows(df, most, key)
+    return first_rows(df.withColumn("_h", F.xxhash64(F.lit(seed), key)), most, "_h", key).drop("_h")
+
+
+def cluster_meta(df: DataFrame, cluster: str, size: str, difficulty: str) -> DataFrame:
+    """Per cluster: the size that its rows state (the least, should they differ) and the mean of the finite difficulties."""
+    d = F.col(difficulty).cast("double")
+    return df.groupBy(cluster).agg(F.min(size).alias("cluster_size"), F.avg(F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)).alias("mean_difficulty"))
 
 
 def mean_nll(tokens: DataFrame, sample: str, nll: Column, is_answer: Column) -> DataFrame:

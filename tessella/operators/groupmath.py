@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.masked import EPS, clamp, only
+from tessella.operators.batch import first_rows, running_total
+from tessella.session import cut_lineage
 
 ADVANTAGES: dict[str, Callable[..., DataFrame]] = {}
 
@@ -275,7 +277,7 @@ def clip_cov_loss(tokens: DataFrame, key: list[str], logp: Column, old: Column,
     cov = (F.col("_a") - F.col("_ma")) * (F.col("_lp") - F.col("_ml"))
     band = mask & ~(F.col("_l2") > F.col("_l1")) & (cov < high) & (cov > low)
     k = max(1, int(ratio * (own.agg(F.count_if(mask)).first()[0] or 0)))
-    chosen = own.where(band).orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(k).select(*[F.col(c).alias(f"_k_{c}") for c in key], F.lit(True).alias("_out"))
+    chosen = first_rows(own.where(band).select(*key, F.xxhash64(F.lit(seed), *key).alias("_h")), k, "_h", *key).select(*[F.col(c).alias(f"_k_{c}") for c in key], F.lit(True).alias("_out"))
     same = [F.col(c) == F.col(f"_k_{c}") for c in key]
     out = own.join(chosen, same, "left").withColumn("loss", F.when(F.col("_out"), 0.0).otherwise(F.greatest("_l1", "_l2")))
     return out.drop("_l1", "_l2", "_lp", "_a", "_ml", "_ma", "_n", "_out", *[f"_k_{c}" for c in key])
@@ -302,17 +304,68 @@ def value_loss(pred: Column, old: Column, returns: Column, clip: float = 0.5) ->
     return 0.5 * F.greatest((pred - returns) * (pred - returns), (near - returns) * (near - returns))
 
 
-def kl_cov_rows(tokens: DataFrame, key: list[str], logp: Column, adv: Column, mask: Column, ratio: float) -> DataFrame:
+def kl_cov_rows(tokens: DataFrame, key: list[str], logp: Column, adv: Column, mask: Column, ratio: float, digits: int = 12) -> DataFrame:
     """The share `ratio` of valid tokens (at least one) with the greatest covariance of log-probability and advantage.
 
-    The cut comes from the k-th greatest value; means are one broadcast row.
+    Tokens are numbered by covariance (to `digits` digits, ties by key); means are one broadcast row.
     """
     own = tokens.withColumn("_l", logp.cast("double")).withColumn("_a", adv.cast("double")).where(mask)
-    means = own.agg(F.avg("_l").alias("_ml"), F.avg("_a").alias("_ma"), F.count(F.lit(1)).alias("_n"))
-    cov = own.crossJoin(F.broadcast(means)).withColumn("covariance", (F.col("_l") - F.col("_ml")) * (F.col("_a") - F.col("_ma")))
-    n = own.count()
-    k = max(1, int(n * ratio))
-    return cov.orderBy(F.desc("covariance"), *key).limit(k).select(*key, "covariance")
+    means = own.agg(F.avg("_l").alias("_ml"), F.avg("_a").alias("_ma"))
+    cov = own.crossJoin(F.broadcast(means)).select(*key, ((F.col("_l") - F.col("_ml")) * (F.col("_a") - F.col("_ma"))).alias("covariance"))
+    k = max(1, int(own.count() * ratio))
+    return first_rows(cov.withColumn("_o", -F.round("covariance", digits)), k, "_o", *key).drop("_o")
+
+
+def kl_cov_loss(tokens: DataFrame, key: list[str], logp: Column, old: Column, adv: Column, mask: Column, ratio: float = 0.0002, coefficient: float = 1.0, digits: int = 12) -> DataFrame:
+    """Add `loss`: -A * ratio of probabilities, plus coefficient * |logp - old| for the tokens of greatest covariance (kl_cov_rows)."""
+    d = logp - old
+    out = tokens.withColumn("_d", d).withColumn("_adv", adv)
+    chosen = kl_cov_rows(tokens, key, logp, adv, mask, ratio, digits).select(*[F.col(c).alias(f"_k_{c}") for c in key], F.lit(True).alias("_in"))
+    out = out.join(chosen, [F.col(c) == F.col(f"_k_{c}") for c in key], "left")
+    plain = -F.col("_adv") * F.exp("_d")
+    return out.withColumn("loss", plain + F.when(F.col("_in"), coefficient * F.abs("_d")).otherwise(0.0)).drop("_d", "_adv", "_in", *[f"_k_{c}" for c in key])
+
+
+def resample(df: DataFrame, weights: Column, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n draws with replacement, each row with a probability in proportion to its weight: columns of df and `draw`.
+
+    A draw is a seeded uniform; the rows' running totals of weight, in the order of the key, cut [0, total) into
+    intervals, and a draw takes the row whose interval holds it. Draws are sorted into the same ranges as the rows, so
+    each range is searched by itself and no row is paired with every draw.
+    """
+    import pyarrow as pa
+
+    summed = cut_lineage(running_total(df.withColumn("_w", weights.cast("double")), F.col("_w"), key, out="_end"))
+    total = float(summed.agg(F.max("_end")).first()[0] or 0)
+    if total <= 0:
+        raise ValueError("no weight to draw by")
+    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) * (1.0 / (1 << 53))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (uniform * total).alias("_at"))
+    rows = summed.where("_w > 0").select(F.lit(None).cast("long").alias("draw"), F.col("_end").alias("_at"), F.col(key).alias("_key"))
+    both = draws.select("draw", "_at", F.lit(None).cast(df.schema[key].dataType).alias("_key")).union(rows)
+    # descending: a row comes right before the draws of its interval
+    placed = both.repartitionByRange(F.desc("_at")).sortWithinPartitions(F.desc("_at"), F.col("draw").isNotNull())
+    placed = cut_lineage(placed.withColumn("_p", F.spark_partition_id()))
+    last = {r["_p"]: r["k"] for r in placed.where("draw is null").groupBy("_p").agg(F.min_by("_key", "_at").alias("k")).collect()}  # a row for each partition
+    carried, now = {}, None
+    for p in sorted(r["_p"] for r in placed.select("_p").distinct().collect()):
+        carried[p] = now
+        now = last.get(p, now)
+
+    def run(batches):
+        at = None
+        for batch in batches:
+            out = []
+            for d, k, p in zip(*(batch.column(c).to_pylist() for c in ("draw", "_key", "_p"))):
+                if d is None:
+                    at = k
+                else:
+                    out.append((d, at if at is not None else carried[p]))
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([k for _, k in out], batch.column("_key").type)], ["draw", "_key"])
+
+    kind = df.schema[key].dataType.simpleString()
+    chosen = placed.mapInArrow(run, f"draw long, _key {kind}")
+    return chosen.join(df, F.col("_key") == F.col(key)).drop("_key")
 
 
 def resample_weights(df: DataFrame, score: str, kind: str = "pow", power: float = 1.0) -> DataFrame:
@@ -334,7 +387,29 @@ def resample_weights(df: DataFrame, score: str, kind: str = "pow", power: float
 
 
 def adaptive_kl(steps: DataFrame, order: str, kl: str, beta: float, target: float, horizon: float, n: Column) -> DataFrame:
-    """beta after each step: the running product of 1 + clip(kl/target - 1, -0.2, 0.2) n / horizon, as a sum of logs."""
+    """beta after each step: the running product of 1 + clip(kl/target - 1, -0.2, 0.2) n / horizon, as a running total of logs."""
     factor = 1 + clamp(F.col(kl) / target - 1, -0.2, 0.2) * n / horizon
-    w = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("beta", beta * F.exp(F.sum(F.ln(factor)).over(w)))
+    return running_total(steps, F.ln(factor), order, out="_log").withColumn("beta", beta * F.exp("_log")).drop("_log")
+
+
+def bypass_loss(
+    tokens: DataFrame, seq: list[str], logp: Column, sampled: Column, adv: Column, mask: Column, loss: str = "ppo_clip", options: dict | None = None, weights: str = "token", threshold: float = 2.0, norm: float = 1.0
+) -> DataFrame:
+    """Loss where the policy that sampled stands for the old one (no third policy is evaluated).
+
+    `ppo_clip`: the clipped surrogate, whose ratio is against the sampling policy, so no weight is needed. `reinforce`:
+    -A * w * logp with the truncated importance weight w. Tokens that the options reject don't count.
+    """
+    from tessella.operators.rejection import correct_rollouts
+
+    if loss not in ("ppo_clip", "reinforce"):
+        raise ValueError(f"unknown loss {loss}")
+    c = correct_rollouts(tokens, seq, logp - sampled, mask, options, weights if loss == "reinforce" else None, threshold)
+    each = POLICY_LOSSES["vanilla"](logp, sampled, adv) if loss == "ppo_clip" else -adv * F.col("is_weight") * logp
+    return aggregate_loss(c, seq, each, F.col("kept"), norm)
+
+
+def at_last_token(tokens: DataFrame, seq: str, pos: str, reward: Column, out: str) -> DataFrame:
+    """Add `out`: the sequence's reward at its last token, 0 elsewhere."""
+    last = F.max(pos).over(Window.partitionBy(seq))
+    return tokens.withColumn(out, F.when(F.col(pos) == last, reward).otherwise(0.0))

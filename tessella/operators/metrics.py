@@ -63,6 +63,70 @@ def mean_at_n(df: DataFrame, source: str, uid: str, value: str) -> DataFrame:
     return per.groupBy(source).agg(F.avg("m").alias("mean_at_n"), F.avg("s").alias("std_at_n"), F.max("n").alias("n_max"), F.count(F.lit(1)).alias("n_prompts"))
 
 
+def validation_report(df: DataFrame, source: str, uid: str, tie: str, variables: list[str] | None = None) -> DataFrame:
+    """(source, variable, metric, value): mean@n, std@n, best@k/mean and worst@k/mean of every numeric variable, for every
+    k of k_values, worked out per prompt and averaged over the source's prompts. Text variables are skipped.
+
+    best and worst are exact expectations over draws with replacement, in place of a bootstrap that approaches them.
+    """
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
+    names = [c for c, kind in df.dtypes if c not in (source, uid, tie) and (kind in numeric or kind.startswith("decimal")) and (variables is None or c in variables)]
+    if not names:
+        raise ValueError("no numeric variable")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in names]))
+    long = df.select(source, uid, tie, each.alias("_v")).select(source, uid, tie, "_v.variable", "_v.x")
+    group = [source, uid, "variable"]
+    per = long.groupBy(*group).agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count(F.lit(1)).cast("string").alias("n"))
+    at_n = per.select(*group, F.explode(F.array(F.struct(F.concat(F.lit("mean@"), "n").alias("metric"), F.col("m").alias("value")), F.struct(F.concat(F.lit("std@"), "n").alias("metric"), F.col("s").alias("value")))).alias("_m"))
+    best = best_of_k(long, group, "x", tie).withColumn("k", F.col("k").cast("string"))
+    at_k = best.select(*group, F.explode(F.array(*[F.struct(F.concat(F.lit(f"{w}@"), "k", F.lit("/mean")).alias("metric"), F.col(f"{w}_mean").alias("value")) for w in ("best", "worst")])).alias("_m"))
+    both = at_n.unionByName(at_k).select(source, "variable", "_m.metric", "_m.value")
+    return both.groupBy(source, "variable", "metric").agg(F.avg("value").alias("value"))
+
+
+def majority_at_k(df: DataFrame, source: str, uid: str, pred: str, value: str, order: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """(source, k, maj_mean, maj_std): the value of the most frequent prediction (ties: the first drawn) among k seeded draws
+    with replacement, for every k of k_values; mean and population std over the rounds, averaged over prompts.
+
+    A group is one prompt's responses, whose number is a sampling parameter, so it fits a task by construction.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        codes, values = pd.factorize(pdf[pred], use_na_sentinel=False)[0], pdf[value].to_numpy(dtype=float)
+        n, out = len(pdf), []
+        for k in [*(1 << i for i in range(1, 31) if 1 << i < n), n] if n > 1 else []:
+            draws = np.random.RandomState(seed).choice(n, size=(rounds, k), replace=True)
+            drawn = codes[draws]
+            votes = (drawn[:, :, None] == drawn[:, None, :]).sum(2) if k <= 64 else np.stack([np.bincount(r, minlength=codes.max() + 1)[r] for r in drawn])
+            won = values[draws[np.arange(rounds), votes.argmax(1)]]
+            out.append((pdf[source].iloc[0], pdf[uid].iloc[0], k, won.mean(), won.std()))
+        return pd.DataFrame(out, columns=[source, uid, "k", "m", "s"])
+
+    kinds = dict(df.dtypes)
+    per = df.groupBy(source, uid).applyInPandas(run, f"{source} {kinds[source]}, {uid} {kinds[uid]}, k int, m double, s double")
+    return per.groupBy(source, "k").agg(F.avg("m").alias("maj_mean"), F.avg("s").alias("maj_std"))
+
+
+def pass_at_k(df: DataFrame, group: list[str], right: Column, k: int) -> DataFrame:
+    """Chance that one of k draws with replacement is right."""
+    c = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.count_if(right).alias("_c"))
+    return c.select(*group, (1 - F.pow((F.col("_n") - F.col("_c")) / F.col("_n"), F.lit(k))).alias(f"pass_at_{k}"))
+
+
+def any_right(df: DataFrame, group: str, right: Column) -> DataFrame:
+    """The rows of groups that have a right one: groups, which are few, are found first and joined back."""
+    return df.join(df.where(right).select(group).distinct(), group, "left_semi")
+
+
+def clipped(df: DataFrame, length: Column, most: float, least_share: float) -> DataFrame:
+    """Rows of at least the greatest length, if they are at least so large a share of all; else none."""
+    share = df.agg(F.avg((length >= most).cast("int")).alias("_share"))
+    return df.where(length >= most).crossJoin(F.broadcast(share)).where(F.col("_share") >= least_share).drop("_share")  # one row
+
+
 def explained_variance(df: DataFrame, returns: str, values: str) -> DataFrame:
     return df.agg((1 - F.var_samp(F.col(returns) - F.col(values)) / (F.var_samp(returns) + 1e-5)).alias("explained_variance"))
 

@@ -94,3 +94,9 @@ def off_policy_metrics(tokens: DataFrame, seq: list[str], logp: Column, rollout:
         F.avg(F.exp(F.col("rlp") - F.col("lp"))).alias("ppl_ratio"), (F.sum("kl") / (F.sum("m") + EPS)).alias("kl"), (F.sum("k3") / (F.sum("m") + EPS)).alias("k3_kl"),
         (F.sum("c2") / (F.sum("m") + EPS) - 1).alias("chi2_token"), (F.avg(F.exp(2 * clamp(F.col("sd"), -BOUND, BOUND))) - 1).alias("chi2_seq"),
     )
+
+
+def correct_rollouts(tokens: DataFrame, seq: list[str], log_ratio: Column, mask: Column, options: dict[str, str | float] | None = None, weights: str | None = None, threshold: float = 2.0, normalize: bool = False) -> DataFrame:
+    """Add `kept` (the mask, less what the options reject) and, for weights `token` or `sequence`, `is_weight`."""
+    out = rejection_mask(tokens, seq, log_ratio, mask, options or {})
+    return out if weights is None else is_weights(out, seq, log_ratio, mask, weights, threshold, normalize)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.operators.batch import exact_quantiles
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -45,10 +47,10 @@ def mean_vectors(df: DataFrame, group: str | list[str], vector: str, weight: Col
 
 
 def norm_stats(df: DataFrame, vector: str) -> DataFrame:
-    n = df.select(norm(F.col(vector)).alias("v"))
-    return n.agg(
-        F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.percentile("v", 0.5).alias("p50"), F.percentile("v", 0.95).alias("p95"), F.percentile("v", 0.99).alias("p99")
-    )
+    """Least, greatest, mean and population std of the norms, and exact percentiles with linear interpolation."""
+    n = norm(F.col(vector))
+    stats = df.select(n.alias("v")).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    return stats.crossJoin(F.broadcast(exact_quantiles(df, n, {"p50": 0.5, "p95": 0.95, "p99": 0.99})))  # a row each
 
 
 def embedding_checks(df: DataFrame, key: str, vector: str) -> DataFrame:

@@ -24,13 +24,47 @@ def batch_select(t):
     return B.select_columns(t.orders, ["o_orderkey", "o_orderstatus"])
 
 
-@query(f"WITH {IDX}, p AS (SELECT row_idx AS out_pos, row_idx * 7 % 1000 AS row_idx FROM i WHERE row_idx < 2500) SELECT out_pos, o_orderkey FROM p JOIN i USING (row_idx)")
+@query(f"WITH {IDX}, n AS (SELECT count(*) AS n FROM i), p AS (SELECT row_idx AS out_pos, row_idx * 7919 % n AS row_idx FROM i, n) SELECT out_pos, o_orderkey FROM p JOIN i USING (row_idx)")
 def batch_select_idxs(t):
+    """A gather as long as the batch, over all of its rows."""
     o = _orders(t)
-    p = o.where("row_idx < 2500").select(F.col("row_idx").alias("out_pos"), (F.col("row_idx") * 7 % 1000).alias("row_idx"))
+    n = o.count()
+    p = o.select(F.col("row_idx").alias("out_pos"), (F.col("row_idx") * 7919 % n).alias("row_idx"))
     return B.take_rows(o, p).select("out_pos", "o_orderkey")
 
 
+@query(f"""WITH {IDX}, n AS (SELECT count(*) AS n FROM i) SELECT 'slice' AS how, row_idx AS out_pos, o_orderkey FROM i WHERE row_idx >= 5 AND row_idx % 2 = 1 UNION ALL SELECT 'int', 0, o_orderkey FROM i, n WHERE row_idx = n - 3
+UNION ALL SELECT 'list', p.k, o_orderkey FROM (VALUES (0, 4), (1, 2), (2, 4), (3, -1)) AS p(k, x), n JOIN i ON i.row_idx = CASE WHEN p.x < 0 THEN p.x + n.n ELSE p.x END""")
+def batch_getitem(t):
+    """By a slice, a negative integer and a list with a repeat and a negative place."""
+    o = _orders(t)
+    parts = [B.get_item(o, slice(5, None, 2)).withColumn("out_pos", F.col("row_idx")), B.get_item(o, -3).withColumn("out_pos", F.lit(0).cast("long")), B.get_item(o, [4, 2, 4, -1])]
+    named = [x.select(F.lit(how).alias("how"), "out_pos", "o_orderkey") for how, x in zip(("slice", "int", "list"), parts)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@query("SELECT coalesce(a.k, b.k) AS key, coalesce(a.v, b.v) AS value FROM (SELECT n_name AS k, n_regionkey AS v FROM nation WHERE n_nationkey % 3 < 2) a FULL JOIN (SELECT n_name AS k, n_regionkey AS v FROM nation WHERE n_nationkey % 3 > 0) b ON a.k = b.k")
+def meta_union(t):
+    n = t.nation.select(F.col("n_name").alias("key"), F.col("n_regionkey").alias("value"), F.col("n_nationkey") % 3)
+    n = n.toDF("key", "value", "m")
+    return B.union_meta_tables(n.where("m < 2").drop("m"), n.where("m > 0").drop("m"), "key", "value")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id END AS index, '{}' AS tools_kwargs FROM documents")
+def extra_defaults(t):
+    d = t.documents.select("doc_id", F.struct(F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")).alias("index")).alias("extra_info"))
+    return B.with_defaults(d, "extra_info", {"index": F.lit(0).cast("long"), "tools_kwargs": F.lit("{}")}).select("doc_id", "index", "tools_kwargs")
+
+
+@query(f"WITH {IDX} SELECT row_idx // 5 * 2 + c AS out_idx, o_orderkey, 'g' || (row_idx // 5 * 2 + c) AS generated FROM i, (VALUES (0), (1)) AS k(c) WHERE row_idx % 5 = 0")
+def replay_probe(t):
+    """Every fifth row, twice each, beside what was generated for it."""
+    o = _orders(t)
+    p = o.where("row_idx % 5 = 0").select(F.floor(F.col("row_idx") / 5).cast("long").alias("out_pos"), "row_idx")
+    generated = p.select(F.explode(F.array(F.col("out_pos") * 2, F.col("out_pos") * 2 + 1)).alias("out_idx")).withColumn("generated", F.concat(F.lit("g"), F.col("out_idx").cast("string")))
+    return B.replay_rows(o, p, 2, generated).select("out_idx", "o_orderkey", "generated")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
 def batch_mask(t):
     return B.mask_rows(t.orders, (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000)).select("o_orderkey")
@@ -179,9 +213,9 @@ def uid_runs(t):
     return B.runs_of(t.events, "event_type", ["ts", "event_id"], ["user_id"]).select("event_id", "run")
 
 
-@query("SELECT c_custkey AS k FROM customer WHERE c_custkey < 80 UNION SELECT s_suppkey FROM supplier EXCEPT SELECT p_partkey FROM part WHERE p_partkey % 3 = 0")
+@query("SELECT c_custkey AS k FROM customer UNION SELECT s_suppkey FROM supplier EXCEPT SELECT p_partkey FROM part WHERE p_partkey % 3 = 0")
 def set_ops(t):
-    a = t.customer.where("c_custkey < 80").select(F.col("c_custkey").alias("k")).union(t.supplier.select("s_suppkey")).distinct()
+    a = t.customer.select(F.col("c_custkey").alias("k")).union(t.supplier.select("s_suppkey")).distinct()
     return a.subtract(t.part.where("p_partkey % 3 = 0").select("p_partkey"))
 
 

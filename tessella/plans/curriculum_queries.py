@@ -79,15 +79,21 @@ def validate_records(t):
     return io.validate_records(io.unify_records(t.documents, "docs", F.col("text"), F.col("source")))
 
 
-@query("SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS n FROM embeddings")
+@query("SELECT vec_id, label FROM embeddings")
 def shard_merge(t):
-    """Shards by rank, merged and checked: contiguous thirds of the embeddings, unioned and counted."""
-    e = t.embeddings.select("vec_id", "label")
-    parts = [e.where(F.col("vec_id") % 3 == i) for i in range(3)]
-    merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    from pyspark.sql.window import Window
+    """The embeddings' rows, written as four shards by rank and merged with all checks."""
+    folder = io.work_folder(t.spark, "shards")
+    for rank in range(4):
+        t.embeddings.where(F.col("vec_id") % 4 == rank).select("vec_id", "label").write.parquet(io.shard_path(folder, "embeddings", rank))
+    return io.merge_shards(t.spark, folder, "embeddings", 4, "vec_id")
 
-    return merged.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("label")))
+
+@query("SELECT doc_id, source, lang FROM documents")
+def scan_json(t):
+    """The documents, written as JSON lines and read by suffix; the split is named after where it came from."""
+    path = f"{io.work_folder(t.spark, 'json')}/documents.jsonl"
+    t.documents.select("doc_id", "source", "lang").write.json(path)
+    return io.load_source(t.spark, path).where("source_split = 'local'").select("doc_id", "source", "lang")
 
 
 @query("SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -153,28 +159,40 @@ def mean_nll(t):
     return C.mean_nll(t.tokens, "seq", -F.col("logp"), F.col("mask")).withColumn("difficulty_score", r6("difficulty_score"))
 
 
-@query("SELECT vec_id, label, difficulty, rank_in_selection FROM (SELECT vec_id, label, embedding[1]::DOUBLE AS difficulty, (row_number() OVER (PARTITION BY label ORDER BY embedding[1], vec_id))::INT AS rank_in_selection FROM embeddings) WHERE rank_in_selection <= 5")
+@query(f"WITH {CENT}, x AS (SELECT vec_id, u.label, round({DIST}, 6) AS distance FROM u JOIN c ON u.label = c.label) SELECT vec_id, label, distance, (row_number() OVER (PARTITION BY label ORDER BY distance, vec_id))::INT AS rank_in_selection FROM x QUALIFY rank_in_selection <= 5")
 def topk_nearest(t):
-    e = t.embeddings.select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("difficulty"))
-    return C.top_k(e, "label", [F.col("difficulty"), F.col("vec_id")], 5)
+    """The five of each cluster that are nearest to its centroid."""
+    return C.top_k(_distances(t), "label", [F.col("distance"), F.col("vec_id")], 5)
+
+
+def _distances(t: Tables) -> DataFrame:
+    c = V.mean_vectors(t.embeddings, "label", "embedding", dim=DIM).select("label", "centroid")
+    return t.embeddings.join(F.broadcast(c), "label").select("vec_id", "label", r6(V.distance(F.col("embedding"), F.col("centroid"))).alias("distance"))  # a row per cluster
+
+
+@query(f"WITH {CURR}, k AS (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM r) SELECT label, min(n) AS cluster_size, round(avg(difficulty_score), 6) AS mean_difficulty FROM k GROUP BY 1")
+def cluster_meta(t):
+    return C.cluster_meta(curriculum(t), "label", "cluster_size", "difficulty_score").withColumn("mean_difficulty", r6("mean_difficulty"))
 
 
 @query()
 def random_k(t):
-    """Seeded hash order: no SQL; a test checks the group sizes and that reruns agree."""
+    """Seeded hash order: no SQL; tests/test_clustering.py holds the group sizes and reruns."""
     return C.random_k(t.embeddings.select("vec_id", "label"), "label", "vec_id", 3, 42)
 
 
 @query()
 def fraction_subset(t):
-    """Seeded hash order: no SQL; a test checks the number of rows."""
+    """Seeded hash order: no SQL; tests/test_clustering.py holds the number of rows and reruns."""
     return C.fraction_subset(t.documents.select("doc_id"), "doc_id", 0.25, 42)
 
 
-@query("SELECT * FROM (SELECT r_regionkey, r_name, 0 AS version FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 3) UNION ALL SELECT n_regionkey, min(n_name), 1 FROM nation WHERE n_nationkey < 3 GROUP BY 1)")
+@query("WITH n AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) SELECT c_custkey, coalesce(n.total, c_acctbal) AS total, (n.total IS NOT NULL)::INT AS version FROM customer LEFT JOIN n ON o_custkey = c_custkey")
 def upsert_summary(t):
-    new = t.nation.where("n_nationkey < 3").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.min("n_name").alias("r_name")).withColumn("version", F.lit(1))
-    return C.upsert(t.region.withColumn("version", F.lit(0)), new, ["r_regionkey"])
+    """All customers' balances, of which those with orders are replaced by their orders' total."""
+    old = t.customer.select("c_custkey", F.col("c_acctbal").cast("double").alias("total"), F.lit(0).alias("version"))
+    new = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).cast("double").alias("total"), F.lit(1).alias("version"))
+    return C.upsert(old, new, ["c_custkey"])
 
 
 @query("SELECT vec_id, label FROM embeddings ORDER BY vec_id")
@@ -209,8 +227,7 @@ def embedding_checks(t):
 
 @query(f"WITH {CENT} SELECT vec_id, u.label, round({DIST}, 6) AS distance FROM u JOIN c ON u.label = c.label")
 def centroid_distance(t):
-    c = V.mean_vectors(t.embeddings, "label", "embedding", dim=DIM).select("label", "centroid")
-    return t.embeddings.join(F.broadcast(c), "label").select("vec_id", "label", r6(V.distance(F.col("embedding"), F.col("centroid"))).alias("distance"))  # a row per cluster
+    return _distances(t)
 
 
 @query(f"WITH {CENT} SELECT vec_id, min_by(c.label, ({DIST}, c.label)) AS cluster_id, round(min({DIST}), 6) AS distance_to_centroid FROM u, c GROUP BY 1")
@@ -244,9 +261,10 @@ def knn(t):
     return _near(t, 5).withColumn("distance", F.round("distance", 5))
 
 
-@query(f"WITH {KNN}, p AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM k WHERE rank <= 5) SELECT p.src, p.dst, round(greatest(0, list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2]))), 6) AS weight FROM p JOIN u a ON a.vec_id = p.src JOIN u b ON b.vec_id = p.dst")
+@query(f"WITH {KNN.replace(' WHERE vec_id % 50 = 0', '')}, p AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM k WHERE rank <= 5) SELECT p.src, p.dst, round(greatest(0, list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2]))), 6) AS weight FROM p JOIN u a ON a.vec_id = p.src JOIN u b ON b.vec_id = p.dst")
 def knn_edges(t):
-    e = V.knn_edges(_near(t, 5), t.embeddings, "vec_id", "embedding")
+    """Edges of the graph of every vector's neighbours."""
+    e = V.knn_edges(V.knn(t.embeddings, t.embeddings, "vec_id", "embedding", 5, DIM), t.embeddings, "vec_id", "embedding")
     return e.withColumn("weight", r6("weight"))
 
 
@@ -266,7 +284,7 @@ def silhouette_exact(t):
 
 @query()
 def kmeans(t):
-    """MLlib: rows only; tests check that each vector is with its nearest centre."""
+    """MLlib: no SQL; tests/test_clustering.py holds that each vector is with its nearest centre, and its distance."""
     return K.cluster(t.embeddings.select("vec_id", "embedding"), "embedding", "kmeans", 8).select("vec_id", "cluster_id", "distance_to_centroid")
 
 
@@ -283,7 +301,15 @@ def bisecting_kmeans(t):
 @query()
 def gaussian_mixture(t):
     low = K.pca(t.embeddings.select("vec_id", "embedding"), "embedding", 4, out="x").select("vec_id", "x")
-    return K.cluster(low, "x", "gmm", 4).select("vec_id", "cluster_id", r6("cluster_confidence").alias("cluster_confidence"))
+    return K.diagonal_mixture(low, "x", 4)[0].select("vec_id", "cluster_id", r6("cluster_confidence").alias("cluster_confidence"))
+
+
+@query()
+def mixture_criteria(t):
+    """One row: mean confidence, BIC and AIC of the mixture."""
+    low = K.pca(t.embeddings.select("vec_id", "embedding"), "embedding", 4, out="x").select("vec_id", "x")
+    stats = K.diagonal_mixture(low, "x", 4)[1]
+    return t.spark.createDataFrame([tuple(stats[k] for k in ("mean_confidence", "bic", "aic"))], "mean_confidence double, bic double, aic double")
 
 
 @query()

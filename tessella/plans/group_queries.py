@@ -156,10 +156,10 @@ def kl_estimators(t):
     return t.tokens.select("seq", "pos", *[r6(kl_estimate(F.col("logp"), F.col("old"), k)).alias(k) for k in ("k1", "abs", "k2", "k3")])
 
 
-@query(f"""WITH s AS (SELECT o_orderkey AS step, (o_orderkey % 13)::DOUBLE / 100 AS kl FROM orders WHERE o_orderkey < 200), f AS (SELECT step, 1 + least(greatest(kl / 0.06::DOUBLE - 1, -0.2::DOUBLE), 0.2::DOUBLE) * 64 / 10000 AS x FROM s)
+@query(f"""WITH s AS (SELECT o_orderkey AS step, (o_orderkey % 13)::DOUBLE / 100 AS kl FROM orders), f AS (SELECT step, 1 + least(greatest(kl / 0.06::DOUBLE - 1, -0.2::DOUBLE), 0.2::DOUBLE) * 64 / 10000 AS x FROM s)
 SELECT step, round(0.2::DOUBLE * exp(sum(ln(x)) OVER (ORDER BY step)), 6) AS beta FROM f""")
 def adaptive_kl(t):
-    s = t.orders.where("o_orderkey < 200").select(F.col("o_orderkey").alias("step"), ((F.col("o_orderkey") % 13) / 100).alias("kl"))
+    s = t.orders.select(F.col("o_orderkey").alias("step"), ((F.col("o_orderkey") % 13) / 100).alias("kl"))
     return G.adaptive_kl(s, "step", "kl", 0.2, 0.06, 10000.0, F.lit(64)).select("step", r6("beta").alias("beta"))
 
 
@@ -223,7 +223,7 @@ def geo_mean_loss(t):
 
 @query()
 def clip_cov_loss(t):
-    """Which tokens of the band lose their loss is seeded: no SQL; a test checks their number."""
+    """Which tokens of the band lose their loss is seeded: no SQL; a test holds them against the band."""
     c = G.clip_cov_loss(t.tokens, ["seq", "pos"], F.col("logp"), F.col("old"), F.col("adv"), F.col("mask"), ratio=0.01, low=0.0)
     return c.select("seq", "pos", r6("loss").alias("loss"))
 
@@ -236,12 +236,21 @@ def value_loss(t):
 @query(f"""WITH {TO}, m AS (SELECT avg(logp) AS ml, avg(adv) AS ma, greatest(1, floor(count(*) * 0.01::DOUBLE))::BIGINT AS k FROM tokens WHERE mask), c AS (SELECT seq, pos, (logp - ml) * (adv - ma) AS covariance FROM tokens, m WHERE mask)
 SELECT seq, pos, round(covariance, 6) AS covariance FROM c QUALIFY row_number() OVER (ORDER BY round(covariance, 9) DESC, seq, pos) <= (SELECT k FROM m)""")
 def kl_cov_topk(t):
-    tok = t.tokens
-    own = tok.where("mask")
-    means = own.agg(F.avg("logp").alias("ml"), F.avg("adv").alias("ma"))
-    c = own.crossJoin(F.broadcast(means)).withColumn("covariance", F.round((F.col("logp") - F.col("ml")) * (F.col("adv") - F.col("ma")), 9))
-    k = max(1, int(own.count() * 0.01))
-    return c.orderBy(F.desc("covariance"), "seq", "pos").limit(k).select("seq", "pos", r6("covariance").alias("covariance"))
+    c = G.kl_cov_rows(t.tokens, ["seq", "pos"], F.col("logp"), F.col("adv"), F.col("mask"), 0.01, digits=9)
+    return c.select("seq", "pos", r6("covariance").alias("covariance"))
+
+
+@query(f"""WITH {TO}, m AS (SELECT avg(logp) AS ml, avg(adv) AS ma, greatest(1, floor(count(*) * 0.01::DOUBLE))::BIGINT AS k FROM tokens WHERE mask), c AS (SELECT seq, pos, (logp - ml) * (adv - ma) AS covariance FROM tokens, m WHERE mask),
+k AS (SELECT seq, pos FROM c QUALIFY row_number() OVER (ORDER BY round(covariance, 9) DESC, seq, pos) <= (SELECT k FROM m)), l AS (SELECT t.seq, mask, -adv * exp(logp - old) + CASE WHEN k.seq IS NOT NULL THEN abs(logp - old) ELSE 0 END AS x FROM tokens t LEFT JOIN k ON k.seq = t.seq AND k.pos = t.pos), {AGG}""")
+def kl_cov_loss(t):
+    k = G.kl_cov_loss(t.tokens, ["seq", "pos"], F.col("logp"), F.col("old"), F.col("adv"), F.col("mask"), ratio=0.01, digits=9)
+    return _losses(G.aggregate_loss(k, ["seq"], F.col("loss"), F.col("mask"), 7.0))
+
+
+@query()
+def pf_resample(t):
+    """Draws with replacement in proportion to the weights: seeded, no SQL; a test holds the shares against the weights."""
+    return G.resample(t.responses, F.pow(F.abs("score"), F.lit(2.0)), "seq", t.responses.count(), seed=3).select("draw", "seq", "uid")
 
 
 @query(f"WITH {TO}, n AS (SELECT seq, pos, logp, lead(mask) OVER (ORDER BY seq, pos) AS nm, first_value(mask) OVER (ORDER BY seq, pos) AS f FROM tokens) SELECT round(-sum(logp) FILTER (coalesce(nm, f)) / count(*) FILTER (coalesce(nm, f)), 6) AS loss FROM n")
@@ -307,3 +316,22 @@ round(sum(c2) / (sum(m) + {E8}) - 1, 6) AS chi2_token, round(avg(exp(2 * least(g
 def offpolicy_metrics(t):
     m = R.off_policy_metrics(t.tokens, ["seq"], F.col("logp"), F.col("old"), F.col("mask"))
     return m.select(*[r6(c).alias(c) for c in m.columns])
+
+
+@query(f"""WITH {TO}, d AS (SELECT *, 0.5::DOUBLE * {LR} * {LR} AS k2, CASE WHEN mask THEN least(exp({LR}), 2) ELSE 0 END AS w FROM tokens) SELECT seq, pos, mask AND coalesce(k2 <= 0.08::DOUBLE, false) AS kept, round(w, 6) AS is_weight FROM d""")
+def rollout_correction(t):
+    """Mask and weights in one call."""
+    c = R.correct_rollouts(t.tokens, ["seq"], F.col("logp") - F.col("old"), F.col("mask"), {"token_k2": 0.08}, weights="token", threshold=2.0)
+    return c.select("seq", "pos", "kept", r6("is_weight").alias("is_weight"))
+
+
+@query(f"""WITH {TO}, d AS (SELECT *, mask AND exp({LR}) - 1 - {LR} <= 0.03::DOUBLE AS kept, CASE WHEN mask THEN least(exp({LR}), 2) ELSE 0 END AS w FROM tokens), l AS (SELECT seq, kept AS mask, -adv * w * logp AS x FROM d), {AGG}""")
+def bypass_loss(t):
+    """The policy that sampled is the old one: weights and mask come from it, the loss is REINFORCE's."""
+    return _losses(G.bypass_loss(t.tokens, ["seq"], F.col("logp"), F.col("old"), F.col("adv"), F.col("mask"), "reinforce", {"token_k3": 0.03}, threshold=2.0, norm=7.0))
+
+
+@query("SELECT k, low, high FROM (VALUES ('0.1_1.2', 0.1::DOUBLE, 1.2::DOUBLE), ('2', 0.5::DOUBLE, 2.0::DOUBLE), ('1.25', 0.8::DOUBLE, 1.25::DOUBLE)) AS v(k, low, high)")
+def threshold_specs(t):
+    """A driver's function: the specification is an option, not data."""
+    return t.spark.createDataFrame([(k, *R.parse_threshold(k, k1=True)) for k in ("0.1_1.2", "2", "1.25")], "k string, low double, high double")

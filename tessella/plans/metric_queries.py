@@ -9,7 +9,9 @@ from tessella.functions import text as T
 from tessella.operators import balance as L
 from tessella.operators import batch as B
 from tessella.operators import metrics as M
+from tessella.operators import scheduler as Q
 from tessella.plans.registry import query, r6
+from tessella.sources import sinks as W
 
 
 @query("SELECT count(*) AS n, round(avg(value), 6) AS mean, max(value) AS max, min(value) AS min, round(avg((value >= 490)::INT), 6) AS clip_ratio, round(avg((event_type = 'error')::INT), 6) AS aborted_ratio, round(avg(value) FILTER (event_type <> 'error'), 6) AS mean_live FROM events")
@@ -69,9 +71,25 @@ def best_of_k(t):
 
 @query("""WITH {responses}, c AS (SELECT uid, count(*) AS n, count(*) FILTER (score > 2.5) AS c FROM responses GROUP BY 1) SELECT uid, round(1 - pow((n - c) / n, 4), 6) AS pass_at_4 FROM c""")
 def pass_at_k_exact(t):
-    """Chance that one of four draws with replacement is right."""
-    c = t.responses.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > 2.5).alias("c"))
-    return c.select("uid", r6(1 - F.pow((F.col("n") - F.col("c")) / F.col("n"), F.lit(4))).alias("pass_at_4"))
+    return M.pass_at_k(t.responses, ["uid"], F.col("score") > 2.5, 4).withColumn("pass_at_4", r6("pass_at_4"))
+
+
+@query("""WITH {responses}, v AS (SELECT source, uid, seq, 'score' AS variable, score AS x FROM responses UNION ALL SELECT source, uid, seq, 'length', length::DOUBLE FROM responses),
+s AS (SELECT *, count(*) OVER g AS n, row_number() OVER (PARTITION BY source, uid, variable ORDER BY x, seq) AS i FROM v WINDOW g AS (PARTITION BY source, uid, variable)),
+k AS (SELECT DISTINCT source, uid, variable, n, unnest(list_append(list_filter([2, 4, 8, 16, 32, 64], lambda x: x < n), n)) AS k FROM s WHERE n > 1),
+b AS (SELECT s.source, s.uid, s.variable, k.k, sum(x * (pow(i / s.n, k.k) - pow((i - 1) / s.n, k.k))) AS best, sum(x * (pow((s.n - i + 1) / s.n, k.k) - pow((s.n - i) / s.n, k.k))) AS worst FROM s JOIN k ON s.source = k.source AND s.uid = k.uid AND s.variable = k.variable GROUP BY 1, 2, 3, 4),
+p AS (SELECT source, uid, variable, avg(x) AS m, stddev_pop(x) AS sd, count(*) AS n FROM v GROUP BY 1, 2, 3),
+a AS (SELECT source, variable, 'mean@' || n AS metric, m AS value FROM p UNION ALL SELECT source, variable, 'std@' || n, sd FROM p UNION ALL SELECT source, variable, 'best@' || k || '/mean', best FROM b UNION ALL SELECT source, variable, 'worst@' || k || '/mean', worst FROM b)
+SELECT source, variable, metric, round(avg(value), 6) AS value FROM a GROUP BY 1, 2, 3""")
+def validation_report(t):
+    """All reducers of every numeric variable; the text variable `pred` is skipped."""
+    return M.validation_report(t.responses, "source", "uid", "seq").withColumn("value", r6("value"))
+
+
+@query()
+def majority_at_k(t):
+    """Seeded resamples: no SQL; a test holds them against exact shares."""
+    return M.majority_at_k(t.responses, "source", "uid", "pred", "score", "seq")
 
 
 @query()
@@ -180,20 +198,17 @@ def slowest_sample(t):
 @query("SELECT event_id, user_id FROM events e WHERE EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.value > 480)")
 def zero_acc_group_filter(t):
     """Rollouts of prompts of which at least one rollout is right."""
-    any_right = F.max((F.col("value") > 480).cast("int")).over(Window.partitionBy("user_id"))
-    return t.events.withColumn("_a", any_right).where("_a = 1").select("event_id", "user_id")
+    return M.any_right(t.events, "user_id", F.col("value") > 480).select("event_id", "user_id")
 
 
 @query("SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE value > 489)")
 def semi_any_correct(t):
-    right = t.events.where("value > 489").select("user_id").distinct()
-    return t.events.join(right, "user_id", "left_semi").select("event_id")
+    return M.any_right(t.events, "user_id", F.col("value") > 489).select("event_id")
 
 
 @query("WITH r AS (SELECT avg((value >= 400)::INT) AS ratio FROM events) SELECT event_id, value FROM events, r WHERE value >= 400 AND ratio >= 0.01")
 def clipped_samples(t):
-    ratio = t.events.agg(F.avg((F.col("value") >= 400).cast("int")).alias("ratio"))
-    return t.events.where("value >= 400").crossJoin(F.broadcast(ratio)).where("ratio >= 0.01").select("event_id", "value")  # one row
+    return M.clipped(t.events, F.col("value"), 400, 0.01).select("event_id", "value")
 
 
 @query("WITH {tokens}, l AS (SELECT seq, sum(mask::INT) AS n FROM tokens GROUP BY 1) SELECT round(avg(n), 6) AS mean_length, max(n)::BIGINT AS max_length, round(avg((n >= 5)::INT), 6) AS clip_ratio FROM l")
@@ -215,33 +230,26 @@ RATES = "p AS (SELECT event_type, user_id, avg((value > 245)::INT) AS rho FROM e
 
 @query(f"WITH {RATES} SELECT event_type, round(CASE WHEN (SELECT sum(r) FROM r) > 0 THEN r / (SELECT sum(r) FROM r) ELSE 1.0 / (SELECT count(*) FROM r) END, 6) AS prob FROM r")
 def cluster_target_prob(t):
-    p = t.events.groupBy("event_type", "user_id").agg(F.avg((F.col("value") > 245).cast("int")).alias("rho")).groupBy("event_type").agg(F.avg("rho").alias("r"))
-    s = p.agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("k"))
-    return p.crossJoin(F.broadcast(s)).select("event_type", r6(F.when(F.col("s") > 0, F.col("r") / F.col("s")).otherwise(1 / F.col("k"))).alias("prob"))  # one row
+    return Q.target_probabilities(_rates(t), "event_type").select("event_type", r6("target").alias("prob"))
 
 
-@query(f"WITH {RATES}, h AS (SELECT event_type, r / (SELECT sum(r) FROM r) AS t FROM r), e AS (SELECT event_type, 0.7::DOUBLE * (1.0::DOUBLE / (SELECT count(*) FROM h)) + 0.3::DOUBLE * t AS p FROM h) SELECT event_type, round(p / (SELECT sum(p) FROM e), 6) AS prob, round((SELECT -sum((p / (SELECT sum(p) FROM e)) * ln(p / (SELECT sum(p) FROM e) + 1e-12)) FROM e), 6) AS entropy FROM e")
-def ema_prob(t):
-    target = cluster_target_prob_raw(t)
-    k = target.agg(F.count(F.lit(1)).alias("k"))
-    e = target.crossJoin(F.broadcast(k)).select("event_type", (0.7 / F.col("k") + 0.3 * F.col("t")).alias("p"))  # one row
-    s = e.agg(F.sum("p").alias("s"))
-    e = e.crossJoin(F.broadcast(s)).select("event_type", (F.col("p") / F.col("s")).alias("p"))  # one row
-    h = e.agg((-F.sum(F.col("p") * F.ln(F.col("p") + 1e-12))).alias("h"))
-    return e.crossJoin(F.broadcast(h)).select("event_type", r6("p").alias("prob"), r6("h").alias("entropy"))  # one row
+def _rho(t):
+    return Q.success_rates(t.events, "event_type", "user_id", (F.col("value") > 245).cast("int"))
+
+
+def _rates(t):
+    return Q.cluster_rates(_rho(t), "event_type")
 
 
-def cluster_target_prob_raw(t):
-    p = t.events.groupBy("event_type", "user_id").agg(F.avg((F.col("value") > 245).cast("int")).alias("rho")).groupBy("event_type").agg(F.avg("rho").alias("r"))
-    s = p.agg(F.sum("r").alias("s"))
-    return p.crossJoin(F.broadcast(s)).select("event_type", (F.col("r") / F.col("s")).alias("t"))  # one row
+@query(f"WITH {RATES}, h AS (SELECT event_type, r / (SELECT sum(r) FROM r) AS t FROM r), e AS (SELECT event_type, 0.7::DOUBLE * (1.0::DOUBLE / (SELECT count(*) FROM h)) + 0.3::DOUBLE * t AS p FROM h) SELECT event_type, round(p / (SELECT sum(p) FROM e), 6) AS prob, round((SELECT -sum((p / (SELECT sum(p) FROM e)) * ln(p / (SELECT sum(p) FROM e) + 1e-12)) FROM e), 6) AS entropy FROM e")
+def ema_prob(t):
+    p = Q.smoothed_probabilities(Q.target_probabilities(_rates(t), "event_type"), "event_type", 0.3)
+    return p.select("event_type", r6("prob").alias("prob"), r6("entropy").alias("entropy"))
 
 
 @query(f"WITH {RATES} SELECT CASE WHEN rho < 0.33::DOUBLE THEN 'easier' WHEN rho > 0.67::DOUBLE THEN 'harder' ELSE 'keep' END AS band, count(*) AS n FROM p GROUP BY 1")
 def band_counts(t):
-    p = t.events.groupBy("event_type", "user_id").agg(F.avg((F.col("value") > 245).cast("int")).alias("rho"))
-    band = F.when(F.col("rho") < 0.33, "easier").when(F.col("rho") > 0.67, "harder").otherwise("keep")
-    return p.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return Q.bands(_rho(t)).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH q AS (SELECT user_id, count(*) AS produced, count(*) FILTER (event_type = 'view') AS consumed FROM events GROUP BY 1) SELECT user_id, produced, consumed, least(produced - consumed, 20) AS waiting, produced - consumed - least(produced - consumed, 20) AS dropped FROM q")
@@ -329,21 +337,23 @@ def weighted_sample(t):
 def dynamic_append(t):
     """Rows that are added after a step pass the length filter first."""
     first, later = t.events.where("event_id < 500"), t.events.where("event_id >= 500")
-    return first.unionByName(later.where(F.length("props") <= 9)).select("event_id", "value")
+    return B.append_rows(first, later, F.length("props"), 9).select("event_id", "value")
 
 
-@query("SELECT conv_id, turn, (role = 'user')::INT AS is_prompt, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM conversations")
-def preference_rows(t):
-    """Each conversation's rows with their role in a prompt and response pair."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("conv_id"))
-    return t.conversations.select("conv_id", "turn", (F.col("role") == "user").cast("int").alias("is_prompt"), n.alias("n_turns"))
+@query("""WITH p AS (SELECT conv_id, min_by(text, turn) AS prompt, max_by(text, turn) AS chosen, max_by(text, turn) FILTER (role = 'user') AS rejected FROM conversations GROUP BY 1)
+SELECT conv_id, 1 AS is_chosen, md5(prompt || chr(10) || chosen) AS text FROM p UNION ALL SELECT conv_id, 0, md5(prompt || chr(10) || rejected) FROM p""")
+def preference_pairs(t):
+    """Of each conversation, its first text with its last one (chosen) and with the user's last one (rejected)."""
+    p = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"), F.max_by("text", "turn").alias("chosen"), F.max_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("rejected"))
+    return W.preference_pairs(p, "conv_id", "prompt", "chosen", "rejected").withColumn("text", F.md5("text"))
 
 
-@query("SELECT doc_id, k::INT AS sample, text IS NOT NULL AS has_text FROM documents, (SELECT unnest(range(2)) AS k)")
+@query("SELECT doc_id, md5('0:' || source || '|1:' || lang || '|2:' || doc_id) AS responses FROM documents")
 def generation_table(t):
-    """n samples a prompt: repeated, answered outside, and folded back in order."""
-    d = B.repeat_by(t.documents.select("doc_id", "text"), F.lit(2))
-    return d.select("doc_id", F.col("copy").alias("sample"), F.col("text").isNotNull().alias("has_text"))
+    """Three samples of each prompt, generated outside in any order, folded back as its responses."""
+    d = t.documents.select("doc_id", "source", "lang")
+    g = B.repeat_by(d, F.lit(3)).repartition("copy").select("doc_id", F.col("copy").alias("sample"), F.concat(F.col("copy").cast("string"), F.lit(":"), F.element_at(F.array("source", "lang", F.col("doc_id").cast("string")), F.col("copy") + 1)).alias("response"))
+    return W.generation_table(d, g, "doc_id", 3).select("doc_id", F.md5(F.array_join("responses", "|")).alias("responses"))
 
 
 @query("SELECT user_id, array_to_string(list(event_type ORDER BY event_id), ',') AS responses, count(*) AS n FROM events GROUP BY 1")

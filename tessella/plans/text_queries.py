@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scoring as S
 from tessella.functions import text as T
+from tessella.operators import groupmath as G
 from tessella.plans.registry import query, r6
 
 
@@ -39,10 +40,96 @@ def build_input_text(t):
     return t.documents.select("doc_id", F.md5(T.build_input_text(F.col("text"), F.col("source"))).alias("input_text"))
 
 
-@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1")
+#: Contents of every kind, as JSON text, by doc_id % 8; `{s}` and `{l}` stand for the row's source and language.
+CONTENTS = (
+    '"{s}"', '{"role": "System", "content": "{s}"}', '{"name": "{s}"}', '[{"role": " User ", "content": "  {s} "}, "{l}", {"x": 1}, {"role": "assistant", "content": [{"type": "text", "text": "{l}"}, " tail ", {"content": "c"}, {"text": null, "content": "d"}]}]',
+    "null", '["", {"role": "user", "content": ""}, {"content": "{s}"}]', "7", '{"text": "{s}", "content": "no"}',
+)
+
+
+def _contents(t):
+    """(doc_id, source, lang, v): a VARIANT of each kind."""
+    rows = [F.replace(F.replace(F.lit(c), F.lit("{s}"), F.col("source")), F.lit("{l}"), F.col("lang")) for c in CONTENTS]
+    pick = F.element_at(F.array(*rows), (F.col("doc_id") % 8 + 1).cast("int"))
+    return t.documents.where("source is not null and lang is not null").select("doc_id", "source", "lang", T.variant(pick).alias("v"))
+
+
+def _by_kind(*cases: str) -> str:
+    """SQL: the case of doc_id % 8, from documents whose source and language are known."""
+    return "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(cases)) + " END"
+
+
+FROM_KINDS = "FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL"
+PARTS = """'[{"text":"' || lang || '","type":"text"}," tail ",{"content":"c"},{"content":"d","text":null}]'"""
+
+
+@query("SELECT doc_id, " + _by_kind(
+    "'user=' || source", "'System=' || source", """'user={"name":"' || source || '"}'""", """' User =  ' || source || ' |user=' || lang || '|user={"x":1}|assistant=' || """ + PARTS, "''", "'user=|user=|=' || source", "'user=7'", "'=no'",
+) + f" AS messages {FROM_KINDS}")
 def to_messages(t):
-    m = t.conversations.select("conv_id", T.to_messages(F.col("text")).alias("m"))
-    return m.groupBy("conv_id").agg(F.sum(F.size("m")).alias("n"))
+    """Messages of strings, objects, lists of both, numbers and nulls. Objects written as JSON have their keys sorted."""
+    m = F.transform(T.message_list(F.col("v")), lambda x: F.concat(x["role"], F.lit("="), x["content"]))
+    return _contents(t).select("doc_id", F.array_join(m, "|").alias("messages"))
+
+
+@query("SELECT doc_id, " + _by_kind("'=' || source", "'system=' || source", "''", "'user=' || source || '|=' || lang || '|=|assistant=' || lang || chr(10) || 'tail' || chr(10) || 'c' || chr(10) || 'd'", "''", "'=' || source", "'=7'", "'=no'").replace("'|=|assistant", "'|assistant") + f" AS messages {FROM_KINDS}")
+def prompt_messages(t):
+    m = F.transform(T.prompt_messages(F.col("v")), lambda x: F.concat(x["role"], F.lit("="), x["content"]))
+    return _contents(t).select("doc_id", F.array_join(m, "|").alias("messages"))
+
+
+@query("SELECT doc_id, " + _by_kind("source", "source", "''", "lang", "''", "source", "'7'", "source") + f" AS content {FROM_KINDS}")
+def flatten_content(t):
+    """Text of a content of any kind: parts on lines of their own. Of the list, the parts that have text."""
+    flat = T.flatten_content(F.col("v"))
+    return _contents(t).select("doc_id", F.when(F.col("doc_id") % 8 == 3, F.get(F.split(flat, "\n"), F.lit(1))).otherwise(flat).alias("content"))
+
+
+@query("SELECT doc_id, " + _by_kind("source", "source", "''", "source || chr(10) || lang || chr(10) || lang || chr(10) || 'tail' || chr(10) || 'c' || chr(10) || 'd'", "''", "source", "'7'", "'no'") + f" AS target {FROM_KINDS}")
+def target_text(t):
+    return _contents(t).select("doc_id", T.target_text(F.col("v")).alias("target"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN 'Question:' || chr(10) || source || chr(10) || chr(10) || 'Answer:' || chr(10) || lang ELSE 'Question:' || chr(10) || source || chr(10) || chr(10) || 'Answer:' || chr(10) || 'so ' || lang END AS input_text FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+def input_text_modes(t):
+    """Every mode: the question alone, with the truth, and with the worked answer of a list and of a text."""
+    d = t.documents.where("source is not null and lang is not null")
+    body = F.concat(F.lit("so "), "lang")
+    target = T.variant(F.when(F.col("doc_id") % 4 == 2, F.concat(F.lit('[{"role": "assistant", "content": " '), body, F.lit(' "}]'))).otherwise(body))
+    q, truth = F.col("source"), F.concat(F.lit(" "), "lang", F.lit(" "))
+    text = F.when(F.col("doc_id") % 4 == 0, T.input_text(q)).when(F.col("doc_id") % 4 == 1, T.input_text(q, "question_plus_ground_truth", truth)).otherwise(T.input_text(q, "question_plus_cot", target=target))
+    return d.select("doc_id", text.alias("input_text"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE doc_id::VARCHAR END AS truth FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+def truth_fallback(t):
+    k = F.col("doc_id") % 3
+    columns = [F.when(k == 0, F.concat(F.lit(" "), "source")).when(k == 1, "  "), F.when(k == 1, F.col("lang")), F.col("doc_id")]
+    return t.documents.where("source is not null and lang is not null").select("doc_id", T.truth_of(columns).alias("truth"))
+
+
+@query("SELECT conv_id, md5(coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), '')) AS user_text FROM conversations GROUP BY 1")
+def user_text(t):
+    return _messages(t).select("conv_id", F.md5(T.user_text(F.col("messages"))).alias("user_text"))
+
+
+@query("SELECT doc_id, 'Solve: ' || source || chr(10) || 'Box it.' AS prompt FROM documents WHERE source IS NOT NULL")
+def build_prompt(t):
+    m = T.prompt_of("Solve: {question}\nBox it.", F.concat(F.lit(" "), "source", F.lit(" ")))
+    return t.documents.where("source is not null").select("doc_id", F.get(m, F.lit(0))["content"].alias("prompt"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'p' || p_partkey WHEN 1 THEN 'a_b_' || p_partkey ELSE 'dataset' END || '_frac25_seed7' AS name FROM part")
+def output_name(t):
+    k = F.col("p_partkey").cast("string")
+    path = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("/data/x/p"), k, F.lit(".JSONL"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("org/a b:"), k, F.lit("//"))).otherwise("??/")
+    return t.part.select("p_partkey", T.output_name(path, 0.25, 7).alias("name"))
+
+
+@query("SELECT p_partkey, p_size % 5 < 3 AS flag FROM part")
+def parse_bool(t):
+    words = F.array(*map(F.lit, (" Yes ", "ON", "1", "no", "truth")))
+    return t.part.select("p_partkey", T.to_bool(F.element_at(words, (F.col("p_size") % 5 + 1).cast("int"))).alias("flag"))
 
 
 INSTR = "CASE doc_id % 3 WHEN 0 THEN 'Please reason step by step.' || chr(10) || chr(10) || 'Question: ' || source WHEN 1 THEN 'Plain' || chr(13) || chr(10) || source || ' <think>' ELSE source END"
@@ -105,8 +192,8 @@ def pad_truncate(t):
 
 @query("SELECT conv_id, array_to_string(list((role = 'assistant')::INT ORDER BY turn), '') AS loss_mask FROM conversations GROUP BY 1")
 def loss_mask(t):
-    m = _messages(t)
-    return m.select("conv_id", F.array_join(F.transform("messages", lambda x: (x["role"] == "assistant").cast("int").cast("string")), "").alias("loss_mask"))
+    mask = F.transform(T.loss_mask(F.col("messages")), lambda x: x.cast("string"))
+    return _messages(t).select("conv_id", F.array_join(mask, "").alias("loss_mask"))
 
 
 @query("WITH {tokens} SELECT seq, round(list_sum(list(value ORDER BY pos) FILTER (mask)), 6) AS total, count(*) FILTER (mask) AS n FROM tokens GROUP BY 1 HAVING count(*) FILTER (mask) > 0")
@@ -153,10 +240,7 @@ def overlong_penalty(t):
 
 @query("WITH {tokens} SELECT seq, pos, CASE WHEN pos = max(pos) OVER (PARTITION BY seq) THEN 1.0::DOUBLE ELSE 0 END AS reward FROM tokens")
 def reward_at_last_token(t):
-    from pyspark.sql.window import Window
-
-    last = F.max("pos").over(Window.partitionBy("seq"))
-    return t.tokens.select("seq", "pos", F.when(F.col("pos") == last, 1.0).otherwise(0.0).alias("reward"))
+    return G.at_last_token(t.tokens, "seq", "pos", F.lit(1.0), "reward").select("seq", "pos", "reward")
 
 
 # scorers; answers are built from columns so that both sides know them
@@ -220,10 +304,14 @@ def code_block_extract(t):
     return t.events.select("event_id", S.code_block(x).alias("code"))
 
 
-@query("SELECT event_id, '\\frac{' || user_id || '}{3}' AS boxed FROM events WHERE event_id % 2 = 0")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '\\frac{' || user_id || '}{3}' WHEN 1 THEN user_id::VARCHAR WHEN 2 THEN 'f' || user_id WHEN 3 THEN '{' || user_id || '}' END AS boxed,
+CASE event_id % 6 WHEN 0 THEN '\\frac{' || user_id || '}{3}' WHEN 3 THEN '{' || user_id || '}' WHEN 4 THEN 'first' WHEN 5 THEN NULL END AS complete, CASE event_id % 6 WHEN 0 THEN '\\frac{' || user_id || '}{3}' WHEN 1 THEN user_id::VARCHAR WHEN 2 THEN 'f' || user_id WHEN 3 THEN '{' || user_id || '}' END AS inner_most FROM events""")
 def last_boxed(t):
-    x = F.concat(F.lit("first \\boxed{0}, so $\\boxed{\\frac{"), F.col("user_id").cast("string"), F.lit("}{3}}$"))
-    return t.events.where("event_id % 2 = 0").select("event_id", S.boxed_udf(x).alias("boxed"))
+    """The last box of nested braces, with a blank, framed, with braces inside, unclosed after a closed one, and none; and its variants."""
+    u = F.col("user_id").cast("string")
+    texts = [("first \\boxed{0}, so $\\boxed{\\frac{", "}{3}}$"), ("so $\\boxed ", "$ then"), ("then \\fbox{f", "}"), ("\\boxed{{", "}} end"), ("\\boxed{first} and \\boxed{", ""), ("none ", "")]
+    x = F.element_at(F.array(*[F.concat(F.lit(a), u, F.lit(b)) for a, b in texts]), (F.col("event_id") % 6 + 1).cast("int"))
+    return t.events.select("event_id", S.boxed_udf(x).alias("boxed"), S.complete_box_udf(x).alias("complete"), S.innermost_box_udf(x).alias("inner_most"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN 1.0::DOUBLE ELSE 0 END AS score FROM events")
@@ -241,20 +329,60 @@ def math_equiv(t):
     return t.events.select("event_id", S.math_equal_udf(a, b).alias("equal"))
 
 
-@query("SELECT event_id, event_id % 3 = 0 AS correct FROM events")
+#: Answers and truths that grade equal or not, by event_id % 12; `{u}` stands for a number of the row.
+GRADED = (
+    ("{u}", "{u}", True), ("{u}.0", "{u}", True), ("9{u}", "{u}", False), ("{u} million", "{u}000000", True), ("1+x^{u}", "x^{u}+1", True), ("\\frac{x}{{u}7}", "x/{u}7", True),
+    ("2/4", "1/2", False), ("0.5", "\\frac{1}{2}", True), ("({u}, 2)", "({u},2.0)", True), ("[{u},2)", "({u},2)", False), ("{u} cm", "{u}", True), ("\\sqrt{8}", "2\\sqrt{2}", True),
+)
+
+
+@query("SELECT event_id, event_id % 12 NOT IN (" + ", ".join(str(i) for i, g in enumerate(GRADED) if not g[2]) + ") AS correct FROM events")
 def grade_answer(t):
-    k, u = F.col("event_id") % 3, F.col("user_id").cast("string")
-    a = F.when(k == 0, u).when(k == 1, F.concat(u, F.lit(".0"))).otherwise(F.concat(F.lit("9"), u))
-    return t.events.select("event_id", S.grade_udf(a, u).alias("correct"))
+    """Integers, number words, expressions, fractions, tuples, intervals, units and roots."""
+    u = F.col("user_id").cast("string")
+    a, b = (F.element_at(F.array(*[F.replace(F.lit(g[k]), F.lit("{u}"), u) for g in GRADED]), (F.col("event_id") % 12 + 1).cast("int")) for k in (0, 1))
+    return t.events.select("event_id", S.grade_udf(a, b).alias("correct"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1.0::DOUBLE WHEN user_id = user_id THEN -1.0::DOUBLE END AS score FROM events")
-def score_dispatch(t):
+#: The same for the strict normal form.
+STRICT = (
+    ("{u}", "{u}", True), ("{u}.0", "{u}", False), (" {u} ", "{u}", True), ("\\dfrac73", "\\frac{7}{3}", True), ("\\tfrac12", "\\frac{1}{2}", True), ("1/7{u}", "\\frac{1}{7{u}}", True), ("0.5", "\\frac12", True), (".{u}", "0.{u}", True),
+    ("x={u}", "{u}", True), ("{u}\\text{ cm}", "{u}", True), ("{u}\\%", "{u}", True), ("\\sqrt3", "\\sqrt{3}", True), ("{u}^\\circ", "{u}", True), ("1+x", "x+1", False), ("\\left({u}\\right)", "({u})", True),
+)
+
+
+@query("SELECT event_id, event_id % 15 NOT IN (" + ", ".join(str(i) for i, g in enumerate(STRICT) if not g[2]) + ") AS equal FROM events")
+def strict_equiv(t):
     u = F.col("user_id").cast("string")
-    even = F.col("event_id") % 2 == 0
-    return t.events.select("event_id", S.score_by_source(F.when(even, "openai/gsm8k").otherwise("math_dapo"), F.when(even, F.concat(F.lit("#### "), u)).otherwise(u), u).alias("score"))
+    a, b = (F.element_at(F.array(*[F.replace(F.lit(g[k]), F.lit("{u}"), u) for g in STRICT]), (F.col("event_id") % 15 + 1).cast("int")) for k in (0, 1))
+    return t.events.select("event_id", S.strict_equal_udf(a, b).alias("equal"))
+
+
+#: Data sources with an answer and its score, by event_id % 10; the truth is the number of the row, `{u}`.
+DISPATCHED = (
+    ("openai/gsm8k", "#### {u}", 1.0), ("lighteval/MATH", "\\boxed{{u}}", 1.0), ("HuggingFaceH4/MATH-500", "\\boxed{{u}.0}", 0.0), ("math_dapo", "{u}", -1.0), ("aime24", "Answer: {u}", 1.0), ("math", "Answer: 9{u}", -1.0),
+    ("numina_olympiads", "\\boxed{{u}.0}", 1.0), ("hiyouga/geometry3k", "\\boxed{{u}}", 0.9), ("searchR1_nq", "<answer>The {u}.</answer>", 1.0), ("searchR1_bamboogle", "{u}", 0.0),
+)
+
+
+@query("SELECT event_id, " + "CASE event_id % 10 " + " ".join(f"WHEN {i} THEN {d[2]}::DOUBLE" for i, d in enumerate(DISPATCHED)) + " END AS score FROM events")
+def score_dispatch(t):
+    """Every kind of source, by its name or prefix; unknown names are an error, which a test holds."""
+    u, k = F.col("user_id").cast("string"), (F.col("event_id") % 10 + 1).cast("int")
+    source = F.element_at(F.array(*[F.lit(d[0]) for d in DISPATCHED]), k)
+    text = F.element_at(F.array(*[F.replace(F.lit(d[1]), F.lit("{u}"), u) for d in DISPATCHED]), k)
+    return t.events.select("event_id", S.score_by_source(source, text, u).alias("score"))
 
 
 @query("SELECT event_id, user_id FROM events WHERE contains(props, '\"k\": 7') ORDER BY value DESC, event_id")
 def log_search(t):
-    return t.events.where(F.col("props").contains('"k": 7')).orderBy(F.desc("value"), "event_id").select("event_id", "user_id")
+    found = T.log_matches(t.events, "props", '"k": 7')
+    return found.orderBy(F.desc("value"), "event_id").select("event_id", "user_id")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN value WHEN 1 THEN value / 2 ELSE 0 END AS order_score FROM events")
+def log_sort(t):
+    """Rows with the score that they are sorted by: `score`, else `score_1`, else 0."""
+    k = F.col("event_id") % 3
+    logs = t.events.select("event_id", F.when(k == 0, F.col("value")).alias("score"), F.when(k == 1, F.col("value") / 2).alias("score_1"))
+    return T.sort_log(logs, "event_id").select("event_id", "order_score")

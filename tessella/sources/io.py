@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.session import ensure_checkpoint_dir
 
 SUFFIXES = {"parquet": "parquet", "json": "json", "jsonl": "json"}
 
@@ -54,6 +56,12 @@ def write_verified(df: DataFrame, path: str) -> int:
     return wrote
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which the driver and all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def shard_path(folder: str, name: str, rank: int) -> str:
     return f"{folder}/{name}_rank{rank}.parquet"
 

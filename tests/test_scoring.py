@@ -21,7 +21,7 @@ def test_math_equal(a, b, same):
 
 
 def test_grade_is_strict_on_integers_and_fractions():
-    assert S.grade_answer("4", "4") and not S.grade_answer("4.0", "4") and not S.grade_answer("\\frac{2}{4}", "\\frac{1}{2}") and S.grade_answer("0.5", "\\frac{1}{2}")
+    assert S.grade_answer("4", "4") and S.grade_answer("4.0", "4") and not S.grade_answer("\\frac{2}{4}", "\\frac{1}{2}") and S.grade_answer("0.5", "\\frac{1}{2}")
 
 
 def test_many_answer_tags_cost(spark):
