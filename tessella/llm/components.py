@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from tessella.session import cut_lineage
 
 
+#: Rows of a partition of a light table.
+LIGHT_ROWS = 250_000
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of a light table, read back in partitions of LIGHT_ROWS or so: a few rows in as many partitions
+    as the shuffle before had would make as many files in every shuffle after."""
+    done = cut_lineage(df)
+    return done.coalesce(max(1, -(-done.count() // LIGHT_ROWS)))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of u to the least of u and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     Nulls and loops are left out. The table never exceeds the number of edges; each step is a reliable checkpoint. Steps
     grow with the logarithm of the largest component; stars, the usual input here, need one.
     """
-    now = cut_lineage(
+    now = compact(
         edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     seen = None
@@ -40,4 +51,4 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == tuple(stars) or stars[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))
         seen = tuple(stars)
-        now = cut_lineage(_small_star(_large_star(now)))
+        now = compact(_small_star(_large_star(now)))

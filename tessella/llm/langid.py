@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.words import Words, frugal, slices
+from tessella.llm.words import Words, frugal, map_rows, slices
 
 #: Training documents per language at most, those least by a hash of doc_id. All documents are scored.
 MAX_PER_LANGUAGE = 1500
@@ -294,21 +294,22 @@ def keep_identified(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     through. An empty table gives no rows.
     """
     model = fit_languages(docs, id_col, text_col, lang_col)
+    text_no, lang_no = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.languages)
         for batch in batches:
-            one = pa.RecordBatch.from_arrays([batch.column(text_col)], ["text"])
+            one = pa.RecordBatch.from_arrays([batch.column(text_no)], ["text"])
             for held, label, letters, first in _labelled(model, one) if k else ():
                 n = len(first) - 1
                 row = np.repeat(np.arange(n), np.diff(first))
                 mass = np.bincount(row * k + label, weights=letters, minlength=n * k).reshape(n, k)
                 part = batch.slice(held[0].lo, n)
-                texts = part.column(text_col)
+                texts = part.column(text_no)
                 plain = pc.match_substring_regex(texts, "[A-Za-z]").fill_null(False).to_pylist()  # the others are looked at one by one
                 keep = [p or (texts[i].is_valid and _has_letter(texts[i].as_py())) for i, p in enumerate(plain)]
-                lang = [a if a is not None else model.languages[j] for a, j in zip(part.column(lang_col).to_pylist(), mass.argmax(1))]
-                at = part.schema.get_field_index(lang_col)
-                yield part.set_column(at, part.schema.field(at), pa.array(lang, part.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
+                lang = [a if a is not None else model.languages[j] for a, j in zip(part.column(lang_no).to_pylist(), mass.argmax(1))]
+                field = part.schema.field(lang_no)
+                yield part.set_column(lang_no, field, pa.array(lang, field.type)).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(frugal(run), docs.schema)
+    return map_rows(docs, run)

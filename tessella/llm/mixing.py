@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
+from tessella.llm.components import compact
 from tessella.llm.words import U, frugal, mix, slices
 from tessella.session import cut_lineage
 
@@ -186,7 +187,7 @@ def _planned(docs: DataFrame, keep: bool, weights: tuple[float, ...], ratio: flo
         [(r["_key"], i, s, float(g)) for i, (r, s, g) in enumerate(zip(totals, sizes, goals))], "_key string, _no int, _total long, _target double"
     )
     by_bucket = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut_lineage(sums.select("_key", "_bucket", F.coalesce(F.sum("_words").over(by_bucket), F.lit(0)).alias("_offset")))
+    offsets = compact(sums.select("_key", "_bucket", F.coalesce(F.sum("_words").over(by_bucket), F.lit(0)).alias("_offset")))
     within = Window.partitionBy("_key", "_bucket").orderBy("_of", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         (rows if keep else light)

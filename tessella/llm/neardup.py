@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.blocks import BLOCK, runs
 from tessella.llm.bloom import membership
-from tessella.llm.components import components
+from tessella.llm.components import compact, components
 from tessella.llm.words import U, Words, frugal, mix, slices, windows
 from tessella.session import cut_lineage
 
@@ -256,7 +256,7 @@ def _in_class_blocks(rows: DataFrame) -> DataFrame:
     bucket = ["band", "hash"]
     sizes = rows.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.when(F.col("n") > BLOCK, F.col("root")).otherwise(F.lit(SMALL).cast("long")))
     totals = sizes.groupBy(*bucket, "g").agg(F.sum("n").alias("load"))
-    sizes = cut_lineage(sizes.select(*bucket, "root", "g").join(totals, [*bucket, "g"]))
+    sizes = compact(sizes.select(*bucket, "root", "g").join(totals, [*bucket, "g"]))
     own = rows.join(sizes, [*bucket, "root"]).withColumn("c", F.when(F.col("g") == SMALL, _parts("load", "root")).otherwise(_parts("load", "node"))).drop("load")
     # in SMALL a root with all its rows is in one part, which may thus be somewhat larger than BLOCK
     group = sizes.groupBy(*bucket, "g").agg(F.max("load").alias("load")).withColumn("k", F.when(F.col("load") <= 2 * BLOCK, F.lit(1)).otherwise(F.ceil(F.col("load") / BLOCK)).cast("int"))
@@ -265,7 +265,7 @@ def _in_class_blocks(rows: DataFrame) -> DataFrame:
     between = a.join(b, bucket).where("ga < gb").withColumn("i", part_of("ka")).withColumn("j", part_of("kb")).select(*BLOCK_KEY)
     small = group.where(F.col("g") == SMALL).select(*bucket, "k", F.col("g").alias("ga"), F.col("g").alias("gb")).withColumn("i", part_of("k"))
     within = small.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("k") - 1)))
-    blocks = cut_lineage(between.union(within.select(*BLOCK_KEY)))
+    blocks = compact(between.union(within.select(*BLOCK_KEY)))
     first = own.join(blocks.withColumnRenamed("ga", "g").withColumnRenamed("i", "c"), [*bucket, "g", "c"])
     first = first.withColumnRenamed("g", "ga").withColumnRenamed("c", "i").withColumn("part", F.lit(0))
     other = blocks.where("ga <> gb or i <> j").withColumnRenamed("gb", "g").withColumnRenamed("j", "c")
@@ -296,26 +296,26 @@ def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> t
 
     pairs = shared.where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
     led_by = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("load"))
-    pairs = cut_lineage(pairs.join(led_by, "v").withColumn("part", _parts("load", "u", LEAD_BLOCK)).select("u", "v", "part"))
+    pairs = compact(pairs.join(led_by, "v").withColumn("part", _parts("load", "u", LEAD_BLOCK)).select("u", "v", "part"))
     leads = pairs.select(F.col("v").alias("u"), "v", "part").distinct()  # a lead goes to each part of its followers once
     by_lead = pairs.union(leads).join(whole.withColumnRenamed("node", "u"), "u").repartition("v", "part").sortWithinPartitions("v", "part", F.col("u") != F.col("v"))
-    led = cut_lineage(by_lead.select("u", "v", "text").mapInArrow(frugal(_led(threshold)), "u long, v long"))
+    led = compact(by_lead.select("u", "v", "text").mapInArrow(frugal(_led(threshold)), "u long, v long"))
 
-    links, roots = led, cut_lineage(components(led))
+    links, roots = led, compact(components(led))
     for lo, hi in ROUNDS:
         own = shared.where(F.col("band").between(lo, hi - 1))
         rooted = own.join(roots, "node", "left").select("band", "hash", "node", F.coalesce("root", "node").alias("root"))
         mixed = rooted.groupBy("band", "hash").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "hash")
-        open_ = cut_lineage(rooted.join(mixed, ["band", "hash"], "left_semi"))
+        open_ = compact(rooted.join(mixed, ["band", "hash"], "left_semi"))
         signed = _together(_in_class_blocks(open_).join(nodes.select("node", "bands"), "node").select(*BLOCK_KEY, "part", "node", "root", "bands"))
-        paired = cut_lineage(signed.mapInArrow(frugal(_paired), "band int, hash long, ga long, i int, gb long, j int, part int, node long, root long"))
+        paired = compact(signed.mapInArrow(frugal(_paired), "band int, hash long, ga long, i int, gb long, j int, part int, node long, root long"))
         if paired.isEmpty():
             continue
         needed = whole.where(membership(paired.select("node").distinct(), "node")(F.col("node")))  # again: only these are shuffled
         read = _together(paired.join(nodes.select("node", "bands"), "node").join(needed, "node").select(*BLOCK_KEY, "part", "node", "root", "bands", "text"))
-        across = cut_lineage(read.mapInArrow(frugal(_across(threshold)), "u long, v long").distinct())
+        across = compact(read.mapInArrow(frugal(_across(threshold)), "u long, v long").distinct())
         links = links.union(across)
-        roots = cut_lineage(components(links))
+        roots = compact(components(links))
     least = roots.join(nodes.select("node", "doc", "key"), "node").groupBy("root").agg(F.min(F.struct("doc", "key")).alias("least"))
     classed = roots.join(least, "root").select("node", "least")
     of_text = nodes.join(classed, "node", "left").select("key", F.coalesce("least", F.struct("doc", "key")).alias("least"), "n_equal")
@@ -341,7 +341,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each class kept: the one of least doc_id (see near_duplicates for nulls and repeats)."""
     placed, _ = _classes(docs, threshold, id_col, text_col)
-    gone = cut_lineage(placed.where("not kept").select(F.xxhash64("doc", "key").alias("_of"), F.col("doc").alias("_gone"), F.col("key").alias("_key")))
+    gone = compact(placed.where("not kept").select(F.xxhash64("doc", "key").alias("_of"), F.col("doc").alias("_gone"), F.col("key").alias("_key")))
     maybe = membership(gone, "_of")(F.xxhash64(F.col(id_col), F.md5(text_col)))  # the rest stays where it is
     doubtful = docs.where(maybe)
     same = (doubtful[id_col] == gone["_gone"]) & (F.md5(doubtful[text_col]) == gone["_key"])

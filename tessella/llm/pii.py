@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.words import frugal
+from tessella.llm.words import frugal, map_rows
 from tessella.session import cut_lineage
 
 BASE = ("email", "ip", "card", "phone")
@@ -307,16 +307,17 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     well; other columns pass through. An empty table gives no rows.
     """
     private = fit(docs, text_col)
+    text_no = docs.columns.index(text_col)
+    chars_no = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [masked(t.as_py(), private) if t.is_valid else None for t in batch.column(text_col)]
-            at = batch.schema.get_field_index(text_col)
-            out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            if "n_chars" in batch.schema.names:
-                at = batch.schema.get_field_index("n_chars")
-                size = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-                out = out.set_column(at, batch.schema.field(at), size.cast(batch.schema.field(at).type))
+            texts = [masked(t.as_py(), private) if t.is_valid else None for t in batch.column(text_no)]
+            field = batch.schema.field(text_no)
+            out = batch.set_column(text_no, field, pa.array(texts, field.type))
+            if chars_no is not None:
+                field = batch.schema.field(chars_no)
+                out = out.set_column(chars_no, field, pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(field.type))
             yield out
 
-    return docs.mapInArrow(frugal(run), docs.schema)
+    return map_rows(docs, run)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.blocks import BLOCK, in_blocks, label, pairs_of, runs
-from tessella.llm.components import components
+from tessella.llm.components import compact, components
 from tessella.llm.words import frugal
 from tessella.session import cut_lineage
 
@@ -237,11 +237,11 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec_id
     posted = posted.select(key.alias("key"), "node", "s1", "s2", F.slice("filters", F.lit(1), F.col("p")).alias("before"))
     sized = posted.join(hot, "key", "left").withColumn("load", F.coalesce("load", F.lit(1)))
     blocks = in_blocks(sized, ["key"], "load", "node").drop("load")
-    close = cut_lineage(blocks.mapInArrow(frugal(_close(_most_apart(threshold))), "key long, _i int, _j int, _c int, node long"))
+    close = compact(blocks.mapInArrow(frugal(_close(_most_apart(threshold))), "key long, _i int, _j int, _c int, node long"))
     full = close.join(indexed.select("node", "copies", "x", "filters"), "node").repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j")
-    found = cut_lineage(full.mapInArrow(frugal(_linked(threshold)), "node long, links long, low long"))
+    found = compact(full.mapInArrow(frugal(_linked(threshold)), "node long, links long, low long"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = cut_lineage(components(found.select(F.col("node").alias("u"), F.col("low").alias("v"))))
+    roots = compact(components(found.select(F.col("node").alias("u"), F.col("low").alias("v"))))
     least = roots.join(indexed.select("node", "vec"), "node").groupBy("root").agg(F.min("vec").alias("least"))
     classes = (
         indexed.select("k1", "k2", "node", "vec", "copies")

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U = np.uint64
 #: Bytes of text worked on at once (a longer text is worked on alone), and rows at most.
@@ -47,6 +48,13 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return bounded
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """frugal(run) over all columns of df, which it gives back in the same order; columns are known by place, so they may
+    have any names."""
+    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(frugal(run), plain.schema).toDF(*df.columns)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads all bits (the finaliser of splitmix64)."""
     x = x.astype(U, copy=True)

@@ -1,7 +1,10 @@
-"""op2: the edited texts against brute force; fingerprints by a plain restatement of the selection."""
+"""op2: edited texts, fingerprints and likeness against a plain restatement; order at every length."""
 
 import hashlib
 import random
+import re
+
+import xxhash
 
 from pyspark.sql import functions as F
 
@@ -106,3 +109,78 @@ def test_few_words_are_cut_into_characters(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     near = [r[0] for r in fingerprint.with_fingerprint(fingerprint.with_fingerprint(df, "a", "x"), "b", "y").select(fingerprint.likeness("x", "y")).collect()]
     assert 0.8 < near[0] <= 1 and 0 < near[1] < 0.45 and near[2] > 0.8 and near[3] == 1
+
+
+PLACE, MASK = 1 << fingerprint.PLACE_BITS, (1 << 64) - 1
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def hashed(*values):
+    """Spark's xxhash64 of longs, (int,) and strings: each value is hashed with the hash before as its seed."""
+    seed = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(raw, seed=seed)
+    return signed(seed)
+
+
+def plain_fingerprint(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    if 1 <= len(words) < fingerprint.MIN_WORDS:
+        words = list(" ".join(words))
+    k = fingerprint.K
+    kmers = [hashed(*words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [hashed(*words)] if words else []
+    seen, elements = {}, []
+    for i, x in enumerate(kmers):
+        name = x >> fingerprint.PLACE_BITS
+        seen[name] = seen.get(name, -1) + 1
+        elements.append((hashed(name, (seen[name],)) >> fingerprint.PLACE_BITS, i))  # numbered by occurrence
+    by_bin = lambda rank, x: rank >> (58 - fingerprint.PLACE_BITS)
+    out = []
+    for b in range(-32, 32):
+        order = []
+        for deal in range(fingerprint.DEALS):
+            ranks = [(e if deal == 0 else hashed(e, (deal,)) >> fingerprint.PLACE_BITS, i) for e, i in elements]
+            order += [i for rank, i in sorted((r if deal == 0 else r >> 2 << 2, i) for r, i in ranks) if by_bin(rank, i) == b]
+        order += [i for _, i in sorted((hashed(e, b) >> fingerprint.PLACE_BITS, i) for e, i in elements)]
+        least = sorted(list(dict.fromkeys(order))[: fingerprint.L])
+        if least:
+            out.append(signed((b << 58 & MASK) | (hashed(*[kmers[i] for i in least]) & MASK) >> 6))
+    return sorted(out)
+
+
+def plain_likeness(a, b):
+    bins = {x >> 58 for x in a} | {x >> 58 for x in b}
+    return len(set(a) & set(b)) / len(bins) if bins else 1.0
+
+
+def test_fingerprints_and_likeness_against_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows = sorted(rows, key=lambda r: len(r[1]))[:130]  # the plain version takes a hash for every word and bin
+    rows += [(10_000, ""), (10_001, "x"), (10_002, "a b c d e f g"), (10_003, "a b " * 40), (10_004, "one two three")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.fingerprint_documents(df).collect()}
+    of = {i: plain_fingerprint(t) for i, t in rows}
+    of_edited = {i: plain_fingerprint(t) for i, t in edited(rows).items()}
+    digits = lambda f: "".join(f"{(x & MASK) >> 24:010x}" for x in f)
+    order = sorted(of, reverse=True)
+    for k, i in enumerate(order):
+        assert got[i].fingerprint == digits(of[i]) and got[i].edited_fingerprint == digits(of_edited[i])
+        assert abs(got[i].near_edited - plain_likeness(of[i], of_edited[i])) < 1e-12
+        assert abs(got[i].near_next - plain_likeness(of[i], of[order[(k + 1) % len(order)]])) < 1e-12
+
+
+def test_halves_swapped_at_the_lengths_of_most_texts(spark):
+    """Likeness of a text to itself with its halves swapped stays as low as Order MinHash makes it."""
+    rng = random.Random(5)
+    rows = []
+    for n in (30, 60, 120, 300):
+        for _ in range(25):
+            w = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            rows.append((n, " ".join(w), " ".join(w[n // 2 :] + w[: n // 2])))
+    df = fingerprint.with_fingerprint(fingerprint.with_fingerprint(spark.createDataFrame(rows, "n int, a string, b string"), "a", "x"), "b", "y")
+    near = {r.n: r.near for r in df.groupBy("n").agg(F.avg(fingerprint.likeness("x", "y")).alias("near")).collect()}
+    assert all(near[n] < 0.32 for n in near) and near[30] < 0.25, near

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessella.llm import langid, queries
 
@@ -20,6 +21,99 @@ def test_held_out_accuracy(spark):
     assert all((got[r.doc_id].lang_pred == "und") == (not any(c.isalpha() for c in r.text)) for r in docs)
 
 
+def test_query_against_a_plain_version(spark, sf_dir):
+    """Predictions and scores from counts and dynamic programming written out in plain Python."""
+    import math
+    from collections import Counter
+
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    fold = lambda b: b + 32 if 65 <= b <= 90 else 32 if b < 128 and not 97 <= b <= 122 else b
+    script_of = lambda b: None if langid._SCRIPT[b] == 255 else int(langid._SCRIPT[b])
+
+    def grams(word):
+        """Folded bytes with a blank on either side, three at a time; a text's first byte has two blanks before."""
+        raw = [fold(b + 32) if i and word[i - 1] == 0xC3 and 0x80 <= b <= 0x9E and b != 0x97 else fold(b) for i, b in enumerate(word)]
+        return raw
+
+    def code(a, b, c):
+        return ((a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF) >> 16
+
+    def of_text(text):
+        """Of each byte its bucket (None where it holds no letter), and the words' begins and ends."""
+        data = text.encode()
+        f = grams(data)
+        at = lambda i: f[i] if i >= 0 else 32
+        buckets = [None if f[i] == 32 and at(i - 1) == 32 else code(at(i - 2), at(i - 1), f[i]) for i in range(len(f))]
+        space = lambda b: b == 32 or 9 <= b <= 13
+        words, start = [], None
+        for i, b in enumerate([*data, 32]):
+            if space(b) and start is not None:
+                words.append((start, i))
+                start = None
+            elif not space(b) and start is None:
+                start = i
+        return data, buckets, words
+
+    def script(data, a, b):
+        n = Counter(s for x in data[a:b] if (s := script_of(x)) is not None)
+        return (min(n, key=lambda s: (-n[s], s)), sum(n.values())) if n else (None, 0)
+
+    taught = [(t, x) for i, t, x in rows if x is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    names = sorted({x for _, _, x in rows if x is not None})
+    counts, in_script = {x: Counter() for x in names}, {x: Counter() for x in names}
+    for t, x in taught:
+        data, buckets, words = of_text(t)
+        counts[x].update(b for b in buckets if b is not None)
+        in_script[x].update(s for a, b in words if (s := script(data, a, b)[0]) is not None)
+    total = {x: sum(counts[x].values()) for x in names}
+    logs = lambda x, b: math.log((counts[x][b] + langid.SMOOTH) / (total[x] + langid.SMOOTH * langid.BUCKETS))
+    fine = {s: [x for x in names if in_script[x][s] / max(1, sum(in_script[x].values())) >= langid.SCRIPT_SHARE] or names for s in range(len(langid.SCRIPTS))}
+
+    def predict(text):
+        if text is None or not any(c.isalpha() for c in text):
+            return "und", 0.0
+        data, buckets, words = of_text(text)
+        state, back, mass = None, [], []
+        for a, b in words:
+            s, letters = script(data, a, b)
+            score = [0.0 if s is None else sum(logs(x, g) for g in buckets[a : b + 1] if g is not None) - (0 if x in fine[s] else 1e4) for x in names]
+            top = max(range(len(names)), key=lambda j: (state[j], -j)) if state else 0
+            came = [j if not state or state[j] >= state[top] - langid.PENALTY else top for j in range(len(names))]
+            state = [(0 if not state else state[j] if came[j] == j and state[j] >= state[top] - langid.PENALTY else state[top] - langid.PENALTY) + score[j] for j in range(len(names))]
+            back.append(came)
+            mass.append(letters)
+        j = max(range(len(names)), key=lambda j: (state[j], -j))
+        share = Counter()
+        for came, letters in zip(reversed(back), reversed(mass)):
+            share[j] += letters
+            j = came[j]
+        best = min(share, key=lambda j: (-share[j], j))
+        return names[best], share[best] / max(1, sum(mass))
+
+    got = {r.doc_id: r for r in queries.queries()["op5_langid"](spark, sf_dir).collect()}
+    assert set(got) == {i for i, _, _ in rows}
+    for i, t, _ in rows:
+        lang, score = predict(t)
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-9, (i, lang, score, got[i])
+
+
+def test_sample_is_by_row_and_bounded(spark, monkeypatch):
+    """A row teaches by its own id and language; the least of a hash order are taken, to the number wanted."""
+    rng = random.Random(1)
+    rows = [(i, "".join(rng.choice("abc") for _ in range(9)), "aa") for i in range(900)] + [(i, "".join(rng.choice("xyz") for _ in range(9)), "bb") for i in range(900, 910)]
+    rows += [(1, "xyzxyz xyz", None), (2, "zzz zzz", "bb"), (None, "yyy", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MAX_PER_LANGUAGE", 100)
+    known = df.where("doc_id is not null and lang is not null").select("lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 34).cast("int").alias("u"))
+    last = langid._last_places(known, ["aa", "bb"])
+    taken = {x: known.where((F.col("lang") == x) & (F.col("u") <= last[x])).count() for x in last}
+    assert taken == {"aa": 100, "bb": 11}
+    m = langid.fit_languages(df)
+    assert m.languages == ["aa", "bb"]
+    a_x = langid.trigrams(next(iter(langid.slices(__import__("pyarrow").array(["xyz"])))))[-1]
+    assert m.table[a_x, 0] < m.table[a_x, 1]  # the text of id 1 without a language taught nothing
+
+
 def test_viterbi_against_plain_dynamic_programming():
     rng = np.random.default_rng(1)
     for _ in range(30):

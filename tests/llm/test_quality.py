@@ -28,6 +28,42 @@ def test_held_out_accuracy(spark):
     assert auc(y, s) > 0.85 and ((s >= 0.5) == y).mean() > max(y.mean(), 1 - y.mean())
 
 
+def test_query_against_a_plain_version(spark, sf_dir):
+    """The query's scores from features counted character by character and tables walked bin by bin."""
+    import math
+    import re
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_quality(docs, labels)
+    got = {r.doc_id: r for r in queries.queries()["op4_quality"](spark, sf_dir).collect()}
+    groups = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": "abcdefghijklmnopqrstuvwxyz", "digit": "0123456789", "newline": "\n", "stop": ".", "comma": ",;", "shout": "!", "ask": "?", "quote": "\"'`", "bracket": "()[]{}<>", "bar": "|", "symbol": "#$%&*+=@^~\\/_", "joint": "-:", "space": " \t\r\x0b\x0c"}
+    kind_of = {ord(c): k for k, chars in groups.items() for c in chars} | {b: "lead" for b in range(0xC0, 0x100)}
+
+    def plain_features(text):
+        data = (text or "").encode()
+        words = [w for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+        n = {k: 0 for k in (*groups, "lead", "rest")}
+        for b in data:
+            n[kind_of.get(b, "rest")] += 1
+        share = lambda k: n[k] / max(1, len(data))
+        per_word = lambda f: sum(map(f, words)) / max(1, len(words))
+        runs = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        first = ["upper", "digit", "newline", "stop", "comma", "shout", "ask", "quote", "bracket", "bar", "symbol", "joint", "lead", "rest"]
+        capital = lambda w: len(w) > 1 and kind_of.get(w[0]) == "upper" and kind_of.get(w[1], "rest") != "lower"
+        return [math.log1p(len(data)), math.log1p(len(words)), per_word(len), *map(share, first), share("lower") + share("upper") + share("lead"), math.log1p(len(data) / (1 + n["newline"])),
+                len(set(words)) / max(1, len(words)), len(set(runs)) / max(1, len(runs)), per_word(lambda w: len(w) > 12), per_word(capital), per_word(lambda w: kind_of.get(w[-1]) in ("shout", "symbol", "bar"))]
+
+    def place(x, cuts):
+        return sum(c <= x for c in cuts)
+
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        x = plain_features(r.text)
+        s = model.base + sum(t[place(v, k)] for v, k, t in zip(x, model.cuts, model.tables)) + sum(t[place(x[i], a), place(x[j], b)] for i, j, a, b, t in model.pairs)
+        assert abs(got[r.doc_id].score - 1 / (1 + math.exp(-s))) < 1e-9, r.doc_id
+
+
 def test_learns_a_pairwise_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 4))

@@ -64,6 +64,21 @@ def test_edges(spark):
     assert run(vectors.near_vectors(df.limit(0))) == {}
 
 
+def test_norms_of_any_size(spark):
+    """Links don't depend on lengths, from the least to the largest doubles; equal ids are vectors of their own."""
+    rng = np.random.default_rng(9)
+    a = rng.standard_normal((40, 8))
+    x = np.concatenate([a, a + 0.05 * rng.standard_normal((40, 8))])
+    want = brute(range(80), x)
+    for scale in (1.0, 1e200, 1e-200, 1e300, 1e-300):
+        df = spark.createDataFrame([(i, (v * (scale if i % 3 else 1.0)).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        assert run(vectors.near_vectors(df)) == want
+    tiny = spark.createDataFrame([(1, [1e200, 1e200]), (2, [1e200, 1.001e200]), (3, [1e-200, 1e-200]), (4, [5e-324, 5e-324]), (5, [1e300, -1e-300])], "vec_id long, embedding array<double>")
+    assert run(vectors.near_vectors(tiny)) == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 4: (3, 1, False), 5: (0, 5, True)}
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, vectors.near_vectors(twice).collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 480)] + [(7, 7), (None, 3)]
