@@ -8,7 +8,7 @@ from collections.abc import Callable
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -26,19 +26,48 @@ def register_scorer(name: str) -> Callable[[Scorer], Scorer]:
     return add
 
 
-def load_scorer(path: str, name: str, **bound) -> Scorer:
-    """The function `name` of a Python file, with keyword arguments bound."""
-    spec = importlib.util.spec_from_file_location("tessella_custom_scorer", path)
+def load_object(path: str, name: str):
+    """What a Python file calls `name`."""
+    spec = importlib.util.spec_from_file_location("tessella_custom", path)
     if spec is None or spec.loader is None:
         raise FileNotFoundError(path)
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
     if not hasattr(module, name):
         raise AttributeError(f"{path} has no {name}")
-    f = getattr(module, name)
+    return getattr(module, name)
+
+
+def load_scorer(path: str, name: str, **bound) -> Scorer:
+    """The function `name` of a Python file, with keyword arguments bound."""
+    f = load_object(path, name)
     return partial(f, **bound) if bound else f
 
 
+def load_sampler(path: str, name: str, **options):
+    """A sampler of the user's own: a class of a Python file that offers emit() and update(rho), as Scheduler does."""
+    made = load_object(path, name)(**options)
+    if not (callable(getattr(made, "emit", None)) and callable(getattr(made, "update", None))):
+        raise TypeError(f"{name} lacks emit() or update()")
+    return made
+
+
+def load_dataset(spark: SparkSession, path: str, name: str, **options) -> DataFrame:
+    """A dataset of the user's own: a class of a Python file whose frame(spark) gives a DataFrame."""
+    df = load_object(path, name)(**options).frame(spark)
+    if not isinstance(df, DataFrame):
+        raise TypeError(f"{name}.frame() doesn't give a DataFrame")
+    return df
+
+
+def generate_rows(df: DataFrame, path: str, name: str, length: Column, most: int, **options) -> DataFrame:
+    """df with the rows that a generator of the user's own makes from it, but for those that are too long: a class of a
+    Python file whose generate(df) gives a DataFrame of the same columns."""
+    from tessella.operators.batch import append_rows
+
+    return append_rows(df, load_object(path, name)(**options).generate(df).select(*df.columns), length, most)
+
+
 def score_rows(df: DataFrame, scorer: Scorer | str, text: Column, truth: Column, out: str = "score", failed: float = 0.0, seconds: float | None = None) -> DataFrame:
     """Apply a scorer to each row in Arrow batches. A row that raises scores `failed`; of a dict, `score` is taken.
 

@@ -89,6 +89,28 @@ def balance_batches(df: DataFrame, batch: str, key: str, length: str, k: int, eq
     return df.select(batch, key, length).groupBy(batch).applyInPandas(run, f"{batch} {kinds[batch]}, {key} {kinds[key]}, {length} {kinds[length]}, part int, place int")
 
 
+def _numbered(df: DataFrame, batch: str, key: str, columns: list[str], parts_of) -> DataFrame:
+    """(batch, key, part, place): the rows of each batch, in order of key, dealt by parts_of(rows)."""
+    kinds = dict(df.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
+        rows = [(pdf[batch][i], pdf[key][i], p, place) for p, items in enumerate(parts_of(pdf)) for place, i in enumerate(items)]
+        return pd.DataFrame(rows, columns=[batch, key, "part", "place"])
+
+    return df.select(batch, key, *columns).groupBy(batch).applyInPandas(run, f"{batch} {kinds[batch]}, {key} {kinds[key]}, part int, place int")
+
+
+def micro_batch_rows(df: DataFrame, batch: str, key: str, length: str, max_tokens: int) -> DataFrame:
+    """Each batch's rows in micro-batches (see micro_batches)."""
+    return _numbered(df, batch, key, [length], lambda pdf: micro_batches([int(x) for x in pdf[length]], max_tokens))
+
+
+def grouped_rows(df: DataFrame, batch: str, key: str, uid: str, length: str, k: int) -> DataFrame:
+    """Each batch's rows in k parts that keep runs of equal uid together (see grouped_partition)."""
+    return _numbered(df, batch, key, [uid, length], lambda pdf: grouped_partition([int(x) for x in pdf[length]], pdf[uid].tolist(), k))
+
+
 def unbalance(df: DataFrame, length: str, part: str) -> DataFrame:
     """Least, greatest and mean load of the parts, and their difference."""
     per = df.groupBy(part).agg(F.sum(length).alias("n"))

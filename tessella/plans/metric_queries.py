@@ -185,6 +185,19 @@ def kk_partition(t):
     return L.balance_batches(batches, "batch", "seq", "length", 8)
 
 
+@query()
+def micro_batches(t):
+    """Micro-batches of at most 2000 tokens or so: no SQL; a test holds their number, cost and order."""
+    return L.micro_batch_rows(t.responses.withColumn("batch", F.floor(F.col("seq") / 256)), "batch", "seq", "length", 2000)
+
+
+@query()
+def group_partition(t):
+    """Four parts of each batch, prompts kept together: no SQL; a test holds that no run is split."""
+    r = t.responses.withColumn("batch", F.floor(F.col("seq") / 256)).withColumn("run", F.floor(F.col("seq") / 4))
+    return L.grouped_rows(r, "batch", "seq", "run", "length", 4)
+
+
 @query("""SELECT user_id, event_id, value FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) WHERE b IS NULL OR value > b""")
 def best_checkpoint(t):
     return M.best_so_far(t.events.select("user_id", "event_id", "value"), "user_id", "event_id", "value")
@@ -280,6 +293,14 @@ def replay_ring(t):
     return S.replay_ring(t.events.select("event_id", "value"), "event_id", 512)
 
 
+@query()
+def replay_sample(t):
+    """Sixty-four slots of the ring without replacement: seeded, no SQL; a test holds their number."""
+    from tessella.streaming import rollouts as S
+
+    return S.replay_sample(S.replay_ring(t.events.select("event_id", "value"), "event_id", 512), 64, 5).select("slot", "event_id")
+
+
 @query("WITH i AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS row_idx FROM events) SELECT event_id, row_idx // 300 AS step, count(*) OVER (PARTITION BY row_idx // 300) = 300 AS complete FROM i")
 def assemble_steps(t):
     from tessella.streaming import rollouts as S

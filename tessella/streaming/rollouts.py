@@ -47,6 +47,13 @@ def replay_ring(df: DataFrame, order: str, capacity: int) -> DataFrame:
     return df.groupBy(slot.alias("slot")).agg(F.max_by(F.struct(order, *columns), order).alias("_r")).select("slot", f"_r.{order}", *[f"_r.{c}" for c in columns])
 
 
+def replay_sample(ring: DataFrame, n: int, seed: int) -> DataFrame:
+    """n slots of a ring, uniformly and without replacement (all, if there are fewer), in a seeded order."""
+    from tessella.operators.curriculum import sample_rows
+
+    return sample_rows(ring, "slot", n, seed)
+
+
 def snapshot_steps(df: DataFrame, step: str, interval: int) -> DataFrame:
     return df.where((F.col(step) <= 0) | (F.col(step) % interval == 0))
 

@@ -152,3 +152,66 @@ def test_schedule_with_names_and_moves_to_free_places():
     band = lambda r: "easier" if r < 0.33 else "harder" if r > 0.67 else "keep"
     assert move([0, 1, 2, 3], {0: 1.0, 1: 1.0, 2: 0.5, 3: 0.5}, 10, band) == [0, 1, 2, 3]
     assert move([4, 5, 6], {4: 0.5, 5: 0.0, 6: 0.0}, 10, band) == [3, 4, 5]
+
+
+def test_classes_of_the_users_own(spark, tmp_path):
+    (tmp_path / "own.py").write_text("""
+class Sampler:
+    def __init__(self, n): self.sizes, self.n, self.seen = {"a": n}, n, []
+    def emit(self): return [("a", 0)]
+    def update(self, rho): self.seen.append(rho)
+class Broken:
+    pass
+class Data:
+    def __init__(self, n): self.n = n
+    def frame(self, spark): return spark.range(self.n).selectExpr("id", "repeat('x', int(id)) as t")
+class Wrong:
+    def frame(self, spark): return 3
+class Generator:
+    def generate(self, df): return df.selectExpr("id + 100 as id", "t")
+""")
+    path = str(tmp_path / "own.py")
+    from tessella.operators import scheduler as Q
+
+    s = R.load_sampler(path, "Sampler", n=3)
+    rollouts = spark.createDataFrame([("a", 0, 1.0), ("a", 0, 0.0), ("zz", 0, 1.0)], "c string, p int, ok double")
+    Q.run_step(s, rollouts, "c", "p", F.col("ok"))
+    assert s.seen == [{"a": {0: 0.5}}] and s.emit() == [("a", 0)]
+    df = R.load_dataset(spark, path, "Data", n=5)
+    assert sorted(r.id for r in R.generate_rows(df, path, "Generator", F.length("t"), 2).collect()) == [0, 1, 2, 3, 4, 100, 101, 102]
+    for call in (lambda: R.load_sampler(path, "Broken"), lambda: R.load_dataset(spark, path, "Wrong")):
+        with pytest.raises(TypeError):
+            call()
+    with pytest.raises(AttributeError):
+        R.load_object(path, "None_")
+
+
+def test_micro_batches_and_groups_of_every_batch(spark):
+    from tessella.operators import balance as L
+
+    rows = [(i // 40, i, i // 4, 1 + (i * 37) % 97) for i in range(120)]
+    df = spark.createDataFrame(rows, "batch long, seq long, uid long, length long").repartition(3)
+    micro = L.micro_batch_rows(df, "batch", "seq", "length", 500).collect()
+    assert sorted(r.seq for r in micro) == list(range(120))
+    for b in range(3):
+        own = [r for r in rows if r[0] == b]
+        parts = {}
+        for r in micro:
+            if r.batch == b:
+                parts.setdefault(r.part, []).append(rows[r.seq][3])
+        count = min(40, -(-sum(r[3] for r in own) // 500))
+        cost = [sum(map(L.cost, parts[p])) for p in range(count)]
+        assert len(parts) == count and max(cost) - min(cost) <= L.cost(97)
+        top = cost.index(max(cost))
+        assert cost[: top + 1] == sorted(cost[: top + 1]) and cost[top:] == sorted(cost[top:], reverse=True)
+    grouped = L.grouped_rows(df, "batch", "seq", "uid", "length", 4).collect()
+    assert sorted(r.seq for r in grouped) == list(range(120)) and len({(r.batch, r.part) for r in grouped}) == 12
+    assert len({(rows[r.seq][2], r.part) for r in grouped}) == 30  # no prompt is split
+
+
+def test_sample_of_a_replay_ring(spark):
+    from tessella.streaming import rollouts as S
+
+    ring = S.replay_ring(spark.range(1000).selectExpr("id as event_id", "id * 1.0 as value"), "event_id", 128)
+    got = [(r.slot, r.event_id) for r in S.replay_sample(ring, 50, 1).collect()]
+    assert len(set(got)) == 50 and all(e >= 872 and e % 128 == s for s, e in got) and S.replay_sample(ring, 500, 1).count() == 128
