@@ -2,7 +2,8 @@
 
 For a piece of n symbols the leaves hold rank * width + position of each adjacent pair; the root is then the leftmost
 pair of lowest rank. A merge changes three leaves, each in O(log n), so even a piece of a million letters takes
-O(n log n). Pieces repeat, so their ids are kept in a bounded table per Python worker.
+O(n log n). Pieces repeat, so their ids are kept in a bounded table per Python worker, in two generations: what is met
+again moves to the new one, and when that is full, the old one goes.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from tessella.llm.words import frugal
 
 #: Pieces kept per worker, and the longest piece (in bytes) that is kept.
-CACHE_PIECES, CACHE_BYTES = 400_000, 64
+CACHE_PIECES, CACHE_BYTES = 200_000, 64
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -54,7 +55,8 @@ class Bpe:
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         longest_first = sorted(self.special, key=len, reverse=True)
         self.split_special = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
-        self.cache: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece, by repeated merges of the leftmost pair of lowest rank."""
@@ -106,22 +108,21 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
     def _piece(self, piece: str) -> bytes:
-        """The ids of a piece as little-endian 32-bit integers."""
-        raw = piece.encode()
-        out = np.array(self.merge(raw), dtype="<u4").tobytes()
-        if len(raw) <= CACHE_BYTES:
-            if len(self.cache) >= CACHE_PIECES:
-                for old in list(self.cache)[: CACHE_PIECES // 2]:
-                    del self.cache[old]
-            self.cache[piece] = out
+        """The ids of a piece that isn't in the new generation, as little-endian 32-bit integers."""
+        out = self.old.get(piece)
+        if out is None:
+            raw = piece.encode()
+            out = np.array(self.merge(raw), dtype="<u4").tobytes()
+            if len(raw) > CACHE_BYTES:
+                return out
+        if len(self.new) >= CACHE_PIECES // 2:
+            self.old, self.new = self.new, {}
+        self.new[piece] = out
         return out
 
     def _plain(self, text: str) -> bytes:
         pieces = (_ASCII_PIECES if text.isascii() else _PIECES).findall(text)
-        get, parts = self.cache.get, []
-        for p in pieces:
-            parts.append(get(p) or self._piece(p))
-        return b"".join(parts)
+        return b"".join([self.new.get(p) or self._piece(p) for p in pieces])
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers; special tokens that occur in the text become their ids."""
