@@ -48,11 +48,14 @@ def permute(x: Column, n: Column, key: Column) -> Column:
 def number_rows(rows: DataFrame, key_col: str, tie_cols: list[str], out: str = "row_no", total: str = "n_rows") -> DataFrame:
     """Gapless global row numbers from 0, without a sort of all rows in one task.
 
-    Rows go to NUMBERING_BUCKETS buckets by a hash of the key and are numbered within; the buckets' counts, a table of
-    bounded size, give the offsets. The numbering depends on the rows only, not on their partitions. Rows equal in key
+    Rows go to NUMBERING_BUCKETS buckets by a hash of the key (where it is null, of the tie columns) and are numbered
+    within; the buckets' counts, a table of bounded size, give the offsets. The numbering depends on the rows only, not on their partitions. Rows equal in key
     and tie columns are interchangeable. rows must not have columns called _bucket, _offset, `out` or `total`.
     """
-    bucket = F.pmod(F.xxhash64(F.lit("row number"), F.col(key_col)), F.lit(NUMBERING_BUCKETS)).cast("int")
+    of = F.xxhash64(F.lit("row number"), F.col(key_col))
+    if tie_cols:
+        of = F.when(F.col(key_col).isNull(), F.xxhash64(F.lit("row number"), *[F.col(c) for c in tie_cols])).otherwise(of)
+    bucket = F.pmod(of, F.lit(NUMBERING_BUCKETS)).cast("int")
     counts = rows.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
