@@ -176,11 +176,11 @@ def _planned(docs: DataFrame, keep: bool, weights: tuple[float, ...], ratio: flo
         *([F.struct(*[docs[_quoted(c)] for c in docs.columns]).alias("_row")] if keep else []),
     )
     light = cut_lineage(rows.drop("_row"))
-    sums = light.groupBy("_key", "_bucket").agg(F.max("_source").alias("_source"), F.sum("_size").alias("_words"))
-    totals = sums.groupBy("_key").agg(F.max("_source").alias("_source"), F.sum("_words").alias("words")).limit(MAX_SOURCES + 1).collect()
+    sums = light.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_words"))
+    totals = sums.groupBy("_key").agg(F.sum("_words").alias("words")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r["_source"] is None, (r["_source"] or "").encode()))
+    totals.sort(key=lambda r: (r["_key"] == "", r["_key"].encode()))
     sizes = [int(r["words"]) for r in totals]
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], ratio, cap)
     known = docs.sparkSession.createDataFrame(
