@@ -9,6 +9,7 @@ from tessella.functions import terms
 from tessella.functions import text as T
 from tessella.operators import clustering as K
 from tessella.operators import curriculum as C
+from tessella.operators import density as D
 from tessella.operators import vectors as V
 from tessella.plans.registry import Tables, query, r6
 from tessella.sources import io
@@ -333,6 +334,12 @@ def dbscan(t):
     return K.dbscan(n, g, "id", 3)
 
 
+@query()
+def density_clusters(t):
+    """HDBSCAN: no SQL; tests/test_clustering.py holds the spanning tree against Prim's and clusters against planted ones."""
+    return D.hdbscan(t.embeddings, "vec_id", "embedding", DIM, 15).withColumn("cluster_confidence", r6("cluster_confidence"))
+
+
 @query()
 def knn_communities(t):
     """Label propagation over the graph of every vector's neighbours, in place of Leiden; rows only."""

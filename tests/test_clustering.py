@@ -155,3 +155,36 @@ def test_knn_edges_against_brute_force(spark):
     want = {(min(i, j), max(i, j)) for i in range(90) for j in np.argsort(d[i], kind="stable")[:3].tolist()}
     got = V.knn_edges(V.knn(df, df, "id", "x", 3, 4), df, "id", "x").collect()
     assert {(r.src, r.dst) for r in got} == want and all(abs(r.weight - max(0, x[r.src] @ x[r.dst])) < 1e-9 for r in got)
+
+
+def test_spanning_tree_and_density_clusters(spark):
+    """The tree against Prim's; clusters of planted clouds, with scattered noise left out."""
+    from tessella.operators import density as D
+
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(c, s, (60, 2)) for c, s in (((0, 0), 0.3), ((6, 0), 0.3), ((0, 8), 0.8))] + [rng.uniform(-6, 14, (20, 2))])
+    df = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(3)
+    d = np.linalg.norm(x[:, None] - x, axis=2)
+    core = np.sort(d, axis=1)[:, 9]
+    got = {r.id: r.core for r in D.core_distances(df, "id", "x", 10, 2).collect()}
+    assert np.allclose([got[i * 3] for i in range(200)], core)
+    m = np.maximum(np.maximum(d, core[:, None]), core[None])
+    joined, near, come, edges = {0}, m[0].copy(), np.zeros(200, int), []
+    while len(joined) < 200:
+        j = min((j for j in range(200) if j not in joined), key=lambda j: near[j])
+        edges.append((int(come[j]), j, float(near[j])))
+        joined.add(j)
+        come = np.where(m[j] < near, j, come)
+        near = np.minimum(near, m[j])
+    rows = df.select(F.col("id").alias("k"), F.col("x").alias("v")).join(D.core_distances(df, "id", "x", 10, 2).withColumnRenamed("id", "k"), "k")
+    tree = D.spanning_tree(rows, 2).collect()
+    assert len(tree) == 199 and abs(sum(r.w for r in tree) - sum(e[2] for e in edges)) < 1e-5
+    out = {r.id: (r.cluster_id, r.cluster_confidence) for r in D.hdbscan(df, "id", "x", 2, 15, 10).collect()}
+    label = np.array([out[i * 3][0] for i in range(200)])
+    assert len(out) == 200 and set(label) == {-1, 0, 1, 2}
+    for c in range(3):
+        own = label[c * 60 : c * 60 + 60]
+        assert (own == np.bincount(own[own >= 0]).argmax()).mean() > 0.9
+    assert (label == D.condense(edges, 200, 15)[0]).mean() > 0.97 and (label[180:] == -1).any()  # the tree is one only up to ties
+    assert all(0 <= s <= 1 and (s > 0 or c == -1) for c, s in out.values())
+    assert {r.cluster_id for r in D.hdbscan(df.limit(5), "id", "x", 2, 15).collect()} == {-1}
