@@ -121,3 +121,48 @@ def test_additions_and_masking(spark):
     assert masked[900].text is None and masked[901].text == "" and masked[902].text == "mail me: <EMAIL> now"
     assert "555" not in masked[1].text and masked[1].n_chars == len(masked[1].text) and masked[2].text == rows[2][1]
     assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def iban(rng):
+    """A made-up account number with right check digits."""
+    body = "".join(rng.choice("0123456789") for _ in range(18))
+    check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
+    s = f"DE{check:02d}{body}"
+    return " ".join(s[i : i + 4] for i in range(0, len(s), 4))
+
+
+def test_recall_and_precision_by_kind(spark):
+    """Every further kind is planted among prose and look-alikes: most are found, and few look-alikes are."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(3, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    secret = lambda: "".join(rng.choice("abcdefghjkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(rng.randrange(16, 40)))
+    planted = {
+        "written_email": lambda: ("mail me: ", f"{word()} [at] {word()} [dot] org"),
+        "national_phone": lambda: ("call ", f"({rng.randrange(201, 989)}) {rng.randrange(200, 999)}-{digits(4)}"),
+        "identity": lambda: ("ssn ", f"{rng.randrange(100, 665)}-{rng.randrange(10, 99)}-{digits(4)}"),
+        "account": lambda: ("iban ", iban(rng)),
+        "credential": lambda: ("set ", f"api_key={secret()}"),
+    }
+    decoys = {
+        "identity": lambda: f"part 000-{rng.randrange(10, 99)}-0000000"[:16], "account": lambda: f"serial {rng.choice('QX')}Z{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)}",
+        "credential": lambda: "password: changeme", "written_email": lambda: f"they met at {word()} and drew a dot there",
+    }
+    rows, want = [], {}
+    for i in range(400):
+        kind = list(planted)[i % 5]
+        lead, body = planted[kind]()
+        before = prose(rng.randrange(3, 30)) + " " + lead
+        rows.append((i, before + body + " " + prose(10)))
+        want[i] = (kind, len(before), len(before) + len(body))
+    for i in range(400, 600):
+        rows.append((i, f"{prose(8)} {list(decoys.values())[i % 4]()} {prose(8)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.find_pii(df).collect()}
+    recall = {k: [] for k in planted}
+    for i, (kind, a, b) in want.items():
+        recall[kind].append(any(k == kind and int(s) <= a + 8 and int(e) >= b for k, s, e in got[i]))
+    assert all(sum(v) / len(v) >= 0.9 for v in recall.values()), {k: sum(v) / len(v) for k, v in recall.items()}
+    wrong = [x for i in range(400, 600) for x in got[i]] + [x for i, (kind, _, _) in want.items() for x in got[i] if x[0] not in (kind, "phone")]
+    assert len(wrong) <= 0.1 * sum(map(len, got.values())), wrong[:10]
