@@ -48,6 +48,14 @@ REMOVED = (
 )
 
 
+#: Patterns that are then rewritten, in this order: a dollar span, three text commands and a box to their content, bare
+#: fractions and roots with braces, dollar signs out (fixed values).
+PATTERNS = (
+    (r"(.*?)\$(.*?)\$(.*)", r"\$$2\$"), (r"\\text\{(.*?)\}", "$1"), (r"\\textbf\{(.*?)\}", "$1"), (r"\\overline\{(.*?)\}", "$1"), (r"\\boxed\{(.*)\}", "$1"),
+    (r"(frac)([^{])(.)", r"frac{$2}{$3}"), (r"(sqrt)([^{])", r"sqrt{$2}"), (r"\$", ""),
+)
+
+
 def normalize_final_answer(text: Column) -> Column:
     """Normal form of a final answer: what follows the last '=', words and units out, bare fractions and roots braced, commas out."""
     t = F.substring_index(text, "=", -1)
@@ -55,10 +63,7 @@ def normalize_final_answer(text: Column) -> Column:
         t = F.replace(t, F.lit(a), F.lit(b))
     for x in REMOVED:
         t = F.replace(t, F.lit(x), F.lit(""))
-    for pattern, put in (
-        (r"(.*?)\$(.*?)\$(.*)", r"\$$2\$"), (r"\\text\{(.*?)\}", "$1"), (r"\\textbf\{(.*?)\}", "$1"), (r"\\overline\{(.*?)\}", "$1"), (r"\\boxed\{(.*)\}", "$1"),
-        (r"(frac)([^{])(.)", r"frac{$2}{$3}"), (r"(sqrt)([^{])", r"sqrt{$2}"), (r"\$", ""),
-    ):
+    for pattern, put in PATTERNS:
         t = F.regexp_replace(t, pattern, put)
     t = F.when(F.regexp_replace(t, ",", "").rlike(r"^[0-9]+$"), F.regexp_replace(t, ",", "")).otherwise(t)
     return strip(t)

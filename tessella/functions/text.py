@@ -197,6 +197,7 @@ def looks_like_instruction(text: Column) -> Column:
     return out
 
 
+#: Tags that stand before a question (fixed values).
 TAGS = ("Question:", "Problem:", "Q:")
 
 

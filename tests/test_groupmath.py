@@ -68,6 +68,7 @@ def test_eos_mask_of_the_docstring(spark):
         m = G.eos_mask(df, ["seq"], "pos", F.col("tok").isin(*eos)).orderBy("seq", "pos").collect()
         return [[r.response_mask for r in m if r.seq == i] for i in range(4)]
 
+    # the documented example (fixed values)
     assert mask([1]) == [[1, 1, 1, 1, 0, 0, 0], [1, 1, 1, 1, 1, 0, 0], [1, 1, 1, 0, 0, 0, 0], [1, 1, 1, 1, 1, 0, 0]]
     assert mask([1, 2])[1] == [1, 1, 1, 1, 0, 0, 0]
 
