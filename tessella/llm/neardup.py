@@ -327,7 +327,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     """One row per document: doc_id, class_id (least doc_id of its class), n_equal (documents of equal text), kept.
 
     Two different texts are linked if the multisets of their five-word shingles overlap by threshold or more (texts of
-    fewer words have one shingle: all their words). A null text links with nothing and is kept; texts without words
+    fewer words have one shingle: all their words) and they share a band, as at 0.8 all but 3 in 100,000 pairs do. A null text links with nothing and is kept; texts without words
     link only with equal texts. A null doc_id is its own class (class_id null) and kept. Ids may be of any ordered type.
     Rows are classed by their text, so rows of equal doc_id and different text may be in different classes; of a class,
     the rows equal to its least (doc_id, MD5 of the text) are kept. Texts are compared whole, however long they are.
