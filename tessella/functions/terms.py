@@ -34,11 +34,13 @@ def ngrams(df: DataFrame, group: str, text: str, stop_words: tuple[str, ...], lo
 
 def ctfidf(df: DataFrame, group: str, text: str, stop_words: tuple[str, ...] = (), longest: int = 2, min_df: int = 3, max_df: float = 0.85) -> DataFrame:
     """(group, term, weight): tf = 1 + ln n, idf = ln((1+N)/(1+df)) + 1, rows of norm 1; rare and common terms out."""
-    counts = cut_lineage(ngrams(df, group, text, stop_words, longest))  # read twice: the texts are cut into terms once
     n_groups = df.select(group).distinct().agg(F.count(F.lit(1)).alias("_N"))
-    doc_freq = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(n_groups)).where((F.col("_df") >= min_df) & (F.col("_df") <= max_df * F.col("_N")))
+    # a term's counts come together, a row for each group at most, so its document frequency is their number: no join
+    by_term = ngrams(df, group, text, stop_words, longest).groupBy("term").agg(F.collect_list(F.struct(group, "n")).alias("_c"))
+    by_term = by_term.withColumn("_df", F.size("_c")).where(F.col("_df") >= min_df).crossJoin(F.broadcast(n_groups)).where(F.col("_df") <= max_df * F.col("_N"))  # one row
     idf = F.ln((1 + F.col("_N")) / (1 + F.col("_df"))) + 1
-    raw = counts.join(doc_freq, "term").select(group, "term", ((1 + F.ln("n")) * idf).alias("_x"))
+    raw = by_term.select("term", idf.alias("_idf"), F.explode("_c").alias("_e")).select(F.col("_e")[group].alias(group), "term", ((1 + F.ln("_e.n")) * F.col("_idf")).alias("_x"))
+    raw = cut_lineage(raw)  # read twice
     norms = raw.groupBy(group).agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"))
     return raw.join(norms, group).select(group, "term", (F.col("_x") / F.col("_norm")).alias("weight"))
 
