@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from tessella.llm.words import frugal
 
 #: Pieces kept per worker, and the longest piece (in bytes) that is kept.
-CACHE_PIECES, CACHE_BYTES = 200_000, 64
+CACHE_PIECES, CACHE_BYTES = 300_000, 64
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -77,8 +78,6 @@ class Bpe:
 
         def put(leaf: int, value: int) -> None:
             i = width + leaf
-            if tree[i] == value:
-                return
             tree[i] = value
             i >>= 1
             while i:
@@ -95,16 +94,19 @@ class Bpe:
             ids[i] = merges[ids[i], ids[j]][1]
             ids[j] = -1
             k = after[i] = after[j]
-            put(j, none)
+            if tree[width + j] != none:
+                put(j, none)
+            value = none
             if k < n:
                 before[k] = i
-                m = merges.get((ids[i], ids[k]))
-                put(i, m[0] * width + i if m else none)
-            else:
-                put(i, none)
+                if m := merges.get((ids[i], ids[k])):
+                    value = m[0] * width + i
+            put(i, value)  # it was the least of all, so it changes
             if (p := before[i]) >= 0:
                 m = merges.get((ids[p], ids[i]))
-                put(p, m[0] * width + p if m else none)
+                value = m[0] * width + p if m else none
+                if tree[width + p] != value:
+                    put(p, value)
         return [x for x in ids if x >= 0]
 
     def _piece(self, piece: str) -> bytes:
@@ -112,7 +114,8 @@ class Bpe:
         out = self.old.get(piece)
         if out is None:
             raw = piece.encode()
-            out = np.array(self.merge(raw), dtype="<u4").tobytes()
+            ids = self.merge(raw)
+            out = struct.pack(f"<{len(ids)}I", *ids)
             if len(raw) > CACHE_BYTES:
                 return out
         if len(self.new) >= CACHE_PIECES // 2:
