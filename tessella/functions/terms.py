@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.text import clean_words
-from tessella.session import cut_lineage
+from tessella.session import cut_lineage, spread
 
 
 def ngrams(df: DataFrame, group: str, text: str, stop_words: tuple[str, ...], longest: int) -> DataFrame:
@@ -17,7 +17,7 @@ def ngrams(df: DataFrame, group: str, text: str, stop_words: tuple[str, ...], lo
     per term and task.
     """
     words = F.filter(clean_words(F.col(text)), lambda w: ~w.isin(*stop_words)) if stop_words else clean_words(F.col(text))
-    df = df.select(group, words.alias("_w"))
+    df = spread(df.select(group, text)).select(group, words.alias("_w"))
 
     def grams(n: int):
         if n == 1:
