@@ -42,7 +42,7 @@ def ctfidf(df: DataFrame, group: str, text: str, stop_words: tuple[str, ...] = (
     raw = by_term.select("term", idf.alias("_idf"), F.explode("_c").alias("_e")).select(F.col("_e")[group].alias(group), "term", ((1 + F.ln("_e.n")) * F.col("_idf")).alias("_x"))
     raw = cut_lineage(raw)  # read twice
     norms = raw.groupBy(group).agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"))
-    return raw.join(norms, group).select(group, "term", (F.col("_x") / F.col("_norm")).alias("weight"))
+    return raw.join(F.broadcast(norms), group).select(group, "term", (F.col("_x") / F.col("_norm")).alias("weight"))  # a row per group
 
 
 def top_terms(weights: DataFrame, group: str, k: int) -> DataFrame:
