@@ -1,13 +1,18 @@
 """Writers of derived artefacts, and their readers: examples, summaries, clusterings, term lists, metrics, cached generations.
 
-All paths go through Spark or the Hadoop file system, so any store that these reach will do. Small JSON artefacts are
-tables of one row, written as one file of JSON lines.
+All paths go through Spark or the Hadoop file system, so any store that these reach will do; files of a log in a mounted
+folder are written by the tasks themselves. Small JSON artefacts are tables of one row, written as one file of JSON lines.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import os
+import re
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,21 +134,63 @@ def preference_pairs(df: DataFrame, key: str, prompt: str, chosen: str, rejected
 
 
 def write_log(df: DataFrame, folder: str, step: str, order: str) -> None:
-    """{step}.jsonl for each step: its rows as JSON lines in order. A step's rows, one batch of a training run, are one file."""
-    fs_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    """{step}.jsonl for each step: its rows as JSON lines in order. A step's rows, one batch of a training run, are one file.
+
+    In a folder that is mounted, tasks write the files under their names. In other stores Spark writes them, and they are
+    renamed then, which takes the driver several calls a file.
+    """
+    jvm = df.sparkSession._jvm
+    fs_path = jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(folder).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() == "file":
+        fs.mkdirs(fs_path(folder))
+        _write_files(df, fs.makeQualified(fs_path(folder)).toUri().getPath(), step, order)
+        return
     by_step = f"{folder}/_by_step"
     df.withColumn("_s", F.col(step)).repartition("_s").sortWithinPartitions("_s", order).write.partitionBy("_s").json(by_step)
-    fs = fs_path(folder).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    for status in fs.globStatus(fs_path(f"{by_step}/_s=*/part-*")):
-        path = status.getPath()
+
+    def rename(path) -> None:
         fs.rename(path, fs_path(f"{folder}/{path.getParent().getName().split('=')[1]}.jsonl"))
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(rename, [status.getPath() for status in fs.globStatus(fs_path(f"{by_step}/_s=*/part-*"))]))
     fs.delete(fs_path(by_step), True)
 
 
+def _write_files(df: DataFrame, folder: str, step: str, order: str) -> None:
+    """The files of write_log in a mounted folder. A file has another name until it is whole, so a task may run again."""
+    import pyarrow as pa
+
+    def finish(file, step) -> None:
+        """The file gets the name that Spark gives a partition."""
+        name = (re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", step) if step is not None else "__HIVE_DEFAULT_PARTITION__") + ".jsonl"
+        file.close()
+        with contextlib.suppress(FileNotFoundError):  # of a file that Hadoop wrote
+            os.remove(f"{folder}/.{name}.crc")
+        os.replace(file.name, f"{folder}/{name}")
+
+    def run(batches):
+        file = last = None
+        for batch in batches:
+            for s, line in zip(batch.column("_s").to_pylist(), batch.column("_line").to_pylist()):
+                if file is None or s != last:
+                    if file is not None:
+                        finish(file, last)
+                    file, last = open(f"{folder}/_{uuid.uuid4().hex}", "wb"), s
+                file.write(line.encode() + b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+        if file is not None:
+            finish(file, last)
+
+    name = F.nullif(F.col(step).cast("string"), F.lit(""))
+    lines = df.select(name.alias("_s"), F.col(order).alias("_o"), F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("_line"))
+    lines.repartition("_s").sortWithinPartitions("_s", "_o").select("_s", "_line").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def log_rows(spark: SparkSession, folder: str, mask: str | None = None) -> DataFrame:
     """JSON lines of a folder of {step}.jsonl: step (the file's number), row (place in the file from 0), and the record's
     fields as text, matches of `mask` as asterisks. Files are read whole by line, in order of their step."""
-    lines = spark.read.format("text").option("wholetext", False).load(f"{folder}/*.jsonl")
+    lines = spark.read.format("text").option("wholetext", False).option("pathGlobFilter", "*.jsonl").load(folder)  # one listing, not a look at each file
     lines = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
     from pyspark.sql.window import Window
 
