@@ -11,6 +11,7 @@ from tessella.operators import batch as B
 from tessella.operators import metrics as M
 from tessella.operators import scheduler as Q
 from tessella.plans.registry import query, r6
+from tessella.session import dealt
 from tessella.sources import sinks as W
 
 
@@ -66,7 +67,7 @@ def mean_at_n(t):
 k AS (SELECT DISTINCT uid, n, unnest(list_append(list_filter([2, 4, 8, 16, 32, 64], lambda x: x < n), n)) AS k FROM s WHERE n > 1)
 SELECT s.uid, k.k::INT AS k, round(sum(score * (pow(i / s.n, k.k) - pow((i - 1) / s.n, k.k))), 6) AS best_mean, round(sum(score * (pow((s.n - i + 1) / s.n, k.k) - pow((s.n - i) / s.n, k.k))), 6) AS worst_mean FROM s JOIN k USING (uid) GROUP BY 1, 2""")
 def best_of_k(t):
-    return M.best_of_k(t.responses, ["uid"], "score", "seq").withColumns({"best_mean": r6("best_mean"), "worst_mean": r6("worst_mean")})
+    return M.best_of_k(dealt(t.responses.select("uid", "seq", "score"), "uid"), ["uid"], "score", "seq").withColumns({"best_mean": r6("best_mean"), "worst_mean": r6("worst_mean")})
 
 
 @query("""WITH {responses}, c AS (SELECT uid, count(*) AS n, count(*) FILTER (score > 2.5) AS c FROM responses GROUP BY 1) SELECT uid, round(1 - pow((n - c) / n, 4), 6) AS pass_at_4 FROM c""")
