@@ -161,7 +161,7 @@ def optimal_token_baseline(tokens: DataFrame, group: str, seq: str, pos: str, re
     """A = (G - B) * m: G reward-to-go, W the running sum of token weights, B = sum(G W m) / (sum(W m) + eps) per group and position.
 
     A group of one response has B = 0. So has the one longest response of a group from the second greatest length on,
-    where the baseline would be its own return.
+    where the baseline would be its own return. Dealt by group, a table is shuffled no more for this.
     """
     own = Window.partitionBy(group, seq).orderBy(pos)
     t = reward_to_go(tokens, [group, seq], pos, reward, mask).withColumn("_w", F.sum(only(weight, mask)).over(own.rowsBetween(Window.unboundedPreceding, 0)))

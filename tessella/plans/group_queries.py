@@ -9,6 +9,7 @@ from tessella.functions.masked import kl_estimate, masked_mean
 from tessella.operators import groupmath as G
 from tessella.operators import rejection as R
 from tessella.plans.registry import query, r6
+from tessella.session import dealt
 
 E6, E8 = "0.000001::DOUBLE", "0.00000001::DOUBLE"
 ST = "{responses}, s AS (SELECT *, count(*) OVER g AS n, avg(score) OVER g AS mu, stddev_samp(score) OVER g AS sd, sum(score) OVER g AS total FROM responses WINDOW g AS (PARTITION BY uid))"
@@ -134,14 +135,14 @@ SELECT seq, pos, round(CASE WHEN len(ls) > 1 AND ls[1] > ls[2] AND len = ls[1] A
 @query(f"WITH {TO}, k AS (SELECT *, 1 - 2 * exp(logp) + 0.5::DOUBLE AS w FROM tokens), " + OTB.replace("BY P", "BY pos").replace(", P)", ", pos)"))
 def otb(t):
     w = 1 - 2 * F.exp("logp") + 0.5
-    o = G.optimal_token_baseline(t.tokens, "uid", "seq", "pos", F.col("reward"), w, F.col("mask"))
+    o = G.optimal_token_baseline(dealt(t.tokens, "uid"), "uid", "seq", "pos", F.col("reward"), w, F.col("mask"))
     return o.select("seq", "pos", r6("advantage").alias("advantage"))
 
 
 @query(f"WITH {TO}, k AS (SELECT *, sum(mask::INT) OVER (PARTITION BY seq ORDER BY pos) - 1 AS vp, 1 - 2 * exp(logp) + 0.5::DOUBLE AS w FROM tokens QUALIFY mask), " + OTB.replace("BY P", "BY vp").replace(", P)", ", vp)"))
 def tir_otb(t):
-    """Several turns: positions are counted over valid tokens."""
-    k = G.compacted_positions(t.tokens, "uid", "seq", "pos", F.col("mask")).where("mask").withColumnRenamed("pos", "_pos").withColumnRenamed("valid_pos", "pos")
+    """Several turns: positions are counted over valid tokens. All windows are within a prompt, and so in one task."""
+    k = G.compacted_positions(dealt(t.tokens, "uid"), "uid", "seq", "pos", F.col("mask")).where("mask").withColumnRenamed("pos", "_pos").withColumnRenamed("valid_pos", "pos")
     o = G.optimal_token_baseline(k, "uid", "seq", "pos", F.col("reward"), 1 - 2 * F.exp("logp") + 0.5, F.col("mask"))
     return o.select("seq", F.col("_pos").alias("pos"), r6("advantage").alias("advantage"))
 
